@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, so that their Python workers can import it wherever they were started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cairn_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = os.path.join(tempfile.mkdtemp(), "cairn.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "cairn").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    sc._cairn_shipped = True
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with columns as Python lists or numpy arrays: fn gets an iterator of {name: pa.Array} and yields {name: values}.
 
@@ -34,6 +50,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
             arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, spark_schema)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, piece_codec, quality_rules, token_counts, url_rules
+from cairn.llm import decontamination, line_dedup, piece_codec, quality_model, quality_rules, token_counts, url_rules
 from cairn.llm.common import table
 
 # The rules that op1 is to apply (host, path, verdict).
@@ -38,10 +39,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": op1_url_rules,
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_piece_codec": op5_piece_codec,
+    "op6_quality_model": op6_quality_model,
     "op7_quality_rules": op7_quality_rules,
 }
 
@@ -73,6 +85,16 @@ ORACLE_SQL: dict[str, str] = {
                  FROM cut LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT page_id, url, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE k = 1
     """,
+    "op4_line_dedup": r"""
+        WITH cut AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS y FROM documents),
+        spots AS (SELECT doc_id, source, unnest(range(1, len(y) + 1)) AS p, unnest(y) AS line FROM cut),
+        occ AS (SELECT doc_id, source, p, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k FROM spots),
+        wide AS (SELECT k, min({'d': doc_id, 'p': p}) AS first FROM occ WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+        marked AS (SELECT occ.*, wide.k IS NOT NULL AND first <> {'d': doc_id, 'p': p} AS gone FROM occ LEFT JOIN wide USING (k))
+        SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS text,
+               count(*) FILTER (WHERE k <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+        FROM marked GROUP BY doc_id
+    """,
     "op3_decontamination": rf"""
         WITH items AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
