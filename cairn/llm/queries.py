@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, language_id, line_dedup, piece_codec, quality_model, quality_rules, token_counts, url_rules
+from cairn.llm import decontamination, html_extraction, language_id, line_dedup, piece_codec, quality_model, quality_rules, token_counts, url_rules
 from cairn.llm.common import table
 
 # The rules that op1 is to apply (host, path, verdict).
@@ -56,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     return language_id.identify(table(spark, sf_dir, "documents"), held_out)
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_codec": op5_piece_codec,
     "op6_quality_model": op6_quality_model,
     "op7_quality_rules": op7_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
 }
 
