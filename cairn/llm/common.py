@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -54,20 +55,39 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
     return df.mapInArrow(run, spark_schema)
 
 
+def with_row(df: DataFrame, passed: list[str] | None, **columns: str) -> DataFrame:
+    """df's named columns under the names given; and those to be passed on, if any, in one struct `__row`, whatever their names."""
+    own = [F.col(f"`{c}`").alias(name) for name, c in columns.items()]
+    return df.select(*own, F.struct(*(F.col(f"`{c}`") for c in passed)).alias("__row")) if passed else df.select(*own)
+
+
+def row_type(df: DataFrame, passed: list[str] | None) -> str:
+    """The schema of `__row`, with a comma behind it; nothing if no columns are passed."""
+    return f"__row {df.select(*(F.col(f'`{c}`') for c in passed)).schema.simpleString()}, " if passed else ""
+
+
+def row_of(batch: dict) -> dict:
+    return {"__row": batch["__row"]} if "__row" in batch else {}
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the checkpoint folder.
 
-    spark.checkpoint.dir is read from the session; only where neither it nor a checkpoint folder is set, as in tests,
-    a folder of our own is used.
+    spark.checkpoint.dir is read from the session; only where neither it nor a checkpoint folder is set, as in tests, a folder of
+    our own is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), f"cairn-{uuid.uuid4().hex}"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"cairn-{uuid.uuid4().hex}"))
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder, which survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, materialise, utf8
+from cairn.llm.common import map_arrow, materialise, row_of, row_type, utf8, with_row
 
 _ASCII = bytes(range(128))
 _WORD = bytes(c for c in _ASCII if chr(c).isalnum())
@@ -146,24 +146,24 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) ->
         yield [(r.k, bytes(r.t) if r.t is not None else None) for r in part.collect()], b == n - 1
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, slop: int | None = None) -> DataFrame:
-    """One row per row of docs: id, n_words, `items` (sorted distinct items that match) and `spans` (merged [start, end) word ranges that matches cover).
+def phrase_hits(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, slop: int | None = None, passed: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: id (or the columns to be passed on, in a struct `__row`), n_words, `items` (sorted distinct items that match) and `spans` (merged [start, end) word ranges that matches cover).
 
     slop None: exact phrases. Otherwise proximity: all words of a window, in any order, within its length plus slop words; spans
     then hold the place of the window's rarest term.
     """
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    state = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("items"), F.array().cast("array<long>").alias("spans"))
+    state = with_row(docs, passed, id=id_col, text=text_col).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("items"), F.array().cast("array<long>").alias("spans"))
     for block, last in _blocks(items, item_col, item_text_col, block_bytes):
         shared = sc.broadcast((block, size))
         carried = "" if last else "text string, "
-        state = map_arrow(state, _search(shared, slop, last), f"id {kind}, {carried}n_words long, items array<long>, spans array<long>")
+        state = map_arrow(state, _search(shared, slop, last), f"{row_type(docs, passed)}id {kind}, {carried}n_words long, items array<long>, spans array<long>")
         if not last:
             state = materialise(state)
     pairs = F.transform(F.sequence(F.lit(0), F.expr("int(size(spans) div 2) - 1")), lambda i: F.struct(F.get("spans", 2 * i).alias("start"), F.get("spans", 2 * i + 1).alias("end")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return state.select(F.col("id").alias(id_col), "n_words", "items", F.when(F.size("spans") > 0, pairs).otherwise(empty).alias("spans"))
+    return state.select("__row" if passed else F.col("id").alias(id_col), "n_words", "items", F.when(F.size("spans") > 0, pairs).otherwise(empty).alias("spans"))
 
 
 def _search(shared, slop: int | None, last: bool):
@@ -183,7 +183,7 @@ def _search(shared, slop: int | None, last: bool):
             for d, s, e in zip(doc[order].tolist(), at[order].tolist(), (at + length)[order].tolist(), strict=True):
                 base = int(starts[d])
                 spans[d] += [s - base, e - base]
-            out = {"id": b["id"], "n_words": n, "items": [sorted(set(x)) for x in items], "spans": pa.array([merged(x) for x in spans], pa.list_(pa.int64()))}
+            out = row_of(b) | {"id": b["id"], "n_words": n, "items": [sorted(set(x)) for x in items], "spans": pa.array([merged(x) for x in spans], pa.list_(pa.int64()))}
             yield out if last else out | {"text": b["text"]}
 
     return run
@@ -200,14 +200,18 @@ def merged(flat: list[int]) -> list[int]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, **columns) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, **options) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated.
 
-    contaminated: n_hit > 0 and share * n_hit >= n_words.
+    contaminated: n_hit > 0 and share * n_hit >= n_words. Options are those of phrase_hits.
     """
-    id_col = columns.get("id_col", "doc_id")
-    found = phrase_hits(docs, items, size, **columns)
+    first = "__row" if options.get("passed") else options.get("id_col", "doc_id")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     digest = F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256)
-    out = found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"))
+    out = phrase_hits(docs, items, size, **options).select(first, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of docs that aren't contaminated."""
+    return contamination(docs, items, passed=docs.columns, **options).where("not contaminated").select("__row.*")

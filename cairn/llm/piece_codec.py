@@ -20,8 +20,9 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, utf8
+from cairn.llm.common import map_arrow, row_of, row_type, utf8, with_row
 from cairn.llm.token_counts import slices, worker_cache
 
 MARK = "▁"
@@ -200,14 +201,15 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     return map_arrow(df.selectExpr(f"`{id_col}` id", f"`{ids_col}` ids"), run, f"`{id_col}` {kind}, text string")
 
 
-def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, n_tokens, ids_sha256 and decoded_sha256, with neither ids nor texts leaving the worker."""
+def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
+    """Each row's id (or the columns to be passed on), n_tokens, ids_sha256 and decoded_sha256; ids don't leave the worker."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         c = codec(model_path)
         for b in batches:
             rows = [c.digest(t.decode()) for some in slices([x or b"" for x in utf8(b["text"])]) for t in some]
-            yield {id_col: b["id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
+            yield row_of(b) | {"id": b["id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
 
-    return map_arrow(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = map_arrow(with_row(df, passed, id=id_col, text=text_col), run, f"{row_type(df, passed)}id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.select("__row.*" if passed else F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")

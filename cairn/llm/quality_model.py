@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, utf8
+from cairn.llm.common import map_arrow, row_of, row_type, utf8, with_row
 from cairn.llm.token_counts import slices, worker_cache
 
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -186,8 +186,8 @@ def train(df: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str,
     return Network().fit(np.stack(got["x"]).astype(float), got["label"].to_numpy())
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_rows: int = 20_000) -> DataFrame:
-    """One row per row of df: id, held_out, score (0 to 1, higher: label 1 is likelier) and predicted (score >= threshold).
+def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_rows: int = 20_000, passed: list[str] | None = None) -> DataFrame:
+    """One row per row of df: id (or the columns to be passed on), held_out, score (0 to 1, higher: label 1 is likelier) and predicted (score >= threshold).
 
     held_out: a Column over id_col; labels of rows for which it is true are not learned from.
     """
@@ -201,7 +201,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: f
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             score = np.concatenate([shared.value.scores(features(some, vectors.value)) if shared.value else np.full(len(some), 0.5) for some in slices([x or b"" for x in utf8(b["text"])], 4_000_000)] or [np.zeros(0)])
-            yield {"id": b["id"], "score": score}
+            yield row_of(b) | {"id": b["id"], "score": score}
 
-    scored = map_arrow(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), run, f"id {kind}, score double").withColumnRenamed("id", id_col)
-    return scored.select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = map_arrow(with_row(df, passed, id=id_col, text=text_col), run, f"{row_type(df, passed)}id {kind}, score double").withColumnRenamed("id", id_col)
+    return scored.select("__row.*" if passed else id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
