@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.text import cache_key, tokenize
 from cairn.operators.common import top
@@ -26,7 +27,7 @@ def md5_bucket(token: Column, dim: int = DIM) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(dim)).cast("int"), F.when(F.pmod(F.shiftright(h, 40), F.lit(2)) == 0, 1.0).otherwise(-1.0)
 
 
-@F.pandas_udf("struct<bucket:int,sign:double>")
+@F.pandas_udf(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("sign", T.DoubleType())]))
 def blake2b_bucket(token: pd.Series) -> pd.DataFrame:
     """Bucket (8-byte BLAKE2b, big-endian, modulo DIM) and sign (top bit): a hash that no built-in function offers."""
     from hashlib import blake2b

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cairn.functions.text import SPACE
@@ -101,7 +102,7 @@ def apply_diff(text: str, diff: str) -> str:
     return "\n".join(lines) + "\n"
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
 def apply_patch(text: pd.Series, diff: pd.Series) -> pd.DataFrame:
     """A file's text after a patch, or why it can't be applied; a diff without any header is the new text."""
     rows = []
