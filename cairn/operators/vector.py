@@ -83,6 +83,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     out = None
     for block in range(n):
         part = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == block).orderBy("q").collect()  # about block_rows rows
+        if not part:
+            continue
         shared = spark.sparkContext.broadcast(([r.q for r in part], _unit(np.array([r.v for r in part], float).reshape(len(part), -1))))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -98,6 +100,8 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
 
         found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     return top(out, k, ["query_id"], F.round("score", 9).desc(), F.col("id"))
 
 
