@@ -59,14 +59,14 @@ def dedup_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text
     flagged = line_spread(occurrences, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = occurrences.withColumn("salt", F.pmod(F.xxhash64("id", "of"), F.lit(salts)).cast("int"))
     again = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.of") == F.col("of")) & (F.col("first.place") == F.col("place"))
-    dropped = salted.join(flagged, ["h", "g", "salt"]).where(~again).groupBy("id", "of").agg(F.collect_set("place").alias("places"))
-    own = dropped.select(F.col("id").alias("__id"), F.col("of").alias("__of"), "places")
+    dropped = salted.join(flagged, ["h", "g", "salt"]).where(~again).groupBy("id", "of").agg(F.collect_set("place").alias("__places"))
+    own = dropped.select(F.col("id").alias("__id"), F.col("of").alias("__of"), "__places")
     lines = F.split(text_col, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places"), lambda i: F.get(lines, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__places"), lambda i: F.get(lines, i))
     n = F.size(F.filter(lines, lambda x: _trimmed(x) != ""))
     joined = df.join(own, F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__of") == F.xxhash64(text_col)), "left")
     return joined.select(
-        *(F.when(F.col("places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in df.columns),
+        *(F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in df.columns),
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
     )
