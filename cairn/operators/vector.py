@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.deploy import ship
 from cairn.functions.text import cache_key, tokenize
 from cairn.operators.common import top
 
@@ -40,6 +41,7 @@ def hash_embed(docs: DataFrame, id_col: str, text: Column, dim: int = DIM, mode:
     """Sparse unit vectors (id, bucket, v). mode blake2b hashes each distinct token once; it needs dim 384."""
     weights = token_weights(docs, id_col, text)
     if mode == "blake2b":
+        ship(docs.sparkSession)
         hashed = weights.select("token").distinct().select("token", blake2b_bucket("token").alias("h")).select("token", "h.bucket", "h.sign")
         weights = weights.join(hashed, "token")
     else:
@@ -76,6 +78,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     on only its own k best per query, so what is shuffled is k rows for each query and batch.
     """
     spark = vectors.sparkSession
+    ship(spark)
     n = -(-queries.count() // block_rows) or 1
     rows = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
     kind = vectors.schema[id_col].dataType.simpleString()

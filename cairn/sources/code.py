@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.deploy import ship
 from cairn.operators.common import cut_lineage, top
 from cairn.operators.graph import best_edges, enclosing, heuristic_match, suffix_index
 
@@ -157,6 +158,7 @@ def parse(files: DataFrame, commit: str, window: int = 80) -> DataFrame:
     """files (path, content BINARY or STRING) as rows of PARSED. A file that can't be read or parsed has its `error` and no rows below."""
     if not commit:
         raise ValueError("a commit must be named")
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import sha256

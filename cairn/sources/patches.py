@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cairn.deploy import ship
 from cairn.functions.text import SPACE
 
 # The header of a hunk and where a reply's diffs begin.
@@ -64,6 +65,7 @@ def split_reply(reply: str) -> list[tuple[str, str]]:
 def patches(replies: DataFrame, id_col: str, reply_col: str, commit: str = "HEAD") -> DataFrame:
     """(id, ord, filepath, diff, base_commit): a row for each file's patch in each reply."""
     kind = replies.schema[id_col].dataType.simpleString()
+    ship(replies.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
