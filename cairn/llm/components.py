@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialise
+from cairn.llm.common import materialise, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,6 +31,8 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        del both, least, large, small
+        release(e.sparkSession)
         after = _state(e)
         if after == before:
             break
