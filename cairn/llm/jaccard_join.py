@@ -8,19 +8,22 @@ one node from the start.
    hash) puts rare shingles first, and linked sets share a shingle within their prefixes under any common order.
 2. Documents with the same prefix and size form one group. Prefix shingles, with node and group, are sorted by shingle; those of
    a single node, which are most, are dropped there. Copies collapse in each task before the shuffle and again here.
-3. First round: per shingle a node is paired with the first node and with the one before it, members of a group being neighbours:
-   as many pairs as rows, however many nodes share a shingle. Pairs whose sizes allow a link are verified on the texts, and
-   components are formed.
-4. Second round, for the rest: per shingle, groups that lie in different components are paired, filtered by size and by how much
-   overlap the number of shared prefix shingles still allows; the pairs left are expanded to their members and verified. No
-   linkable documents escape: they share a prefix shingle, and are either verified or already in one component.
+3. First rounds: per shingle a node is paired with the nodes that have the shingle earliest, and with the one before it, members of a
+   group being neighbours: as many pairs as rows, however many nodes share a shingle, of which each node tries those seen most.
+   Pairs that may link by size and by the shingle's places are verified on the texts, and components are formed. This goes on, for
+   as many turns as TRIES has, while links are found and pairing all that is left would take more rows than there are.
+4. Last round, for the rest: per shingle, groups that lie in different components are paired, filtered by size and by how much
+   overlap the shingle's places in both prefixes still allow; the pairs left are expanded to their members and verified. Linkable
+   documents pass at their first common shingle, so none escape: they are either verified or already in one component. The
+   smaller set's place must be in the first seventh (at 75 %) of its set, so shingles that are common, and so come late in
+   most prefixes, pair hardly any rows.
 
 So a group of thousands of near copies costs rows in proportion to its size, not to its square, and no list of a shingle's
 or a component's documents is ever gathered.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. With fewer words than a shingle has the whole text is one shingle; without words
 (or null) the set is empty and linked with nothing: its component is the document's own id. Repeated rows are exact copies. A null id is
-no candidate for the smallest id. Long texts are used whole; an empty table gives no rows; columns besides the two named aren't
+no candidate for the smallest id, and a text that only rows without an id have is linked with its copies alone. Long texts are used whole; an empty table gives no rows; columns besides the two named aren't
 read.
 """
 
@@ -35,12 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import map_arrow, materialise, utf8
+from cairn.llm.common import map_arrow, materialise, release, utf8
 from cairn.llm.components import connected
 from cairn.llm.token_counts import slices, worker_cache
 
 SLOT_BITS, CHUNKS, GROUP_BITS = 20, 256, 24
-KEPT_WORDS, KEPT_NODES = 600_000, 500_000
+KEPT_WORDS, KEPT_NODES = 400_000, 400_000
+#: Partners that a node tries in each turn of the early rounds; earliest nodes of a shingle that a turn looks at.
+TRIES, HUBS = (2, 8, 32), 3
+BROADCAST_PAIRS = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,7 +133,7 @@ def describe(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
 
 
 def prefix_rows(df: DataFrame, slots: np.ndarray, text_col: str, size: int, percent: int) -> DataFrame:
-    """(token, node, tag) for each prefix shingle of each set; tag is the set's size times 2^GROUP_BITS plus a hash of its prefix.
+    """(token, node, tag, pos) for each prefix shingle of each set, pos being its place; tag is the set's size times 2^GROUP_BITS plus a hash of its prefix.
 
     Prefixes whose hashes are equal by chance only widen a group, whose members are verified one by one.
     """
@@ -151,15 +157,17 @@ def prefix_rows(df: DataFrame, slots: np.ndarray, text_col: str, size: int, perc
                     nodes.append(node)
                     tags.append((n << GROUP_BITS) + (xxhash.xxh64_intdigest(prefix.tobytes()) >> (64 - GROUP_BITS)))
                 length = [len(x) for x in prefixes[1:]]
-                yield {"token": np.concatenate(prefixes), "node": np.repeat(np.array(nodes, np.int64), length), "tag": np.repeat(np.array(tags, np.int64), length)}
+                yield {"token": np.concatenate(prefixes), "node": np.repeat(np.array(nodes, np.int64), length), "tag": np.repeat(np.array(tags, np.int64), length), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in (0, *length)])}
 
-    return map_arrow(df.selectExpr(f"`{text_col}` text"), run, "token long, node long, tag long")
+    return map_arrow(df.selectExpr(f"`{text_col}` text"), run, "token long, node long, tag long, pos int")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are similar enough, as edges (u, v), by their whole texts."""
+    """Those pairs (a, b) of nodes, a checkpointed table, whose sets are similar enough, as edges (u, v), by their whole texts."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     source = wanted.join(nodes, "node").select("node", F.col("rep").alias("__rep"))
+    if pairs.count() <= BROADCAST_PAIRS:  # two rows of two ids for each at most; else the texts are shuffled to the ids
+        source = F.broadcast(source)
     texts = source.join(df.select(F.col(id_col).alias("__rep"), F.col(text_col).alias("text")), "__rep").select("node", "text")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -184,36 +192,82 @@ def _size(tag: str) -> Column:
     return F.shiftright(tag, GROUP_BITS)
 
 
-def _near_size(a: str, b: str, percent: int) -> Column:
-    """Whether two sizes allow a link."""
-    return 100 * F.least(_size(a), _size(b)) >= percent * F.greatest(_size(a), _size(b))
-
-
-def first_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of a node with the first of a shingle and with the one before it."""
-    other = F.explode(F.array(F.struct(F.col("prev").alias("b"), F.col("prev_tag").alias("b_tag")), F.struct(F.col("head").alias("b"), F.col("head_tag").alias("b_tag"))))
-    pairs = live.where("prev is not null").select(F.col("node").alias("a"), "tag", other.alias("o")).select("a", "tag", "o.b", "o.b_tag")
-    return pairs.where((F.col("a") != F.col("b")) & _near_size("tag", "b_tag", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def rest_pairs(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in different components that may still link."""
-    rows = live.select("token", "node", "tag").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rows = materialise(rows.join(mixed, "token"))
-    group = rows.select("token", "tag", "comp").distinct()  # a group's members in one component
-    place = group.select("token", "comp").distinct()
-    apart = place.withColumnRenamed("comp", "c1").join(place.withColumnRenamed("comp", "c2"), "token").where("c1 < c2")
-    one = apart.join(group.select("token", F.col("comp").alias("c1"), F.col("tag").alias("t1")), ["token", "c1"])
-    two = one.join(group.select("token", F.col("comp").alias("c2"), F.col("tag").alias("t2")), ["token", "c2"]).where(_near_size("t1", "t2", percent))
-    shared = two.groupBy("c1", "t1", "c2", "t2").agg(F.count("*").alias("shared"))
-    n1, n2 = _size("t1"), _size("t2")
-    beyond = F.greatest(F.floor((percent * n1 + 99) / 100), F.floor((percent * n2 + 99) / 100)) - 1  # overlap outside the shorter-reaching prefix
-    needed = F.floor((percent * (n1 + n2) + 99 + percent) / (100 + percent))
-    pairs = shared.where(F.col("shared") + beyond >= needed)
+def _may_link(a: str, a_pos: str, b: str, b_pos: str, percent: int) -> Column:
+    """Whether sets of two tags whose first common shingle has these places may be similar enough."""
+    n, m = _size(a), _size(b)
+    sized = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sized & ((100 + percent) * F.least(n - F.col(a_pos), m - F.col(b_pos)) >= percent * (n + m))
+
+
+def _early(tag: str, pos: str, percent: int) -> Column:
+    """Whether a place is early enough to be that of the smaller of two linked sets."""
+    return (100 + percent) * (_size(tag) - F.col(pos)) >= 2 * percent * _size(tag)
+
+
+def _with(rows: DataFrame, others: list[str], percent: int) -> DataFrame:
+    """(node, a, b, seen): rows paired with each of the struct columns `others` (node, tag, pos, comp) that may link, and in how many shingles."""
+    pairs = rows.select("node", "tag", "pos", "comp", F.explode(F.array(*others)).alias("o")).where("o is not null and o.comp <> comp")
+    pairs = pairs.select("node", "tag", "pos", F.col("o.node").alias("b"), F.col("o.tag").alias("b_tag"), F.col("o.pos").alias("b_pos")).where(_may_link("tag", "pos", "b_tag", "b_pos", percent))
+    return pairs.groupBy("node", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).agg(F.count("*").alias("seen"))
+
+
+def _few(pairs: DataFrame, most: int) -> DataFrame:
+    """Distinct pairs (a, b): of each node those seen in most shingles."""
+    best = Window.partitionBy("node").orderBy(F.desc("seen"), "a", "b")
+    return pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).select("a", "b").distinct()
+
+
+def hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in different components: with a shingle's HUBS nodes that have it earliest, at first also with the node before.
+
+    Where many near copies share a shingle, those with the fewest changes have it earliest and link with most others. Each turn
+    looks at the next HUBS and keeps TRIES partners of a node at most; what no turn tries is left to the last round.
+    """
+    order = Window.partitionBy("token").orderBy("pos", "tag", "node")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = F.struct("node", "tag", "pos", "comp")
+    names = [f"h{k}" for k in range(turn * HUBS + 1, (turn + 1) * HUBS + 1)]
+    seen = rows.select("*", *(F.nth_value(one, int(n[1:])).over(upto).alias(n) for n in names), F.lag(one).over(order).alias("before"))
+    return _few(_with(seen, names if turn else ["before", *names], percent), TRIES[turn])
+
+
+def mixed_rows(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(token, node, tag, pos, comp) of the shingles that lie in several components, one of them early."""
+    rows = live.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or(_early("tag", "pos", percent)).alias("early")).where("low < high and early").select("token")
+    return materialise(rows.join(mixed, "token"))
+
+
+def work(rows: DataFrame, percent: int) -> tuple[int, int]:
+    """How many pairs of components the last round would meet, and the number of rows."""
+    per = rows.groupBy("token", "comp").agg(F.count("*").alias("n"), F.max(_early("tag", "pos", percent).cast("long")).alias("early"))
+    per = per.groupBy("token").agg((F.sum("early") * F.count("*")).alias("pairs"), F.sum("n").alias("n"))
+    got = per.agg(F.sum("pairs"), F.sum("n")).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
+def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes in different components that may still link, of mixed_rows."""
+    group = rows.select("token", "tag", "pos", "comp").distinct()  # a group's members in one component
+    early = group.where(_early("tag", "pos", percent)).select("token", *(F.col(c).alias(f"{c}1") for c in ("tag", "pos", "comp")))
+    other = group.select("token", *(F.col(c).alias(f"{c}2") for c in ("tag", "pos", "comp")))
+    # Components first, then the rows of both sides, so rows of one component never meet. A component's sizes and first place already
+    # rule out most partners.
+    n1, n2 = _size("tag1"), _size("tag2")
+    span2 = other.groupBy("token", "comp2").agg(F.min(n2).alias("low2"), F.max(n2).alias("high2"), F.min("pos2").alias("first2"))
+    span1 = early.groupBy("token", "comp1").agg(F.min(n1).alias("low1"), F.min("pos1").alias("first1"), F.max(n1).alias("high1"))
+    able = (F.col("comp1") != F.col("comp2")) & (F.col("high2") >= F.col("low1")) & (100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1") + (100 + percent) * F.col("first2"))
+    able &= 100 * F.col("high1") >= percent * F.col("low2") + (100 + percent) * F.col("first1")
+    apart = span1.join(span2, "token").where(able).select("token", "comp1", "comp2", "low2", "high2", "first2")
+    fits = (F.col("high2") >= n1) & (100 * n1 >= percent * F.greatest(n1, "low2") + (100 + percent) * F.col("pos1")) & (100 * F.col("high2") >= percent * n1 + (100 + percent) * F.col("first2"))
+    one = apart.join(early, ["token", "comp1"]).where(fits).select("token", "comp1", "tag1", "pos1", "comp2")
+    two = one.join(other, ["token", "comp2"]).where((n1 <= n2) & _may_link("tag1", "pos1", "tag2", "pos2", percent))
+    x, y = F.struct(F.col("comp1").alias("comp"), F.col("tag1").alias("tag")), F.struct(F.col("comp2").alias("comp"), F.col("tag2").alias("tag"))
+    pairs = two.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()  # sets of one size meet in both orders
+    pairs = pairs.select(F.col("x.comp").alias("comp1"), F.col("x.tag").alias("tag1"), F.col("y.comp").alias("comp2"), F.col("y.tag").alias("tag2"))
     member = rows.select("comp", "tag", "node").distinct()
-    grown = pairs.join(member.select(F.col("comp").alias("c1"), F.col("tag").alias("t1"), F.col("node").alias("a")), ["c1", "t1"])
-    grown = grown.join(member.select(F.col("comp").alias("c2"), F.col("tag").alias("t2"), F.col("node").alias("b")), ["c2", "t2"])
+    grown = pairs.join(member.select(F.col("comp").alias("comp1"), F.col("tag").alias("tag1"), F.col("node").alias("a")), ["comp1", "tag1"])
+    grown = grown.join(member.select(F.col("comp").alias("comp2"), F.col("tag").alias("tag2"), F.col("node").alias("b")), ["comp2", "tag2"])
     return grown.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -222,24 +276,30 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 75, id_col: str
     rows, slots = describe(df, id_col, text_col, size)
     nodes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"))
     order = Window.partitionBy("token").orderBy("tag", "node")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = prefix_rows(df, slots, text_col, size, percent).select(
-        "*",
-        F.lag("node").over(order).alias("prev"),
-        F.lag("tag").over(order).alias("prev_tag"),
-        F.lead("node").over(order).alias("next"),
-        F.first("node").over(upto).alias("head"),
-        F.first("tag").over(upto).alias("head_tag"),
-    )
+    seen = prefix_rows(df, slots, text_col, size, percent).select("*", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"))
     # Of a node's repeated rows the first stays; a shingle of one node only may stay once, and pairs with nothing.
-    live = materialise(seen.where("(prev is null or prev <> node) and (prev is not null or next is not null)").drop("next"))
-    links = materialise(verified(materialise(first_pairs(live, percent)), nodes, df, id_col, text_col, size, percent))
-    comp = connected(links)
-    more = materialise(verified(materialise(rest_pairs(live, comp, percent)), nodes, df, id_col, text_col, size, percent))
-    both = more.join(comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-    merged = connected(both.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    live = materialise(seen.where("(prev is null or prev <> node) and (prev is not null or next is not null)").select("token", "node", "tag", "pos"))
+    del seen
+    release(df.sparkSession)
+    check = lambda pairs: materialise(verified(pairs, nodes, df, id_col, text_col, size, percent))
+    pairs = materialise(hub_pairs(live.withColumn("comp", F.col("node")), 0, percent))
+    links = tried = None
+    turn = 0
+    while True:
+        found = check(pairs)
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        comp = connected(links)
+        release(df.sparkSession)
+        rows_left = mixed_rows(live, comp, percent)
+        ahead, there = work(rows_left, percent)
+        if ahead <= there or turn == len(TRIES) - 1 or found.isEmpty():
+            break
+        turn += 1
+        pairs = materialise(hub_pairs(rows_left, turn, percent).join(tried, ["a", "b"], "left_anti"))
+    last = check(materialise(rest_pairs(rows_left, percent).join(tried, ["a", "b"], "left_anti")))
+    comp = connected(links.unionByName(last))
     label = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
-    label = label.join(merged.select(F.col("node").alias("comp"), F.col("component").alias("top")), "comp", "left").select("node", "rep", F.coalesce("top", "comp").alias("comp"))
     least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = label.join(least, "comp").select("node", "component_id")
     out = rows.join(named, "node", "left")
