@@ -180,7 +180,10 @@ class RunTable:
 
 def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn_docs: int, learn_runs: int) -> ByteTagger | None:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
-    taught = rows.orderBy(F.xxhash64("id"), "id", "lang", F.xxhash64("text")).limit(learn_docs)
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(learn_docs).distinct()
+    taught = rows.join(F.broadcast(chosen), "id")  # learn_docs ids at most are broadcast
+
+    taught = taught.select("lang", "text")
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         seen: Counter = Counter()
