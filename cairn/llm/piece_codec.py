@@ -26,8 +26,8 @@ from cairn.llm.common import map_arrow, row_of, row_type, utf8, with_row
 from cairn.llm.token_counts import slices, worker_cache
 
 MARK = "▁"
-KEPT_SEGMENTS = 400_000
-KEPT_PAIRS = 1_500_000
+KEPT_SEGMENTS = 300_000
+KEPT_PAIRS = 800_000
 KEPT_CHARS = 64
 
 

@@ -128,7 +128,8 @@ _CACHE: dict = {}
 
 
 def worker_cache(key: tuple, make: Callable):
-    """What a Python worker keeps from task to task: tables that only save work, never results."""
+    """What a Python worker keeps from task to task: tables that only save work, never results. An operator's table replaces another's."""
     if key not in _CACHE:
+        _CACHE.clear()
         _CACHE[key] = make()
     return _CACHE[key]
