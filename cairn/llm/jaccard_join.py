@@ -11,7 +11,7 @@ one node from the start.
 3. First rounds: per shingle a node is paired with the nodes that have the shingle earliest, and with the one before it, members of a
    group being neighbours: as many pairs as rows, however many nodes share a shingle, of which each node tries those seen most.
    Pairs that may link by size and by the shingle's places are verified on the texts, and components are formed. This goes on, for
-   as many turns as TRIES has, while links are found and pairing all that is left would take more rows than there are.
+   as many turns as TRIES has, while links are found and pairing all that is left would take more than twice the rows there are.
 4. Last round, for the rest: per shingle, groups that lie in different components are paired, filtered by size and by how much
    overlap the shingle's places in both prefixes still allow; the pairs left are expanded to their members and verified. Linkable
    documents pass at their first common shingle, so none escape: they are either verified or already in one component. The
@@ -293,7 +293,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 75, id_col: str
         release(df.sparkSession)
         rows_left = mixed_rows(live, comp, percent)
         ahead, there = work(rows_left, percent)
-        if ahead <= there or turn == len(TRIES) - 1 or found.isEmpty():
+        if ahead <= 2 * there or turn == len(TRIES) - 1 or found.isEmpty():
             break
         turn += 1
         pairs = materialise(hub_pairs(rows_left, turn, percent).join(tried, ["a", "b"], "left_anti"))
