@@ -82,7 +82,7 @@ def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
     length = F.length(text)
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, ASCII_SPACE, "")) > 0)
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
+    stop = [*STOP_WORDS, *map(str.capitalize, STOP_WORDS)]
     n = F.size("words").cast("long")
     counted = base.select(
         "id",
@@ -94,7 +94,7 @@ def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.size(lines).alias("n_lines"),
         (length - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).alias("n_upper"),
         F.size(F.filter(lines, lambda x: F.contains(x, F.lit(" | ")))).alias("n_bar_lines"),
-        F.size(F.filter("words", lambda w: F.array_contains(stop, F.lower(w)))).alias("n_stop"),
+        F.size(F.filter("words", lambda w: w.isin(stop))).alias("n_stop"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counted.select(

@@ -149,7 +149,7 @@ def _rule_sql() -> str:
         c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length({_NO_SPACE.format("x")}) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                      CAST(len(y) - len(list_distinct(y)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(y) AS n_lines,
                      length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g')) AS n_upper, len(list_filter(y, lambda l: contains(l, ' | '))) AS n_bar_lines,
-                     len(list_filter(w, lambda z: list_contains([{", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)}], lower(z)))) AS n_stop
+                     len(list_filter(w, lambda z: list_contains([{", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)}], z))) AS n_stop
               FROM t LEFT JOIN rep USING (doc_id)),
         m AS (SELECT *, {share.format("word_chars", "n_words")} AS mean_word_chars, {share.format("n_symbols", "n_words")} AS symbols_per_word,
                      {share.format("n_upper", "word_chars")} AS upper_share, {share.format("n_dup_lines", "n_lines")} AS dup_line_share,
