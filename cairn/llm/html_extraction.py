@@ -14,6 +14,7 @@ besides those named aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -145,6 +146,7 @@ class TreeModel:
         return [blocks(p, w) for p, w in zip(pages, self.content(pages), strict=True)]
 
 
+@lru_cache(maxsize=1)
 def trained(pages: int = 800, seed: int = 1) -> TreeModel:
     """The model fitted on `pages` generated labelled pages."""
     trees, labels = [], []
