@@ -28,7 +28,7 @@ from cairn.llm.token_counts import slices, worker_cache
 
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
-KEPT_TOKENS = 800_000
+KEPT_TOKENS = 500_000
 
 
 class Slots(dict):
@@ -81,9 +81,10 @@ def context_sums(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
     columns = [f"v{k}" for k in range(DIM)]
     sums = map_arrow(df.selectExpr(f"`{text_col}` text"), run, "slot long, " + ", ".join(f"{c} long" for c in columns))
-    found = sums.groupBy("slot").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # SLOTS rows at most
+    found = sums.groupBy("slot").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # SLOTS rows at most
     out = np.zeros((SLOTS, DIM))
-    out[found["slot"].to_numpy(np.int64)] = found[columns].to_numpy(float)
+    for k, c in enumerate(columns):
+        out[found["slot"].to_numpy(), k] = found[c].to_numpy()
     return out
 
 
@@ -140,6 +141,7 @@ class Network:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(x))
         held, taught = order[: len(x) // 5], order[len(x) // 5 :]
+        x = x.astype(float)
         self.shift, self.scale = x[taught].mean(0), x[taught].std(0) + 1e-6
         z, t = (x - self.shift) / self.scale, y.astype(float)
         m, s, step = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
@@ -180,10 +182,11 @@ def train(df: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str,
     kind = df.schema[id_col].dataType.simpleString()
     found = map_arrow(rows.selectExpr(f"`{id_col}` id", f"`{text_col}` text", "__label label"), run, f"id {kind}, label int, x array<float>")
     # A repeated id may bring more rows than were sampled.
-    got = found.orderBy(F.xxhash64("id"), "id", "x").limit(learn_rows).toPandas()
-    if got["label"].nunique() < 2:
+    got = found.orderBy(F.xxhash64("id"), "id", "x").limit(learn_rows).toArrow()
+    label = got["label"].to_numpy()
+    if len(np.unique(label)) < 2:
         return None
-    return Network().fit(np.stack(got["x"]).astype(float), got["label"].to_numpy())
+    return Network().fit(got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES), label)
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_rows: int = 20_000, passed: list[str] | None = None) -> DataFrame:
@@ -200,7 +203,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: f
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            score = np.concatenate([shared.value.scores(features(some, vectors.value)) if shared.value else np.full(len(some), 0.5) for some in slices([x or b"" for x in utf8(b["text"])], 4_000_000)] or [np.zeros(0)])
+            score = np.concatenate([shared.value.scores(features(some, vectors.value)) if shared.value else np.full(len(some), 0.5) for some in slices([x or b"" for x in utf8(b["text"])], 1_500_000)] or [np.zeros(0)])
             yield row_of(b) | {"id": b["id"], "score": score}
 
     scored = map_arrow(with_row(df, passed, id=id_col, text=text_col), run, f"{row_type(df, passed)}id {kind}, score double").withColumnRenamed("id", id_col)
