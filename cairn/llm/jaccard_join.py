@@ -43,7 +43,9 @@ from cairn.llm.components import connected
 from cairn.llm.token_counts import slices, worker_cache
 
 SLOT_BITS, CHUNKS, GROUP_BITS = 20, 256, 24
-KEPT_WORDS, KEPT_NODES = 400_000, 400_000
+KEPT_WORDS, KEPT_NODES = 200_000, 200_000
+#: Bytes of text that a worker turns into sets at once.
+AT_ONCE = 2_000_000
 #: Partners that a node tries in each turn of the early rounds; earliest nodes of a shingle that a turn looks at.
 TRIES, HUBS = (2, 8, 32), 3
 BROADCAST_PAIRS = 300_000
@@ -107,11 +109,14 @@ def describe(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         count = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            sets = [s for some in slices([x or b"" for x in utf8(b["text"])]) for s in shingle_sets(some, size)]
-            for s in sets:
-                count[_slots(s)] += 1  # a set that has two shingles in a slot counts once
-            none = [None] * len(sets)
-            yield {"id": b["id"], "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets], "chunk": none, "counts": none}
+            n, node = [], []
+            for some in slices([x or b"" for x in utf8(b["text"])], AT_ONCE):
+                for s in shingle_sets(some, size):
+                    count[_slots(s)] += 1  # a set that has two shingles in a slot counts once
+                    n.append(len(s))
+                    node.append(_node(s) if len(s) else None)
+            none = [None] * len(n)
+            yield {"id": b["id"], "n": n, "node": node, "chunk": none, "counts": none}
         parts = count.reshape(CHUNKS, width)
         used = np.flatnonzero(parts.any(1)).tolist()
         none = [None] * len(used)
@@ -143,7 +148,7 @@ def prefix_rows(df: DataFrame, slots: np.ndarray, text_col: str, size: int, perc
         count = shared.value
         seen: set[int] = set()  # nodes that this task has sent; forgetting some only sends them again
         for b in batches:
-            for some in slices([x for x in utf8(b["text"]) if x]):
+            for some in slices([x for x in utf8(b["text"]) if x], AT_ONCE):
                 prefixes, nodes, tags = [np.zeros(0, np.int64)], [], []
                 for s in shingle_sets(some, size):
                     n = len(s)
