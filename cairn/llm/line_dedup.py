@@ -4,6 +4,8 @@ A line that stands on many sites is boilerplate. Each line's hash gets a HyperLo
 merge in the aggregation, on the map side first, so a line on a third of all rows sends one row a task. Where the estimate is
 surely below or above the threshold it decides; lines near the threshold get an exact distinct count of their sites. Of a boilerplate
 line the first occurrence (smallest id, then place) stays and all others go, so text that only exists in copies is not lost.
+Short lines recur by chance, long ones hardly do: with `long_sites` lines of more than `long_words` words have a threshold of their
+own, so a passage whose copies lie mostly on one hot site, and so on few sites in all, is found too.
 
 All of it is built-in expressions and joins. The flagged lines meet the occurrences in a join salted by document; the joins
 are left to the adaptive planner, which broadcasts a side only once its measured size is below the session's threshold.
@@ -29,34 +31,41 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(ASCII_SPACE))
 
 
-def _occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """A row per line that isn't blank: id, text hash, place, the line's hash, site."""
+def _occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, long_words: int | None = None) -> DataFrame:
+    """A row per line that isn't blank: id, text hash, place, the line's hash, site; with long_words also whether it has more words."""
+    more = [] if long_words is None else ["long"]
+    long = lambda x: [(F.regexp_count(x, F.lit(r"[\x20\x09-\x0D]+")) >= long_words).alias(c) for c in more]
     lines = F.transform(F.split(text_col, "\n"), _trimmed)
-    hashed = F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"))))
+    hashed = F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), *long(x))))
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"), F.col(site_col).alias("site"), F.posexplode(hashed).alias("place", "line"))
-    return rows.where("line is not null").select("id", "of", "site", "place", "line.h", "line.g")
+    return rows.where("line is not null").select("id", "of", "site", "place", "line.h", "line.g", *(f"line.{c}" for c in more))
 
 
-def line_spread(occurrences: DataFrame, min_sites: int) -> DataFrame:
-    """The lines on min_sites sites or more: h, g, and where they stand first."""
+def line_spread(occurrences: DataFrame, min_sites: int, long_sites: int | None = None) -> DataFrame:
+    """The lines on min_sites sites or more, long ones on long_sites if given: h, g, and where they stand first."""
+    need = F.lit(min_sites) if long_sites is None else F.when(F.max("long"), F.lit(long_sites)).otherwise(F.lit(min_sites))
     sketched = occurrences.groupBy("h", "g").agg(
         F.hll_sketch_agg(F.col("site").cast("string"), F.lit(LG_K)).alias("sketch"),
         F.min(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("of"), F.col("place"))).alias("first"),
+        need.alias("need"),
     )
-    guessed = sketched.select("h", "g", "first", F.hll_sketch_estimate("sketch").alias("sites"))
-    slack = 5 * ERROR * min_sites + 1
-    sure = guessed.where(F.col("sites") > min_sites + slack).select("h", "g", "first")
-    near = guessed.where(F.col("sites").between(min_sites - slack, min_sites + slack)).select("h", "g", "first")
+    guessed = sketched.select("h", "g", "first", "need", F.hll_sketch_estimate("sketch").alias("sites"))
+    slack = 5 * ERROR * F.col("need") + 1
+    sure = guessed.where(F.col("sites") > F.col("need") + slack).select("h", "g", "first")
+    near = guessed.where(F.col("sites").between(F.col("need") - slack, F.col("need") + slack)).select("h", "g", "first", "need")
     # Distinct (line, site) rows first: a hot line then has one row for each site, wherever it is joined.
     pairs = occurrences.where("site is not null").select("h", "g", "site").distinct()
-    exact = pairs.join(near, ["h", "g"]).groupBy("h", "g").agg(F.count("*").alias("sites"), F.first("first").alias("first")).where(F.col("sites") >= min_sites)
+    exact = pairs.join(near, ["h", "g"]).groupBy("h", "g").agg(F.count("*").alias("sites"), F.first("first").alias("first"), F.first("need").alias("need")).where(F.col("sites") >= F.col("need"))
     return sure.unionByName(exact.select("h", "g", "first"))
 
 
-def dedup_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", salts: int = 32) -> DataFrame:
-    """df with boilerplate lines taken out of text_col, plus n_lines (lines that aren't blank) and n_removed."""
-    occurrences = _occurrences(df, id_col, text_col, site_col)
-    flagged = line_spread(occurrences, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def dedup_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", salts: int = 32, long_sites: int | None = None, long_words: int = 50) -> DataFrame:
+    """df with boilerplate lines taken out of text_col, plus n_lines (lines that aren't blank) and n_removed.
+
+    long_sites: the threshold of lines of more than long_words words; None: that of all lines.
+    """
+    occurrences = _occurrences(df, id_col, text_col, site_col, None if long_sites is None else long_words)
+    flagged = line_spread(occurrences, min_sites, long_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = occurrences.withColumn("salt", F.pmod(F.xxhash64("id", "of"), F.lit(salts)).cast("int"))
     again = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.of") == F.col("of")) & (F.col("first.place") == F.col("place"))
     dropped = salted.join(flagged, ["h", "g", "salt"]).where(~again).groupBy("id", "of").agg(F.collect_set("place").alias("__places"))

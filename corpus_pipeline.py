@@ -23,9 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scores.where("predicted = 1").select(docs.columns)
 
 
+#: Sites from which a line of more than 50 words is boilerplate: one source may hold a third of the rows, and copies then lie on few sites.
+LONG_SITES = 5
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go but for their first occurrence; a document that loses every line it had goes with them."""
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_lines(docs, long_sites=LONG_SITES)
     left = cut.where("n_removed = 0 or n_removed < n_lines")
     return left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

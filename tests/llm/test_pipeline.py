@@ -36,6 +36,18 @@ def test_stages_on_odd_rows(spark, docs):
     assert all(stage(spark, frame.limit(0), DATA).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
+def test_long_passages_under_a_hot_source(spark):
+    """A third of all rows is of one source, so copies of a passage lie on few sites; short lines on as many sites stay."""
+    passage, edge = (" ".join(f"{c}{k}" for k in range(60)) for c in "pe")
+    short = " ".join(f"s{k}" for k in range(50))
+    rows = [(i, f"own {i}", "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(90)]
+    rows += [(100 + i, f"more {i}\n{passage}\n{short}\n{edge if i < 16 else ''}", "hot" if i < 13 else f"s{i % 4}") for i in range(20)]  # on 5, 5 and 4 sites
+    frame = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.lines(spark, frame, DATA).collect()}
+    assert [i for i, t in got.items() if passage in t] == [100]
+    assert sum(short in t for t in got.values()) == 20 and sum(edge in t for t in got.values()) == 16 and len(got) == len(rows)
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
