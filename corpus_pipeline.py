@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.llm import decontamination, jaccard_join, line_dedup, piece_codec, quality_model
 from cairn.llm.common import table
 from cairn.llm.queries import tokenizer_file
+from cairn.operators.common import top
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    kept = jaccard_join.near_duplicates(docs).where("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(docs.columns)
+    """Of each group of linked rows one stays: that of the smallest id (a null id is the last), then of the smallest text hash.
+
+    Ids may be null or repeated, so rows are named by id and text hash together; of rows that share both one stays. A null id is
+    thus an id like others: copies without an id go where any other copy is, and one stays where all lack an id.
+    """
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"))
+    named = docs.withColumn("__name", name.cast(f"struct<none:boolean,id:{docs.schema['doc_id'].dataType.simpleString()},of:bigint>"))
+    found = jaccard_join.near_duplicates(named, id_col="__name")
+    kept = found.where("component_id = __name").select("__name").distinct()
+    # With a limit in each task before the shuffle, so rows that are repeated very often don't gather in one.
+    first = top(named, 1, ["__name"], *(F.col(c) for c in docs.columns if c not in ("doc_id", "text")), rank="__rank")
+    return first.join(kept, "__name", "left_semi").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,21 @@ def test_long_passages_under_a_hot_source(spark):
     assert sum(short in t for t in got.values()) == 20 and sum(edge in t for t in got.values()) == 16 and len(got) == len(rows)
 
 
+def test_one_row_of_each_group_of_near_duplicates(spark, docs):
+    """Also where ids are null or repeated."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    a, b, c, d, e = map(text, "abcde")
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, a), (1, c), (2, c), (None, a), (None, near(a)), (3, near(a)), (None, b), (None, b), (None, near(b)), (4, d), (4, e), (5, None), (None, None), (None, None)]
+    frame = docs(rows).drop("id", "node")
+    got = corpus_pipeline.near_duplicates(spark, frame, DATA)
+    kept = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    one_b = [x for x in kept if x[1].startswith("b0")]
+    assert len(one_b) == 1 and one_b[0][0] == "None"
+    assert [x for x in kept if x not in one_b] == sorted([("1", a), ("1", c), ("4", d), ("4", e), ("5", ""), ("None", "")])
+    assert got.columns == frame.columns
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
