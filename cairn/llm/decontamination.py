@@ -10,7 +10,8 @@ matched so far, pass through the index once a block, cut by a checkpoint.
 
 Words are runs of ASCII letters (A-Z lower-cased), digits and any characters beyond ASCII. A null text has no words and matches
 nothing; an item without words has no windows; items and documents may repeat (each row is judged); an empty items table marks
-nothing; other columns aren't read. A long text is indexed whole.
+nothing; other columns aren't read. A long text is indexed whole. Items are named by their ids as strings, of whatever type they
+are; items with a null id are searched like others, count as one item, and are left out of the digest of names.
 """
 
 from __future__ import annotations
@@ -41,19 +42,21 @@ GAP = -2
 class Windows:
     """The windows of a block of test items: `size` consecutive words, or a whole item of fewer."""
 
-    def __init__(self, items: list[tuple[int, bytes | None]], size: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         self.size = size
         self.term: dict[bytes, int] = {}
+        number: dict[str | None, int] = {}
         rows, item = [], []
         for key, text in items:
             ids = [self.term.setdefault(w, len(self.term)) for w in words(text)]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
                 part = ids[at : at + size]
                 rows.append(part + [-1] * (size - len(part)))
-                item.append(key)
+                item.append(number.setdefault(key, len(number)))
         self.terms = np.array(rows, np.int32).reshape(-1, size)
         self.length = (self.terms >= 0).sum(1).astype(np.int64)
         self.item = np.array(item, np.int64)
+        self.names = list(number)
 
     def numbered(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Term numbers of all the texts' words (-1: in no item), with a GAP after each text; where each text starts; word counts."""
@@ -136,29 +139,29 @@ class Windows:
         return np.array(windows, np.int64), np.array(places, np.int64)
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[int, bytes | None]], bool]]:
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[str | None, bytes | None]], bool]]:
     """The items, block by block, and whether it is the last; a block is of about block_bytes, or one item."""
-    rows = items.select(F.col(item_col).cast("long").alias("k"), F.col(text_col).cast("binary").alias("t")).where("k is not null")
+    rows = items.select(F.col(item_col).cast("string").alias("k"), F.col(text_col).cast("binary").alias("t"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(n)) == b)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == b)
         yield [(r.k, bytes(r.t) if r.t is not None else None) for r in part.collect()], b == n - 1
 
 
 def phrase_hits(docs: DataFrame, items: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 16 << 20, slop: int | None = None, passed: list[str] | None = None) -> DataFrame:
-    """One row per row of docs: id (or the columns to be passed on, in a struct `__row`), n_words, `items` (sorted distinct items that match) and `spans` (merged [start, end) word ranges that matches cover).
+    """One row per row of docs: id (or the columns to be passed on, in a struct `__row`), n_words, `items` (sorted distinct ids of items that match, as strings, null first) and `spans` (merged [start, end) word ranges that matches cover).
 
     slop None: exact phrases. Otherwise proximity: all words of a window, in any order, within its length plus slop words; spans
     then hold the place of the window's rarest term.
     """
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    state = with_row(docs, passed, id=id_col, text=text_col).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("items"), F.array().cast("array<long>").alias("spans"))
+    state = with_row(docs, passed, id=id_col, text=text_col).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("spans"))
     for block, last in _blocks(items, item_col, item_text_col, block_bytes):
         shared = sc.broadcast((block, size))
         carried = "" if last else "text string, "
-        state = map_arrow(state, _search(shared, slop, last), f"{row_type(docs, passed)}id {kind}, {carried}n_words long, items array<long>, spans array<long>")
+        state = map_arrow(state, _search(shared, slop, last), f"{row_type(docs, passed)}id {kind}, {carried}n_words long, items array<string>, spans array<long>")
         if not last:
             state = materialise(state)
     pairs = F.transform(F.sequence(F.lit(0), F.expr("int(size(spans) div 2) - 1")), lambda i: F.struct(F.get("spans", 2 * i).alias("start"), F.get("spans", 2 * i + 1).alias("end")))
@@ -178,12 +181,12 @@ def _search(shared, slop: int | None, last: bool):
             items, spans = b["items"].to_pylist(), b["spans"].to_pylist()
             found = np.unique(np.stack([doc, index.item[window]], 1), axis=0)
             for d, i in found.tolist():
-                items[d].append(i)
+                items[d].append(index.names[i])
             order = np.lexsort((at, doc))
             for d, s, e in zip(doc[order].tolist(), at[order].tolist(), (at + length)[order].tolist(), strict=True):
                 base = int(starts[d])
                 spans[d] += [s - base, e - base]
-            out = row_of(b) | {"id": b["id"], "n_words": n, "items": [sorted(set(x)) for x in items], "spans": pa.array([merged(x) for x in spans], pa.list_(pa.int64()))}
+            out = row_of(b) | {"id": b["id"], "n_words": n, "items": [sorted(set(x), key=lambda k: (k is not None, k or "")) for x in items], "spans": pa.array([merged(x) for x in spans], pa.list_(pa.int64()))}
             yield out if last else out | {"text": b["text"]}
 
     return run

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from cairn.llm import decontamination, line_dedup, quality_rules, url_rules
@@ -114,6 +115,21 @@ def test_decontamination(spark, docs):
     assert decontamination.contamination(docs([]), bench).count() == 0
 
 
+def test_items_without_an_id_or_with_other_ids(spark, docs):
+    long, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "wv")
+    rows = [(0, long), (1, other), (2, f"{long} {other}"), (3, "clean")]
+    for kind, ids in (("long", (None, 7, None)), ("string", ("x-1", "10", None))):
+        items = list(zip(ids, (long, other, long), strict=True))
+        bench = spark.createDataFrame(items, f"item_id {kind}, text string")
+        for block in (16 << 20, 64):
+            got = {r.doc_id: r for r in decontamination.contamination(docs(rows), bench, block_bytes=block).collect()}
+            assert {i: (r.n_words, r.n_hit, r.n_items) for i, r in got.items()} == hits_by_hand(rows, items)
+            for i, r in got.items():  # the registered SQL leaves nulls out of the names
+                want = sorted({str(k) for k, t in items if k is not None and t in rows[i][1]})
+                assert r.items_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert {r.doc_id for r in decontamination.clean(docs(rows), bench).collect()} == {3}
+
+
 def test_proximity(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     rows = [(1, "gamma x alpha beta"), (2, "alpha " + "x " * 20 + "beta gamma"), (3, "alpha beta"), (4, "gamma")]
