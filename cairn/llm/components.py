@@ -19,6 +19,7 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
     known, until nothing changes; the number of rounds grows as the logarithm of the longest path. The smallest neighbour comes
     from an aggregation that combines on the map side and is joined back, so a node with very many neighbours is never
     gathered in a list. Each round is checkpointed. Loops and repeated edges are harmless; no edges give no rows.
+    If `rounds` rounds don't finish the labels, RuntimeError is raised.
     """
     e = materialise(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(e)
@@ -37,4 +38,6 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

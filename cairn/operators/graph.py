@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,16 +135,21 @@ def impacted_tests(impacted: DataFrame, coverage: DataFrame, by: list[str]) -> D
     return impacted.join(coverage, "symbol").select(*by, "test").distinct()
 
 
-def descendants(edges: DataFrame, kind: str = "inherits", most: int = 64) -> DataFrame:
-    """(ancestor, node_below): the transitive closure of src -> dst edges of a kind, from dst down to src."""
+def descendants(edges: DataFrame, kind: str = "inherits", most: int | None = None) -> DataFrame:
+    """(ancestor, node_below): the transitive closure of src -> dst edges of a kind, from dst down to src.
+
+    Goes on until nothing is new. With `most`, a closure that isn't whole after so many steps raises UnfinishedError.
+    """
     one = edges.where(F.col("kind") == kind).select(F.col("dst").alias("ancestor"), F.col("src").alias("node_below")).distinct()
     found = frontier = cut_lineage(one)
-    for _ in range(most):
+    for k in count():
         step = one.select(F.col("ancestor").alias("node_below"), F.col("node_below").alias("next"))
         after = frontier.join(step, "node_below").select("ancestor", F.col("next").alias("node_below")).distinct()
         frontier = cut_lineage(after.join(found, ["ancestor", "node_below"], "left_anti"))
         if frontier.isEmpty():
             break
+        if most is not None and k >= most:
+            raise UnfinishedError(f"descendants lie more than {most} steps below")
         found = found.unionByName(frontier)
     return found
 
@@ -152,17 +158,24 @@ class CycleError(ValueError):
     """A dependency graph has a cycle."""
 
 
-def topological_waves(nodes: DataFrame, depends: DataFrame, most: int = 10_000) -> DataFrame:
+class UnfinishedError(RuntimeError):
+    """A bound on the number of steps was reached with work left."""
+
+
+def topological_waves(nodes: DataFrame, depends: DataFrame, most: int | None = None) -> DataFrame:
     """(node, wave): the first wave (1) has no known dependency, every other comes one wave after its last.
 
     depends: (node, on); unknown ones are ignored. Nodes are peeled wave by wave with anti-joins; a cycle raises CycleError.
+    With `most`, nodes left after so many waves raise UnfinishedError.
     """
     every = nodes.select("node").distinct()
     edges = cut_lineage(depends.select("node", "on").join(every.select(F.col("node").alias("on")), "on").select("node", "on").distinct())
     left, done = cut_lineage(every), None
-    for wave in range(1, most + 1):
+    for wave in count(1):
         if left.isEmpty():
             break
+        if most is not None and wave > most:
+            raise UnfinishedError(f"nodes are left after {most} waves")
         open_ = edges.join(left.select(F.col("node").alias("on")), "on", "left_semi").select("node").distinct()
         ready = left.join(open_, "node", "left_anti")
         rest = cut_lineage(left.join(open_, "node", "left_semi"))

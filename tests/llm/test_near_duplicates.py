@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from cairn.llm import jaccard_join
 from cairn.llm.components import connected
 
@@ -74,3 +76,9 @@ def test_components(spark):
     got = {r.node: r.component for r in connected(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(200, 221)} == {200} and 100 not in got
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_unfinished_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        connected(chain, rounds=1)

@@ -1,3 +1,5 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,20 @@ def test_overlap_at_the_border(spark):
     gold = spark.createDataFrame([("a", 10, 20)], "path string, start_line int, end_line int")
     for s, e, n in ((1, 9, 0), (20, 25, 1), (5, 30, 1)):
         assert cov.overlaps(gold, spark.createDataFrame([("a", s, e)], "path string, start_line int, end_line int")).count() == n
+
+
+def test_steps_are_not_cut_short(spark):
+    deep = edges(spark, *((f"n{k + 1}", f"n{k}", "inherits", "exact") for k in range(6)))
+    assert graph.descendants(deep).count() == graph.descendants(deep, most=6).count() == 21
+    with pytest.raises(graph.UnfinishedError):
+        graph.descendants(deep, most=3)
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(5)], "node string")
+    on = spark.createDataFrame([(f"n{k + 1}", f"n{k}") for k in range(4)], "node string, on string")
+    assert graph.topological_waves(nodes, on, most=5).count() == 5
+    with pytest.raises(graph.UnfinishedError):
+        graph.topological_waves(nodes, on, most=3)
+
+
+@pytest.mark.parametrize("operator", (graph.descendants, graph.topological_waves))
+def test_steps_have_no_bound_of_their_own(operator):
+    assert inspect.signature(operator).parameters["most"].default is None
