@@ -4,7 +4,8 @@ The network reads runs of bytes between white space, at most WINDOW bytes at a t
 with a probability for each language; a document's probabilities are the means over all its positions. As a run's states depend on
 its own bytes only, a worker labels each distinct run once and keeps the sums in a table of bounded size; every position of every
 document counts all the same. Training is numpy back-propagation through time with Adam, on the driver, from a bounded sample:
-the runs of at most `learn_docs` documents (those with the smallest hashes), of which at most `learn_runs` are kept per language.
+the runs of at most `learn_docs` documents, of which at most `learn_runs` are kept per language. The documents (those with small
+hashes) are taken in turn from each language, so a rare language is learned too, up to `learn_docs` languages.
 
 Only the text is an input of a prediction. Nulls and odd cases: a null text, or one without any letter, is `und` with score 0; rows
 with a null language don't teach; if no language can be learned, every row is `und`. Ties go to the language that sorts first. Long
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import map_arrow, utf8
 from cairn.llm.token_counts import slices, worker_cache
+from cairn.operators.common import top
 
 WINDOW = 32
 LETTER = re.compile(r"[^\W\d_]")
 KEPT_RUNS = 600_000
+SALTS = 16
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -180,7 +183,11 @@ class RunTable:
 
 def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn_docs: int, learn_runs: int) -> ByteTagger | None:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and id is not null")
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(learn_docs).distinct()
+    # In two steps, so no task gathers learn_docs rows of a language from every other task: of each salt its share, then ranks by language.
+    ids = rows.select("lang", "id", F.xxhash64("id").alias("h")).withColumn("salt", F.pmod(F.shiftright("h", 20), F.lit(SALTS)))
+    some = top(ids, -(-learn_docs // SALTS), ["lang", "salt"], F.col("h"), F.col("id")).drop("rank")
+    ranked = top(some, learn_docs, ["lang"], F.col("h"), F.col("id"))
+    chosen = ranked.orderBy("rank", "h", "id", "lang").limit(learn_docs).select("id").distinct()
     taught = rows.join(F.broadcast(chosen), "id")  # learn_docs ids at most are broadcast
 
     taught = taught.select("lang", "text")

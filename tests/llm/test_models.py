@@ -54,6 +54,13 @@ def test_language_edges(spark, docs):
     assert language_id.identify(docs([])).count() == 0
 
 
+def test_a_rare_language_is_learned(spark, docs):
+    common = docs([(i, f"the house number {i} is on the hill") for i in range(2000)])
+    rare = docs([(5000 + i, "żółw ćma źdźbło ślęża gęś") for i in range(3)], lang="pl")
+    model = language_id.learn(common.unionByName(rare), "doc_id", "text", "lang", 40, 500)
+    assert model.languages == ["en", "pl"]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = language_id.ByteTagger(["a", "b", "c"], hidden=3)
