@@ -1,9 +1,9 @@
 """Benchmark decontamination by a positional inverted index that is distributed by documents.
 
-Each task indexes its own documents: the postings of a term are its positions in the task's texts, for every term that a test
-item has. A window of an item is looked up from its rarest term: that term's positions, shifted back by its place in the window,
-are intersected with the shifted positions of the next rarest, and so on, until the list is empty or all terms agree; what is
-left are exact phrase matches. Documents are never shuffled, so neither a hot passage nor a hot source gathers in a task.
+Each task indexes its own documents, an Arrow batch at a time, and stores nothing: the postings of a term are its positions in the
+batch's texts, for every term that a test item has. A window of an item is looked up from its rarest term: that term's positions,
+shifted back by its place in the window, are the candidates, whose other words, from the next rarest on, are verified by position in
+the batch's array of term numbers; what is left are exact phrase matches. Documents are never shuffled, so neither a hot passage nor a hot source gathers in a task.
 
 The test items go to the tasks in blocks of a checked size (`block_bytes`); with several blocks the documents, with what they
 matched so far, pass through the index once a block, cut by a checkpoint.
