@@ -6,16 +6,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, set from spark.checkpoint.dir if need be; only in local mode a temporary one where neither is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"cairn-{uuid.uuid4().hex}"))
+    return sc.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the folder that the cluster names in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"cairn-{uuid.uuid4().hex}"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
