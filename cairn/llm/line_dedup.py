@@ -7,12 +7,14 @@ line the first occurrence (smallest id, then place) stays and all others go, so
 Short lines recur by chance, long ones hardly do: with `long_sites` lines of more than `long_words` words have a threshold of their
 own, so a passage whose copies lie mostly on one hot site, and so on few sites in all, is found too.
 
-All of it is built-in expressions and joins. The flagged lines meet the occurrences in a join salted by document; the joins
-are left to the adaptive planner, which broadcasts a side only once its measured size is below the session's threshold.
+All of it is built-in expressions and joins. What a join needs is picked first: a filter of fixed size (2 MB of bits, see
+common.membership) tells which lines may be near the threshold or flagged, and which documents may lose one, so all other lines and
+texts are not shuffled. Flagged lines meet their occurrences in a join salted by document.
 
 Lines are compared without white space at their ends. Blank lines are no lines: they never go. Nulls: a null text has no lines and
 stays null; a null site counts as no site; a null id is an id like others. Repeated rows with the same id and text are the same
-occurrence, and all keep or lose the same lines. An empty table gives no rows. Further columns are passed on as they are.
+occurrence, and all keep or lose the same lines. An empty table gives no rows. Further columns are passed on as they are, whatever their names; where
+one is named n_lines or n_removed, the result has two columns of the name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import ASCII_SPACE
+from cairn.llm.common import ASCII_SPACE, materialise, may_hold, membership
 
 #: 2^LG_K registers: a relative standard error of about 3 %; counts of up to a hundred or so are kept as they are.
 LG_K = 10
@@ -51,12 +53,13 @@ def line_spread(occurrences: DataFrame, min_sites: int, long_sites: int | None =
     )
     guessed = sketched.select("h", "g", "first", "need", F.hll_sketch_estimate("sketch").alias("sites"))
     slack = 5 * ERROR * F.col("need") + 1
-    sure = guessed.where(F.col("sites") > F.col("need") + slack).select("h", "g", "first")
-    near = guessed.where(F.col("sites").between(F.col("need") - slack, F.col("need") + slack)).select("h", "g", "first", "need")
-    # Distinct (line, site) rows first: a hot line then has one row for each site, wherever it is joined.
-    pairs = occurrences.where("site is not null").select("h", "g", "site").distinct()
-    exact = pairs.join(near, ["h", "g"]).groupBy("h", "g").agg(F.count("*").alias("sites"), F.first("first").alias("first"), F.first("need").alias("need")).where(F.col("sites") >= F.col("need"))
-    return sure.unionByName(exact.select("h", "g", "first"))
+    wide = materialise(guessed.where(F.col("sites") >= F.col("need") - slack))  # few of all lines, and used three times
+    sure = F.col("sites") > F.col("need") + slack
+    near = wide.where(~sure).select("h", "g", "first", "need")
+    # Only lines near the threshold go on to be counted, a row for each site and task, so a hot line isn't gathered.
+    held = occurrences.where("site is not null").where(may_hold(F.col("h"), membership(near, "h"))).select("h", "g", "site")
+    exact = held.distinct().join(near, ["h", "g"]).groupBy("h", "g").agg(F.count("*").alias("sites"), F.first("first").alias("first"), F.first("need").alias("need")).where(F.col("sites") >= F.col("need"))
+    return wide.where(sure).select("h", "g", "first").unionByName(exact.select("h", "g", "first"))
 
 
 def dedup_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", salts: int = 32, long_sites: int | None = None, long_words: int = 50) -> DataFrame:
@@ -65,17 +68,26 @@ def dedup_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text
     long_sites: the threshold of lines of more than long_words words; None: that of all lines.
     """
     occurrences = _occurrences(df, id_col, text_col, site_col, None if long_sites is None else long_words)
-    flagged = line_spread(occurrences, min_sites, long_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = occurrences.withColumn("salt", F.pmod(F.xxhash64("id", "of"), F.lit(salts)).cast("int"))
+    flagged = materialise(line_spread(occurrences, min_sites, long_sites))
+    salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = occurrences.where(may_hold(F.col("h"), membership(flagged, "h"))).select("id", "of", "place", "h", "g", F.pmod(F.xxhash64("id", "of"), F.lit(salts)).cast("int").alias("salt"))
     again = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.of") == F.col("of")) & (F.col("first.place") == F.col("place"))
-    dropped = salted.join(flagged, ["h", "g", "salt"]).where(~again).groupBy("id", "of").agg(F.collect_set("place").alias("__places"))
-    own = dropped.select(F.col("id").alias("__id"), F.col("of").alias("__of"), "__places")
-    lines = F.split(text_col, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__places"), lambda i: F.get(lines, i))
+    dropped = held.join(salted, ["h", "g", "salt"]).where(~again).groupBy("id", "of").agg(F.collect_set("place").alias("places"))
+    own = materialise(dropped.select(F.struct("id", "of").alias("key"), F.xxhash64("id", "of").alias("at"), "places"))
+    # The row goes along in one struct, so no name clashes. Only documents that may lose a line meet their places.
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("of"))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), key.alias("key"), F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("at"))
+    tested = rows.withColumn("met", may_hold(F.col("at"), membership(own, "at")))
+    met = tested.where("met").alias("d").join(own.alias("o"), F.col("d.key").eqNullSafe(F.col("o.key")), "left").select("d.row", "o.places")
+    joined = met.unionByName(tested.where("not met").select("row", F.lit(None).cast(own.schema["places"].dataType).alias("places")))
+    text = F.col("row").getField(text_col)
+    lines = F.split(text, "\n")
+    # The lines are bound to a variable, so that they are split once and not for each line that stays.
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "places"), lambda i: F.get(ls, i))
+    kept = F.get(F.transform(F.array(lines), left), F.lit(0))
     n = F.size(F.filter(lines, lambda x: _trimmed(x) != ""))
-    joined = df.join(own, F.col("__id").eqNullSafe(F.col(id_col)) & (F.col("__of") == F.xxhash64(text_col)), "left")
     return joined.select(
-        *(F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in df.columns),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"),
+        *((F.when(F.col("places").isNull(), text).otherwise(F.array_join(kept, "\n")) if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns),
+        F.when(text.isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
+        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
     )

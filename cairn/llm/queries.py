@@ -39,8 +39,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Sites from which a line of more than 50 words is boilerplate: one source may hold a third of the rows, so copies lie on few sites.
+LONG_SITES = 5
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), long_sites=LONG_SITES).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +112,13 @@ ORACLE_SQL: dict[str, str] = {
                  FROM cut LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
         SELECT page_id, url, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE k = 1
     """,
-    "op4_line_dedup": r"""
+    "op4_line_dedup": rf"""
         WITH cut AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS y FROM documents),
         spots AS (SELECT doc_id, source, unnest(range(1, len(y) + 1)) AS p, unnest(y) AS line FROM cut),
         occ AS (SELECT doc_id, source, p, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k FROM spots),
-        wide AS (SELECT k, min({'d': doc_id, 'p': p}) AS first FROM occ WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
-        marked AS (SELECT occ.*, wide.k IS NOT NULL AND first <> {'d': doc_id, 'p': p} AS gone FROM occ LEFT JOIN wide USING (k))
+        wide AS (SELECT k, min({{'d': doc_id, 'p': p}}) AS first FROM occ WHERE k <> '' GROUP BY k
+                 HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(k, '[\x20\x09-\x0D]+')) >= 50 THEN {LONG_SITES} ELSE 10 END),
+        marked AS (SELECT occ.*, wide.k IS NOT NULL AND first <> {{'d': doc_id, 'p': p}} AS gone FROM occ LEFT JOIN wide USING (k))
         SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS text,
                count(*) FILTER (WHERE k <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
         FROM marked GROUP BY doc_id
