@@ -22,9 +22,11 @@ So a group of thousands of near copies costs rows in proportion to its size, not
 or a component's documents is ever gathered.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. With fewer words than a shingle has the whole text is one shingle; without words
-(or null) the set is empty and linked with nothing: its component is the document's own id. Repeated rows are exact copies. A null id is
-no candidate for the smallest id, and a text that only rows without an id have is linked with its copies alone. Long texts are used whole; an empty table gives no rows; columns besides the two named aren't
-read.
+(or null) the set is empty and linked with nothing: its component is the document's own id. Repeated rows are exact copies. A row
+with a null id links as any other, only its id is no candidate for the smallest: a component's id is null where all its rows lack
+one. Long texts are used whole; an empty table gives no rows; columns besides the two named aren't read.
+
+A set's name is a 64-bit hash; a second one shows where several sets have the same name, and those are named by it instead.
 """
 
 from __future__ import annotations
@@ -38,17 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import map_arrow, materialise, release, utf8
+from cairn.llm.common import cut, each, map_arrow, materialise, may_hold, membership, release, worker_cache
 from cairn.llm.components import connected
-from cairn.llm.token_counts import slices, worker_cache
 
 SLOT_BITS, CHUNKS, GROUP_BITS = 20, 256, 24
 KEPT_WORDS, KEPT_NODES = 200_000, 200_000
 #: Bytes of text that a worker turns into sets at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 #: Partners that a node tries in each turn of the early rounds; earliest nodes of a shingle that a turn looks at.
 TRIES, HUBS = (2, 8, 32), 3
-BROADCAST_PAIRS = 300_000
+#: Nodes whose 64-bit names collide that are told to the workers; with more the names are not good enough.
+COLLISIONS = 10_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,34 +95,48 @@ def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def _node(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.tobytes(), len(s)) - (1 << 63)
+def _names(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes(), len(s))
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def _node(s: np.ndarray, collided: frozenset[int]) -> int:
+    """A set's name: its first hash, or the second where several sets have the first."""
+    first, second = _names(s)
+    return second if first in collided else first
 
 
 def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def describe(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, node) of every row, node null for empty sets; and the shingle count of each slot over all rows."""
+def _at(id_col: str, text_col: str) -> Column:
+    """What rows are found by, null ids too: two hashes of id and text."""
+    key = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col)]
+    return F.struct(F.xxhash64(*key).alias("x"), F.xxhash64(*key[::-1]).alias("y"))
+
+
+def describe(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, np.ndarray, frozenset[int]]:
+    """(id, at, n, node) of every row, node null for empty sets; the shingle count of each slot over all rows; and the first hashes that several sets have."""
     kind = df.schema[id_col].dataType.simpleString()
     width = (1 << SLOT_BITS) // CHUNKS
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         count = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            n, node = [], []
-            for some in slices([x or b"" for x in utf8(b["text"])], AT_ONCE):
+            n, names = [], []
+            for some in cut(b["text"], AT_ONCE):
                 for s in shingle_sets(some, size):
                     count[_slots(s)] += 1  # a set that has two shingles in a slot counts once
                     n.append(len(s))
-                    node.append(_node(s) if len(s) else None)
+                    names.append(_names(s) if len(s) else (None, None))
             none = [None] * len(n)
-            yield {"id": b["id"], "n": n, "node": node, "chunk": none, "counts": none}
+            yield {"id": b["id"], "at": b["at"], "n": n, "node": [x for x, _ in names], "other": [y for _, y in names], "chunk": none, "counts": none}
         parts = count.reshape(CHUNKS, width)
         used = np.flatnonzero(parts.any(1)).tolist()
         none = [None] * len(used)
-        yield {"id": none, "n": none, "node": none, "chunk": used, "counts": [zlib.compress(parts[k].tobytes(), 1) for k in used]}
+        yield {"id": none, "at": none, "n": none, "node": none, "other": none, "chunk": used, "counts": [zlib.compress(parts[k].tobytes(), 1) for k in used]}
 
     def fold(batches: Iterator[dict]) -> Iterator[dict]:
         total: dict[int, np.ndarray] = {}  # at most CHUNKS arrays, however many rows
@@ -129,15 +145,22 @@ def describe(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Data
                 total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int64)
         yield {"chunk": list(total), "counts": [c.tobytes() for c in total.values()]}
 
-    rows = materialise(map_arrow(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), run, f"id {kind}, n long, node long, chunk int, counts binary"))
+    read = df.select(F.col(id_col).alias("id"), _at(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
+    rows = materialise(map_arrow(read, run, f"id {kind}, at struct<x:bigint,y:bigint>, n long, node long, other long, chunk int, counts binary"))
     partial = rows.where("chunk is not null").select("chunk", "counts")
     slots = np.zeros((CHUNKS, width), np.int64)
     for r in map_arrow(partial.repartition(16, "chunk"), fold, "chunk int, counts binary").collect():  # CHUNKS rows of fixed size
         slots[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return rows.where("chunk is null").select("id", "n", "node"), slots.ravel()
+    rows = rows.where("chunk is null")
+    twice = rows.where("node is not null").groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("node")
+    collided = frozenset(r.node for r in twice.limit(COLLISIONS + 1).collect())  # chance alone makes n * n / 2^65 of them
+    if len(collided) > COLLISIONS:
+        raise RuntimeError("too many sets share a 64-bit hash")
+    named = F.when(F.col("node").isin(*collided), F.col("other")).otherwise(F.col("node")) if collided else F.col("node")
+    return rows.select("id", "at", "n", named.alias("node")), slots.ravel(), collided
 
 
-def prefix_rows(df: DataFrame, slots: np.ndarray, text_col: str, size: int, percent: int) -> DataFrame:
+def prefix_rows(df: DataFrame, slots: np.ndarray, collided: frozenset[int], text_col: str, size: int, percent: int) -> DataFrame:
     """(token, node, tag, pos) for each prefix shingle of each set, pos being its place; tag is the set's size times 2^GROUP_BITS plus a hash of its prefix.
 
     Prefixes whose hashes are equal by chance only widen a group, whose members are verified one by one.
@@ -148,11 +171,11 @@ def prefix_rows(df: DataFrame, slots: np.ndarray, text_col: str, size: int, perc
         count = shared.value
         seen: set[int] = set()  # nodes that this task has sent; forgetting some only sends them again
         for b in batches:
-            for some in slices([x for x in utf8(b["text"]) if x], AT_ONCE):
+            for some in cut(b["text"], AT_ONCE):
                 prefixes, nodes, tags = [np.zeros(0, np.int64)], [], []
                 for s in shingle_sets(some, size):
                     n = len(s)
-                    if not n or (node := _node(s)) in seen:
+                    if not n or (node := _node(s, collided)) in seen:
                         continue
                     if len(seen) >= KEPT_NODES:
                         seen.clear()
@@ -167,23 +190,28 @@ def prefix_rows(df: DataFrame, slots: np.ndarray, text_col: str, size: int, perc
     return map_arrow(df.selectExpr(f"`{text_col}` text"), run, "token long, node long, tag long, pos int")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes, a checkpointed table, whose sets are similar enough, as edges (u, v), by their whole texts."""
+def verified(pairs: DataFrame, nodes: DataFrame, collided: frozenset[int], df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of nodes, a checkpointed table, whose sets are similar enough, as edges (u, v), by their whole texts.
+
+    A node's text is that of one row. A filter of fixed size (common.membership) leaves out most texts that no pair asks for;
+    the others are joined to their nodes as the planner sees fit.
+    """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    source = wanted.join(nodes, "node").select("node", F.col("rep").alias("__rep"))
-    if pairs.count() <= BROADCAST_PAIRS:  # two rows of two ids for each at most; else the texts are shuffled to the ids
-        source = F.broadcast(source)
-    texts = source.join(df.select(F.col(id_col).alias("__rep"), F.col(text_col).alias("text")), "__rep").select("node", "text")
+    source = materialise(wanted.join(nodes, "node").select("node", F.col("rep").alias("at")))
+    read = df.select(_at(id_col, text_col).alias("at"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & may_hold(F.col("at.x"), membership(source.select("at.x"), "x")))
+    release(df.sparkSession)
+    texts = source.join(read, "at").select("node", "text")
+    texts = texts.dropDuplicates(["node"])  # a row may be repeated any number of times
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             u, v = [], []
-            for x, y, s, t in zip(b["a"].to_pylist(), b["b"].to_pylist(), utf8(b["text_a"]), utf8(b["text_b"]), strict=True):
+            for x, y, s, t in zip(b["a"].to_pylist(), b["b"].to_pylist(), each(b["text_a"]), each(b["text_b"]), strict=True):
                 s, t = shingle_sets([s, t], size)
-                if _node(s) != x or _node(t) != y:  # another row of the same id
-                    continue
+                if _node(s, collided) != x or _node(t, collided) != y:
+                    raise RuntimeError("a text is not the one that was read before")
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * common >= percent * (len(s) + len(t) - common):
                     u.append(x)
@@ -276,25 +304,25 @@ def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return grown.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per row of df: id, n_shingles and component_id (the smallest id that links reach, itself included)."""
-    rows, slots = describe(df, id_col, text_col, size)
-    nodes = rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"))
+    rows, slots, collided = describe(df, id_col, text_col, size)
+    nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("at").alias("rep")))
     order = Window.partitionBy("token").orderBy("tag", "node")
-    seen = prefix_rows(df, slots, text_col, size, percent).select("*", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"))
+    seen = prefix_rows(df, slots, collided, text_col, size, percent).select("*", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"))
     # Of a node's repeated rows the first stays; a shingle of one node only may stay once, and pairs with nothing.
     live = materialise(seen.where("(prev is null or prev <> node) and (prev is not null or next is not null)").select("token", "node", "tag", "pos"))
     del seen
     release(df.sparkSession)
-    check = lambda pairs: materialise(verified(pairs, nodes, df, id_col, text_col, size, percent))
+    check = lambda pairs: materialise(verified(pairs, nodes, collided, df, id_col, text_col, size, percent))
     pairs = materialise(hub_pairs(live.withColumn("comp", F.col("node")), 0, percent))
-    links = tried = None
+    tried = comp = None
+    joined = lambda comp, found: connected(found if comp is None else found.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     turn = 0
     while True:
         found = check(pairs)
-        links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        comp = connected(links)
+        comp = joined(comp, found)
         release(df.sparkSession)
         rows_left = mixed_rows(live, comp, percent)
         ahead, there = work(rows_left, percent)
@@ -303,9 +331,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 75, id_col: str
         turn += 1
         pairs = materialise(hub_pairs(rows_left, turn, percent).join(tried, ["a", "b"], "left_anti"))
     last = check(materialise(rest_pairs(rows_left, percent).join(tried, ["a", "b"], "left_anti")))
-    comp = connected(links.unionByName(last))
-    label = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("comp"))
-    least = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = label.join(least, "comp").select("node", "component_id")
-    out = rows.join(named, "node", "left")
+    comp = joined(comp, last)
+    # Only nodes with a link need their component's smallest id; the join back is salted, so a large component is spread.
+    linked = nodes.join(comp, "node").select("node", "least", F.col("component").alias("comp"), F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("salt"))
+    least = linked.groupBy("comp").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    named = linked.join(least, ["comp", "salt"]).select("node", "component_id")
+    alone = nodes.join(comp, "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    out = rows.join(named.unionByName(alone), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -66,6 +66,44 @@ def test_a_large_group_with_rounds(spark, docs):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components_by_hand(rows)
 
 
+def test_rows_without_an_id_link_and_carry_chains(spark, docs):
+    """Also where most rows lack one, and one such row is repeated very often."""
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(60)]
+    rows = [(None if k % 3 else k, " ".join(w if i not in (4 * k, 4 * k + 1) else f"y{k}_{i}" for i, w in enumerate(base))) for k in range(1, 12)]
+    chain = [f"d{i}" for i in range(80)]
+    rows += [(20 if k == 0 else 21 if k == 5 else None, " ".join(chain[k : k + 60])) for k in range(6)]  # only neighbours but a few apart link
+    rows += [(None, " ".join(chain[2:62]))] * 60 + [(None, " ".join(f"z{i}" for i in range(30)))] * 3
+    rng.shuffle(rows)
+    got = jaccard_join.near_duplicates(docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == components_by_hand(rows)
+
+
+def test_names_that_collide(spark, docs, monkeypatch):
+    """Where first hashes collide, sets are told apart by the second."""
+    real = jaccard_join._names
+    some = jaccard_join.shingle_sets([b"a b c d e f"], 5)[0]
+    assert jaccard_join._node(some, frozenset()) == real(some)[0] and jaccard_join._node(some, frozenset([real(some)[0]])) == real(some)[1]
+    monkeypatch.setattr(jaccard_join, "_names", lambda s: (real(s)[0] % 3, real(s)[1]))
+    frame = docs([(i, " ".join(f"w{i}_{k}" for k in range(9))) for i in range(30)])
+    rows, _, collided = jaccard_join.describe(frame, "doc_id", "text", 5)
+    assert rows.select("node").distinct().count() == 30 and collided == {0, 1, 2}
+    monkeypatch.setattr(jaccard_join, "COLLISIONS", 2)
+    with pytest.raises(RuntimeError):
+        jaccard_join.describe(frame, "doc_id", "text", 5)
+
+
+def test_long_texts(spark, docs):
+    rng = random.Random(9)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(60_000)]
+    near = list(base)
+    for k in range(0, 60_000, 60):
+        near[k] = f"n{k}"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(reversed(base)))]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard_join.near_duplicates(docs(rows)).collect()}
+    assert got[2][0] == 1 and got[3][0] == 3 and got[1][1] == len(sets_by_hand(rows)[0])
+
+
 def test_empty_table(spark, docs):
     assert jaccard_join.near_duplicates(docs([])).count() == 0
 
