@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,6 +37,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
         for out in fn(columns):
             arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, spark_schema)
@@ -62,16 +63,93 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def cut(column: pa.Array, most: int) -> Iterator[list[bytes]]:
+    """The UTF-8 bytes of a string column, null as empty, in runs of about `most` bytes at most; a longer text is alone.
+
+    Only one run at a time is turned into Python objects, so a large batch of long texts takes no more than a small one.
+    """
+    raw = column.cast(pa.binary())
+    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(raw):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + most, "right")))
+        yield [x or b"" for x in raw.slice(low, high - low).to_pylist()]
+        low = high
+
+
+def each(column: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of a string column, one by one."""
+    for x in column.cast(pa.binary()):
+        yield x.as_py()
+
+
+_CACHE: dict = {}
+
+
+def worker_cache(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: tables that only save work, never results. An operator's table replaces another's."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        give_back()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: workers live on between tasks, and several share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: Bits of the fixed-size filter that membership() makes: 2 MB, whatever the input, in bitmaps of ROW bits.
+FILTER_BITS, ROW = 24, 1 << 15
+
+
+def _place(key: Column) -> Column:
+    return key.bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long"))
+
+
+def membership(keys: DataFrame, key: str) -> DataFrame:
+    """One row with an array of bitmaps, 2^FILTER_BITS bits together, in which those of the keys (hashes) are set.
+
+    Few keys leave most bits clear, so rows without a partner can skip a shuffle; with very many all pass, and nothing is lost.
+    """
+    place = _place(F.col(key))
+    row = F.shiftright(place, 15).cast("int").alias("row")
+    rows = keys.where(F.col(key).isNotNull()).groupBy(row).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(ROW))).alias("bits"))
+    cells = F.array(F.map_from_entries(F.collect_list(F.struct("row", "bits"))))  # 2^FILTER_BITS / ROW of them at most
+    laid = F.transform(cells, lambda m: F.transform(F.sequence(F.lit(0), F.lit((1 << FILTER_BITS) // ROW - 1)), lambda i: F.try_element_at(m, i)))
+    return materialise(rows.agg(laid[0].alias("bits")))
+
+
+def may_hold(key: Column, bits: DataFrame) -> Column:
+    """Whether a key may be among those of membership(); never false for one that is. A scalar subquery, so no row carries the bits."""
+    place = _place(key)
+    row = F.get(bits.scalar(), F.shiftright(place, 15).cast("int"))
+    byte = F.substring(row, F.shiftright(F.pmod(place, F.lit(ROW)), 3).cast("int") + 1, F.lit(1))
+    return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: the checkpoint folder.
 
-    spark.checkpoint.dir is read from the session; only where neither it nor a checkpoint folder is set, as in tests, a folder of
-    our own is used.
+    spark.checkpoint.dir is read from the session. Where neither it nor a checkpoint folder is set, a temporary folder is used in
+    local mode, as in tests; on a cluster that would be a folder of one machine, so RuntimeError is raised.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"cairn-{uuid.uuid4().hex}"))
-    return sc.getCheckpointDir()
+    from cairn.operators.common import checkpoint_dir
+
+    return checkpoint_dir(spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -20,10 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, utf8
+from cairn.llm.common import cut, map_arrow
 from cairn.llm.html_tree import Page, blocks, parse
 from cairn.llm.page_samples import samples
-from cairn.llm.token_counts import slices
 
 # Tags and words in class, id and role that have a weight of their own.
 TAGS = (
@@ -166,7 +165,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             text: list[str] = []
-            for some in slices([x or b"" for x in utf8(b["html"])], 1_000_000):
+            for some in cut(b["html"], 1_000_000):
                 text += shared.value.texts([x.decode() for x in some])
             yield {"id": b["id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]}
 

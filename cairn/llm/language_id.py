@@ -23,8 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, utf8
-from cairn.llm.token_counts import slices, worker_cache
+from cairn.llm.common import cut, map_arrow, utf8, worker_cache
 from cairn.operators.common import top
 
 WINDOW = 32
@@ -237,9 +236,8 @@ def identify(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str
             kept[token] = model and RunTable(model)
         runs = kept[token]
         for b in batches:
-            texts = [x or b"" for x in utf8(b["text"])]
             named, score = [], []
-            for some in slices(texts, 4_000_000):
+            for some in cut(b["text"], 4_000_000):
                 lettered = [bool(LETTER.search(t.decode())) for t in some]
                 if model is None:
                     named += ["und"] * len(some)

@@ -22,8 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, row_of, row_type, utf8, with_row
-from cairn.llm.token_counts import slices, worker_cache
+from cairn.llm.common import cut, map_arrow, row_of, row_type, with_row, worker_cache
 
 MARK = "▁"
 KEPT_SEGMENTS = 300_000
@@ -184,7 +183,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         c = codec(model_path)
         for b in batches:
-            yield {id_col: b["id"], "ids": [c.encode((x or b"").decode()) for x in utf8(b["text"])]}
+            yield {id_col: b["id"], "ids": [c.encode(t.decode()) for some in cut(b["text"], 1_000_000) for t in some]}
 
     return map_arrow(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), run, f"`{id_col}` {kind}, ids array<int>")
 
@@ -202,14 +201,14 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
 
 
 def digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", passed: list[str] | None = None) -> DataFrame:
-    """Each row's id (or the columns to be passed on), n_tokens, ids_sha256 and decoded_sha256; ids don't leave the worker."""
+    """Each row's id (or the columns to be passed on, in a struct `__row`), n_tokens, ids_sha256 and decoded_sha256; ids don't leave the worker."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         c = codec(model_path)
         for b in batches:
-            rows = [c.digest(t.decode()) for some in slices([x or b"" for x in utf8(b["text"])]) for t in some]
+            rows = [c.digest(t.decode()) for some in cut(b["text"], 1_000_000) for t in some]
             yield row_of(b) | {"id": b["id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]}
 
     out = map_arrow(with_row(df, passed, id=id_col, text=text_col), run, f"{row_type(df, passed)}id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select("__row.*" if passed else F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
+    return out.select("__row" if passed else F.col("id").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -23,12 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import map_arrow, row_of, row_type, utf8, with_row
-from cairn.llm.token_counts import slices, worker_cache
+from cairn.llm.common import cut, map_arrow, row_of, row_type, with_row, worker_cache
 
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
-KEPT_TOKENS = 500_000
+KEPT_TOKENS = 300_000
+#: Bytes of text whose tokens' vectors a worker holds at once, or one longer text.
+AT_ONCE = 500_000
 
 
 class Slots(dict):
@@ -65,7 +66,7 @@ def context_sums(df: DataFrame, text_col: str = "text") -> np.ndarray:
         places, signs = index_vectors()
         total = np.zeros(SLOTS * DIM)
         for b in batches:
-            for some in slices([x or b"" for x in utf8(b["text"])], 4_000_000):
+            for some in cut(b["text"], 2_000_000):
                 slot, n = tokens(some)
                 doc = np.repeat(np.arange(len(n)), n)
                 for step in range(1, REACH + 1):
@@ -176,7 +177,7 @@ def train(df: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str,
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            x = features(utf8(b["text"]), vectors.value)
+            x = np.concatenate([features(some, vectors.value) for some in cut(b["text"], AT_ONCE)] or [np.zeros((0, FEATURES), np.float32)])
             yield {"id": b["id"], "label": b["label"], "x": list(x)}
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -190,7 +191,7 @@ def train(df: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str,
 
 
 def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_rows: int = 20_000, passed: list[str] | None = None) -> DataFrame:
-    """One row per row of df: id (or the columns to be passed on), held_out, score (0 to 1, higher: label 1 is likelier) and predicted (score >= threshold).
+    """One row per row of df: id (or the columns to be passed on, in a struct `__row`), held_out, score (0 to 1, higher: label 1 is likelier) and predicted (score >= threshold).
 
     held_out: a Column over id_col; labels of rows for which it is true are not learned from.
     """
@@ -203,8 +204,8 @@ def quality_scores(df: DataFrame, labels: DataFrame, held_out=None, threshold: f
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            score = np.concatenate([shared.value.scores(features(some, vectors.value)) if shared.value else np.full(len(some), 0.5) for some in slices([x or b"" for x in utf8(b["text"])], 1_500_000)] or [np.zeros(0)])
+            score = np.concatenate([shared.value.scores(features(some, vectors.value)) if shared.value else np.full(len(some), 0.5) for some in cut(b["text"], AT_ONCE)] or [np.zeros(0)])
             yield row_of(b) | {"id": b["id"], "score": score}
 
     scored = map_arrow(with_row(df, passed, id=id_col, text=text_col), run, f"{row_type(df, passed)}id {kind}, score double").withColumnRenamed("id", id_col)
-    return scored.select("__row.*" if passed else id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("__row" if passed else id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

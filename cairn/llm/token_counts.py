@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import regex
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import map_arrow, utf8
+from cairn.llm.common import cut, map_arrow, worker_cache
 
 # The pre-tokeniser pattern of byte-level BPE files.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,6 +29,8 @@ AGREED = regex.compile("[^\x00-՗ -⁯]")
 #: Entries and entry length of the pre-token table that a worker keeps from batch to batch; others are counted and forgotten.
 KEPT_ENTRIES = 600_000
 KEPT_CHARS = 64
+#: Bytes of text that a worker counts at once.
+AT_ONCE = 4_000_000
 
 
 class PieceCounter:
@@ -101,35 +103,11 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         counter = worker_cache(("pieces", tokenizer_path), lambda: PieceCounter(tokenizer_path))
         for b in batches:
-            raw = [x or b"" for x in utf8(b["text"])]
             n: list[int] = []
-            for some in slices(raw):
+            size: list[int] = []
+            for some in cut(b["text"], AT_ONCE):
+                size += map(len, some)
                 n += counter.count([x.decode("utf-8") for x in some])
-            yield {id_col: b["id"], "n_bytes": [len(x) for x in raw], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            yield {id_col: b["id"], "n_bytes": size, "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     return map_arrow(df.selectExpr(f"`{id_col}` id", f"`{text_col}` text"), run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
-
-
-def slices(texts: list[bytes], most: int = 8_000_000) -> Iterator[list[bytes]]:
-    """Runs of texts of about `most` bytes at most; a longer text is alone."""
-    some: list[bytes] = []
-    size = 0
-    for t in texts:
-        if some and size + len(t) > most:
-            yield some
-            some, size = [], 0
-        some.append(t)
-        size += len(t)
-    if some:
-        yield some
-
-
-_CACHE: dict = {}
-
-
-def worker_cache(key: tuple, make: Callable):
-    """What a Python worker keeps from task to task: tables that only save work, never results. An operator's table replaces another's."""
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = make()
-    return _CACHE[key]
