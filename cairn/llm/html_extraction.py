@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Each element of a page is a binary variable: content or not. Its own potential comes from its tag, its class and id words and
-measures of its text; a potential between parent and child makes neighbours agree as far as training found they do. As the page is
+Each element of a page is a binary variable: content or not. Its own potential comes from its tag, its class and id words, those of the
+elements around it and measures of its text; a potential between parent and child, one for each kind of child, makes neighbours agree as far as training found they do. As the page is
 a tree, sum-product messages passed from the leaves to the root and back give exact marginals; the text of elements whose
 marginal for content is above a half is the result. Weights are fitted by gradient ascent on the likelihood of labelled
 pages, which a generator here lays out at random (page_samples) with every kind of boilerplate known.
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import cut, map_arrow
-from cairn.llm.html_tree import Page, blocks, parse
-from cairn.llm.page_samples import samples
+from cairn.llm.html_tree import BLOCK, Page, blocks, parse
+from cairn.llm.page_samples import LAYOUTS, samples
 
 # Tags and words in class, id and role that have a weight of their own.
 TAGS = (
@@ -32,10 +32,14 @@ TAGS = (
 WORDS = (
     "nav navigation menu header footer sidebar side ad ads advert advertisement sponsor sponsored banner cookie consent notice alert warning promo popup modal overlay share social "
     "comment comments discussion reply respond related recommended widget breadcrumb breadcrumbs search login signup subscribe newsletter form toolbar pagination pager tags copyright legal "
+    "replies responses thread disqus feedback reader user review rating vote subscription cta donate sticky gdpr privacy policy tools section list item box panel "
     "article content post entry main body story text page lead intro summary headline title caption author byline meta date top bottom site global complementary contentinfo"
 ).split()
-NUMBERS = 9
-SIZE = len(TAGS) + len(WORDS) + NUMBERS + 1
+NUMBERS, EDGES = 12, 3
+OWN = len(TAGS) + len(WORDS)
+#: Weights of an element's own tag and words, of those of its ancestors, of the numbers, and a constant.
+SIZE = 2 * OWN + NUMBERS + 1
+MAIN = frozenset(["article", "main"])
 _TAG = {t: k for k, t in enumerate(TAGS)}
 _WORD = {w: len(TAGS) + k for k, w in enumerate(WORDS)}
 
@@ -54,24 +58,33 @@ class Forest:
         order = np.argsort(self.depth, kind="stable")
         cuts = np.searchsorted(self.depth[order], np.arange(1, self.depth.max(initial=0) + 1))
         self.levels = np.split(order, cuts)
+        # What joins an element to its parent: 0 an inline element, 1 a block without class or id, 2 one with.
+        self.edge = np.concatenate([np.array([0 if t not in BLOCK else 1 + bool(m) for t, m in zip(p.tag, p.marks, strict=True)], np.int64) for p in pages]) if pages else self.parent
         self.x_rows, self.x_cols, self.numbers = self._features(pages, size)
 
     def _features(self, pages: list[Page], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, cols = [], []
         n = int(size.sum())
+        inside = np.zeros(n)  # 1 in an article or main element, -1 outside where the page has one
         chars, links, stops = np.zeros(n), np.zeros(n), np.zeros(n)
         for base, p in zip(self.first.tolist(), pages, strict=True):
+            above: list[frozenset[int]] = []  # of each element what its children inherit; most share their parent's set
             for k, t in enumerate(p.tag):
+                own = {_WORD[w] for m in p.marks[k] if (w := m.partition(":")[2]) in _WORD}
                 if (c := _TAG.get(t)) is not None:
-                    rows.append(base + k)
-                    cols.append(c)
-                for c in {_WORD[w] for m in p.marks[k] if (w := m.partition(":")[2]) in _WORD}:
-                    rows.append(base + k)
-                    cols.append(c)
+                    own.add(c)
+                got = above[p.parent[k]] if k else frozenset()
+                cols += own
+                cols += [OWN + c for c in got]
+                rows += [base + k] * (len(own) + len(got))
+                above.append(got if own <= got else got | own)
+                inside[base + k] = t in MAIN or (k > 0 and inside[base + p.parent[k]] > 0)
+            if inside[base : base + len(p.tag)].any():
+                inside[base : base + len(p.tag)] -= inside[base : base + len(p.tag)] == 0
             for node, _, piece in p.text:
                 chars[base + node] += len(piece.strip())
                 stops[base + node] += piece.count(".") + piece.count(",")
-        own = chars.copy()
+        alone = chars.copy()
         is_link = np.concatenate([np.array([t == "a" for t in p.tag]) for p in pages]) if pages else np.zeros(0, bool)
         in_link = is_link.astype(float)
         for level in self.levels[1:]:
@@ -82,16 +95,16 @@ class Forest:
                 np.add.at(a, self.parent[level], a[level])
         total = np.maximum(chars[self.first][self.of], 1) if n else chars
         place = (np.arange(n) - self.first[self.of]) / np.maximum(size[self.of], 1) if n else chars
-        numbers = np.stack([np.log1p(own) / 5, np.log1p(chars) / 8, links / np.maximum(chars, 1), chars / total, stops / np.maximum(chars, 1) * 20, place, np.minimum(self.depth, 20) / 10, own == 0, chars == 0], 1)
+        numbers = np.stack([np.log1p(alone) / 5, np.log1p(chars) / 8, links / np.maximum(chars, 1), chars / total, stops / np.maximum(chars, 1) * 20, place, np.minimum(self.depth, 20) / 10, alone == 0, chars == 0, inside > 0, inside < 0, np.minimum(alone, 60) / 60], 1)
         return np.array(rows, np.int64), np.array(cols, np.int64), numbers
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Each element's own log-odds of being content."""
-        out = self.numbers @ weights[len(TAGS) + len(WORDS) : -1] + weights[-1]
+        out = self.numbers @ weights[2 * OWN : -1] + weights[-1]
         return out + np.bincount(self.x_rows, weights[self.x_cols], len(out))
 
     def gradient(self, d: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.x_cols, d[self.x_rows], len(TAGS) + len(WORDS)), d @ self.numbers, [d.sum()]])
+        return np.concatenate([np.bincount(self.x_cols, d[self.x_rows], 2 * OWN), d @ self.numbers, [d.sum()]])
 
     def marginals(self, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum-product: P(content) of each element; and of each element with a parent, the joint distribution (parent, own)."""
@@ -101,13 +114,14 @@ class Forest:
         up = own.copy()  # own potential and what the children say
         said = np.zeros((n, 2))  # what an element says to its parent
         for level in self.levels[:0:-1]:
-            said[level] = np.logaddexp(pair[:, 0] + up[level, :1], pair[:, 1] + up[level, 1:])
+            own_pair = pair[self.edge[level]]
+            said[level] = np.logaddexp(own_pair[:, :, 0] + up[level, :1], own_pair[:, :, 1] + up[level, 1:])
             np.add.at(up, self.parent[level], said[level])
         belief = up.copy()
         joint = np.zeros((n, 2, 2))
         for level in self.levels[1:]:
             above = belief[self.parent[level]] - said[level]
-            full = above[:, :, None] + pair[None] + up[level][:, None, :]
+            full = above[:, :, None] + pair[self.edge[level]] + up[level][:, None, :]
             heard = np.logaddexp(full[:, 0], full[:, 1])
             belief[level] = heard
             full -= np.logaddexp(heard[:, 0], heard[:, 1])[:, None, None]
@@ -117,22 +131,23 @@ class Forest:
 
 class TreeModel:
     def __init__(self) -> None:
-        self.weights, self.pair = np.zeros(SIZE), np.zeros((2, 2))
+        self.weights, self.pair = np.zeros(SIZE), np.zeros((EDGES, 2, 2))
 
-    def fit(self, pages: list[Page], labels: list[list[bool]], steps: int = 500, rate: float = 0.08, decay: float = 1e-4) -> TreeModel:
+    def fit(self, pages: list[Page], labels: list[list[bool]], steps: int = 500, rate: float = 0.08, decay: float = 2e-5) -> TreeModel:
         forest = Forest(pages)
         y = np.concatenate([np.array(x, float) for x in labels])
         child = np.flatnonzero(forest.parent >= 0)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (y[forest.parent[child]].astype(int), y[child].astype(int)), 1)
-        theta = np.zeros(SIZE + 4)
+        seen = np.zeros((EDGES, 2, 2))
+        np.add.at(seen, (forest.edge[child], y[forest.parent[child]].astype(int), y[child].astype(int)), 1)
+        theta = np.zeros(SIZE + 4 * EDGES)
         m, s = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
-            p, joint = forest.marginals(forest.scores(theta[:SIZE]), theta[SIZE:].reshape(2, 2))
-            g = np.concatenate([forest.gradient(y - p), (seen - joint[child].sum(0)).ravel()]) / len(y) - decay * theta
+            p, joint = forest.marginals(forest.scores(theta[:SIZE]), theta[SIZE:].reshape(EDGES, 2, 2))
+            met = np.stack([joint[child[forest.edge[child] == k]].sum(0) for k in range(EDGES)])
+            g = np.concatenate([forest.gradient(y - p), (seen - met).ravel()]) / len(y) - decay * theta
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
-        self.weights, self.pair = theta[:SIZE], theta[SIZE:].reshape(2, 2)
+        self.weights, self.pair = theta[:SIZE], theta[SIZE:].reshape(EDGES, 2, 2)
         return self
 
     def content(self, pages: list[Page]) -> list[list[bool]]:
@@ -146,13 +161,13 @@ class TreeModel:
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 800, seed: int = 1) -> TreeModel:
-    """The model fitted on `pages` generated labelled pages."""
+def trained(pages: int = 1200, seed: int = 1, without: tuple[str, ...] = ()) -> TreeModel:
+    """The model fitted on `pages` generated labelled pages, of all layouts but those to be held out."""
     trees, labels = [], []
-    for source, label in samples(pages, seed):
+    for source, label in samples(pages, seed, tuple(x for x in LAYOUTS if x not in without)):
         trees.append(parse(source))
-        labels.append([False, *label])
-        if len(label) + 1 != len(trees[-1].tag):
+        labels.append(label)
+        if len(label) != len(trees[-1].tag):
             raise ValueError("a labelled page was read otherwise than it was laid out")
     return TreeModel().fit(trees, labels)
 

@@ -14,6 +14,7 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body dd dt head html legend li noscript optgroup option select summary tbody td template tfoot th thead title tr".split())
 UNREAD = frozenset("script style template noscript iframe object svg math canvas noframes".split())
 RAW = frozenset("script style iframe noframes xmp textarea title".split())
+P_ENDED = (("p",), ("table", "td", "th", "button", "object"))
 # An open element of the left is ended by a start tag of the right, unless one of the last column stands between.
 ENDED_BY = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -32,6 +33,7 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+RAW_END = {n: re.compile(rf"</{n}\b[^>]*>?", re.IGNORECASE) for n in RAW}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -50,19 +52,24 @@ def parse(source: str) -> Page:
     page = Page()
     tag, parent, depth, marks, text = page.tag, page.parent, page.depth, page.marks, page.text
     stack = [0]
-    open_p = 0  # how many p are open
+    where: dict[str, list[int]] = {}  # name -> places in the stack of the open elements of that name
     block, at, unread = 0, 0, 0
 
     def close(k: int) -> None:
         """End the k-th open element and those in it."""
-        nonlocal block, unread, open_p
+        nonlocal block, unread
         for node in stack[k:]:
             name = tag[node]
             block += name in BLOCK
             unread -= name in UNREAD
-            open_p -= name == "p"
+        for node in reversed(stack[k:]):
+            where[tag[node]].pop()
         del stack[k:]
 
+    def last(names: tuple[str, ...]) -> int:
+        """Where the innermost open element of these names stands in the stack, 0 if none is open; no walk over the stack."""
+        return max([where[n][-1] for n in names if where.get(n)], default=0)
+
     search = TAG.search
     end = len(source)
     while at < end:
@@ -82,28 +89,14 @@ def parse(source: str) -> Page:
         if m["end"] or m["end2"]:
             if name in VOID:
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == name:
-                    close(k)
-                    break
+            if k := last((name,)):
+                close(k)
             else:
                 block += name in BLOCK
             continue
-        if open_p and name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] == "p":
-                    close(k)
-                    break
-                if tag[stack[k]] in ("table", "td", "th", "button", "object"):
-                    break
-        if name in ENDED_BY:
-            ended, fence = ENDED_BY[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if tag[stack[k]] in ended:
-                    close(k)
-                    break
-                if tag[stack[k]] in fence:
-                    break
+        for ended, fence in ((P_ENDED,) if name in CLOSES_P else ()) + ((ENDED_BY[name],) if name in ENDED_BY else ()):
+            if (k := last(ended)) > last(fence):
+                close(k)
         node = len(tag)
         tag.append(name)
         parent.append(stack[-1])
@@ -116,16 +109,16 @@ def parse(source: str) -> Page:
         if name in VOID or (rest.endswith("/") and name not in BLOCK and name not in RAW):
             continue
         if name in RAW:
-            m = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(source, at)
+            m = RAW_END[name].search(source, at)
             upto = m.start() if m else end
             if name not in UNREAD and not unread:
                 text.append((node, block, source[at:upto]))
             at = m.end() if m else end
             block += name in BLOCK
             continue
+        where.setdefault(name, []).append(len(stack))
         stack.append(node)
         unread += name in UNREAD
-        open_p += name == "p"
     return page
 
 

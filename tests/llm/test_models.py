@@ -22,7 +22,7 @@ def test_quality_edges(spark, docs):
     assert {r.score for r in quality_model.quality_scores(frame, none).collect()} == {0.5}
     assert quality_model.quality_scores(docs([]), none).count() == 0
     labels = spark.createDataFrame([(1, None), (2, 0), (3, 1), (3, 1)], "doc_id long, quality int")
-    assert quality_model.quality_scores(frame, labels, passed=["doc_id", "id"]).columns == ["doc_id", "id", "held_out", "score", "predicted"]
+    assert quality_model.quality_scores(frame, labels, passed=["doc_id", "id"]).columns == ["__row", "held_out", "score", "predicted"]
 
 
 def test_context_sums_by_hand(spark, docs):
@@ -88,27 +88,79 @@ def tree_model():
 
 
 def test_messages_give_exact_marginals():
-    page = html_tree.parse("<div><p>a<b>c</b></p><ul><li>x</li></ul></div>")
+    page = html_tree.parse("<div class='a'><p>a<b>c</b></p><ul><li>x</li></ul></div>")
     forest = html_extraction.Forest([page])
     rng = np.random.default_rng(1)
-    score, pair = rng.normal(size=len(page.tag)), rng.normal(size=(2, 2))
+    score, pair = rng.normal(size=len(page.tag)), rng.normal(size=(html_extraction.EDGES, 2, 2))
     n = len(page.tag)
     total, each = 0.0, np.zeros(n)
     for bits in range(2**n):
         y = [(bits >> k) & 1 for k in range(n)]
-        w = np.exp(sum(score[k] for k in range(n) if y[k]) + sum(pair[y[page.parent[k]], y[k]] for k in range(1, n)))
+        w = np.exp(sum(score[k] for k in range(n) if y[k]) + sum(pair[forest.edge[k], y[page.parent[k]], y[k]] for k in range(1, n)))
         total += w
         each += w * np.array(y)
     assert np.allclose(forest.marginals(score, pair)[0], each / total)
 
 
-def test_held_out_pages(tree_model):
+def right_elements(model, pages) -> float:
+    """The share of elements with text of their own that are judged as labelled."""
     right = count = 0
-    for source, label in page_samples.samples(120, 77):
-        got = tree_model.content([html_tree.parse(source)])[0][1:]
-        right += sum(a == b for a, b in zip(got, label))
-        count += len(label)
-    assert right / count > 0.98
+    for source, label in pages:
+        page = html_tree.parse(source)
+        full = {node for node, _, piece in page.text if piece.strip()}
+        got = model.content([page])[0]
+        right += sum(got[k] == label[k] for k in full)
+        count += len(full)
+    return right / count
+
+
+def test_held_out_pages(tree_model):
+    assert right_elements(tree_model, page_samples.samples(140, 77)) > 0.99
+
+
+@pytest.mark.parametrize("layout", ["columns", "table", "short"])
+def test_held_out_layouts(layout):
+    """A model that has seen no page of a layout reads that layout's pages."""
+    model = html_extraction.trained(420, 3, (layout,))
+    assert right_elements(model, page_samples.samples(60, 78, (layout,))) > 0.9
+
+
+PARAGRAPH = "Some long words stand here, and then more of them follow. " * 4
+P = f"<p>{PARAGRAPH}</p>"
+TEXT = PARAGRAPH.strip()
+PAGES = {
+    "comments inside": (f"<html><body><article>{P * 5}<div class='comments'><p>I like this very much, thank you for it. It is good.</p></div></article></body></html>", [TEXT] * 5),
+    "form inside": (f"<html><body><article><h1>Head</h1>{P * 3}<form><label>Your name</label><input><button>Send</button></form></article></body></html>", ["Head", *[TEXT] * 3]),
+    "things around": (
+        f"<html><body><header><h1>Site</h1><p>Best site there is.</p></header><main><article><h1>T</h1>{P * 3}</article><aside class='related'><h3>More</h3><p>Read this too, it is fine.</p></aside>"
+        "<form>Name <input><button>Go</button></form><section id='comments'><p>Nice one, I say.</p><p>Not so nice, I think, as it could be.</p></section></main></body></html>",
+        ["T", *[TEXT] * 3],
+    ),
+    "one short paragraph": ("<article><p>Hi.</p></article>", ["Hi."]),
+    "behind a notice": ("<html><body><div class='cookie alert'>We use cookies to make this site better. Please accept.</div><article><p>A short paragraph is all.</p></article></body></html>", ["A short paragraph is all."]),
+    "two divs": (f"<html><body><div><a href='/'>Home</a> <a href='/b'>About</a></div><div>{P * 2}</div></body></html>", [TEXT] * 2),
+    "text in a div": (f"<html><body><div><a href='/'>Home</a> <a href='/b'>About</a></div><div>{PARAGRAPH}</div></body></html>", [TEXT]),
+    "paragraphs alone": (P * 2, [TEXT] * 2),
+    "only divs": (f"<body><div id='page'><div id='content'><h1>A b</h1>{P * 2}</div><ol class='commentlist'><li><article class='comment-body'>{P}</article></li></ol><div id='sidebar'><ul><li><a href=x>one</a></ul></div></div></body>", ["A b", *[TEXT] * 2]),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_of_other_hands(tree_model, name):
+    source, want = PAGES[name]
+    assert tree_model.texts([source]) == ["\n".join(want)]
+
+
+def test_very_long_pages(tree_model):
+    """Reading takes time in proportion to the page, whatever its markup; nothing is cut."""
+    import time
+
+    began = time.time()
+    for part in ("<div>", "</div>", "</span>", "<li>", "<p>", "<table><td>"):
+        html_tree.parse("<ul><li>" + "<ul>" + "<div>" * 30_000 + part * 30_000)
+    assert time.time() - began < 20
+    source = f"<html><body><nav><a href='/'>Home</a></nav><article>{P * 4000}</article></body></html>"
+    assert tree_model.texts([source]) == ["\n".join([TEXT] * 4000)]
 
 
 def test_extraction(spark, tree_model):
