@@ -57,7 +57,7 @@ def test_language_edges(spark, docs):
 def test_a_rare_language_is_learned(spark, docs):
     common = docs([(i, f"the house number {i} is on the hill") for i in range(2000)])
     rare = docs([(5000 + i, "żółw ćma źdźbło ślęża gęś") for i in range(3)], lang="pl")
-    model = language_id.learn(common.unionByName(rare), "doc_id", "text", "lang", 40, 500)
+    model = language_id.learn(common.unionByName(rare), "doc_id", "text", "lang", 40, 8)
     assert model.languages == ["en", "pl"]
 
 
@@ -65,21 +65,84 @@ def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = language_id.ByteTagger(["a", "b", "c"], hidden=3)
     runs, label = rng.integers(0, 256, (4, 5)), np.array([0, 1, 2, 1])
+    runs[3, 3:] = language_id.PAD
 
     def loss():
-        p = model.probabilities(runs)[0]
-        return -np.log(p[np.arange(4), :, label]).mean()
+        p = model.probabilities(runs)
+        return -np.log(p[np.arange(4), :, label])[runs != language_id.PAD].mean()
 
     g = model.gradients(runs, label)
     for name, value in model.p.items():
-        at = tuple(rng.integers(0, s) for s in value.shape) if name[0] != "x" else (runs[0, 0], 1)
-        old = value[at]
-        value[at] = old + 1e-6
-        up = loss()
-        value[at] = old - 1e-6
-        down = loss()
-        value[at] = old
-        assert abs((up - down) / 2e-6 - g[name][at]) < 1e-6
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in value.shape) if name != "x" else (rng.integers(2), runs[rng.integers(3), rng.integers(5)], rng.integers(9))
+            old = value[at]
+            value[at] = old + 1e-6
+            up = loss()
+            value[at] = old - 1e-6
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / 2e-6 - g[name][at]) < 1e-6
+
+
+def labelled_by_hand(model, text: bytes, windows: bool) -> np.ndarray:
+    """The mean probabilities of a text's positions, one position at a time."""
+    h, p = model.hidden, model.p
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(d, some):
+        state, out = np.zeros(h), []
+        for byte in some:
+            a, g = p["x"][d, byte], state @ p["u"][d]
+            z, r = sigmoid(a[:h] + g[:h]), sigmoid(a[h : 2 * h] + g[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(a[2 * h :] + r * g[2 * h :])
+            out.append(state)
+        return out
+
+    total = np.zeros(len(model.languages))
+    width = language_id.WIDTH if windows else len(text)
+    for at in range(0, len(text), width):
+        stop = min(at + width, len(text))
+        before, behind = max(0, at - language_id.WARM), min(len(text), stop + language_id.WARM)
+        forward = states(0, text[before:stop])[at - before :]
+        backward = states(1, text[at:behind][::-1])[::-1][: stop - at]
+        for f, b in zip(forward, backward, strict=True):
+            e = np.exp(f @ p["o"][0] + b @ p["o"][1] + p["c"])
+            total += e / e.sum()
+    return total / len(text)
+
+
+def test_document_probabilities_by_hand():
+    """Pooled over every position; windows of several lengths move on together; what lies beyond the warm-up hardly counts."""
+    rng = np.random.default_rng(4)
+    model = language_id.ByteTagger(["a", "b", "c"], hidden=4).light()
+    width, warm = language_id.WIDTH, language_id.WARM
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 2, warm, width - 1, width, width + 1, 3 * width + 7, 700)]
+    total, size = model.totals([b"", *texts, b""])
+    assert size.tolist() == [0, *map(len, texts), 0] and not total[0].any() and not total[-1].any()
+    for t, got in zip(texts, total[1:]):
+        assert np.allclose(got / len(t), labelled_by_hand(model, t, True), atol=1e-5)
+        assert np.allclose(got / len(t), labelled_by_hand(model, t, False), atol=1e-3)
+
+
+def test_language_of_long_repeated_and_clashing_rows(spark, docs):
+    """Neighbour words count: a text of both languages' words goes to the one that more of it is in."""
+    rng = np.random.default_rng(2)
+    en, de = "the house is on hill and tree with water from green fields they went home".split(), "das Haus steht auf dem Berg und der Baum im Wasser von grünen Feldern gingen sie heim".split()
+    say = lambda words, n: " ".join(rng.choice(words, n))
+    frame = docs([(i, say(en, 80)) for i in range(40)]).unionByName(docs([(100 + i, say(de, 80)) for i in range(40)], lang="de"))
+    mixed = say(en, 90) + " " + say(de, 10)
+    more = docs([(200, say(de, 150_000)), (201, say(de, 90) + " " + say(en, 10)), (202, mixed), (202, mixed)], lang=None)
+    every = frame.unionByName(more).withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit(9.0)).withColumn("held_out", F.lit("x"))
+    got = [(r.doc_id, r.lang_pred) for r in language_id.identify(every).collect()]
+    assert len(got) == 84 and all(lang == ("en" if i < 100 else "de") for i, lang in got if i < 200)
+    assert sorted(x for x in got if x[0] >= 200) == [(200, "de"), (201, "de"), (202, "en"), (202, "en")]
+
+
+def test_stretches_spread_over_the_text():
+    text = bytes(range(256)) * 40
+    got = language_id.stretches(text, 8)
+    assert len(got) == 8 and got[0] == text[: language_id.STRETCH] and got[-1] == text[-language_id.STRETCH :]
+    assert language_id.stretches(b"ab", 8) == [b"ab"] and language_id.stretches(b"", 8) == []
 
 
 @pytest.fixture(scope="module")
