@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from cairn.llm import decontamination, line_dedup, quality_rules, url_rules
@@ -135,3 +136,30 @@ def test_proximity(spark, docs):
     rows = [(1, "gamma x alpha beta"), (2, "alpha " + "x " * 20 + "beta gamma"), (3, "alpha beta"), (4, "gamma")]
     got = decontamination.phrase_hits(docs(rows), bench, slop=3)
     assert {r.doc_id for r in got.collect() if len(r["items"])} == {1}
+
+
+def test_one_index_serves_many_searches(spark, docs):
+    """Posting lists against plain scans, exact and near, for several sets of items over one stored index."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(25)}" for _ in range(n))
+    rows = [(i, say(rng.randrange(0, 60))) for i in range(60)] + [(100, say(40_000)), (None, say(30)), (5, None)]
+    index = decontamination.build_index(docs(rows))
+    for size, n in ((3, 4), (4, 9), (13, 2)):
+        items = [(k, say(n)) for k in range(6)]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        windows = {(k, tuple(w[i : i + size])) for k, t in items for w in [t.split()] for i in range(max(1, len(w) - size + 1))}
+        exact = decontamination.search(index, bench, size).collect()
+        near = decontamination.search(index, bench, size, slop=1, block_bytes=40).collect()
+
+        def by_hand(text, slop, windows=windows):
+            w, found = (text or "").split(), set()
+            for k, win in windows:
+                for i in range(len(w)):
+                    part = w[i : i + len(win) + (slop or 0)]
+                    if tuple(part[: len(win)]) == win if slop is None else set(win) <= set(part):
+                        found.add(str(k))
+                        break
+            return sorted(found)
+
+        for got, slop in ((exact, None), (near, 1)):
+            assert sorted((str(r.key), list(r["items"])) for r in got) == sorted((str(i), by_hand(t, slop)) for i, t in rows)
