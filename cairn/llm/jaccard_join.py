@@ -193,17 +193,20 @@ def prefix_rows(df: DataFrame, slots: np.ndarray, collided: frozenset[int], text
 def verified(pairs: DataFrame, nodes: DataFrame, collided: frozenset[int], df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes, a checkpointed table, whose sets are similar enough, as edges (u, v), by their whole texts.
 
-    A node's text is that of one row. A filter of fixed size (common.membership) leaves out most texts that no pair asks for;
-    the others are joined to their nodes as the planner sees fit.
+    A node's text is that of one row, found by its hashes. A filter of fixed size (common.membership) leaves out most texts that no
+    pair asks for; the others are shuffled once, repeated rows falling together, and serve both sides.
     """
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    source = materialise(wanted.join(nodes, "node").select("node", F.col("rep").alias("at")))
-    read = df.select(_at(id_col, text_col).alias("at"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & may_hold(F.col("at.x"), membership(source.select("at.x"), "x")))
+    place = lambda side: [f"{side}_x", f"{side}_y"]
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("rep.x").alias(f"{side}_x"), F.col("rep.y").alias(f"{side}_y")), side)
+    pairs = materialise(pairs)
+    bits = membership(pairs.select(F.explode(F.array("a_x", "b_x")).alias("x")), "x")
+    at = _at(id_col, text_col)
+    read = df.select(at.getField("x").alias("x"), at.getField("y").alias("y"), F.col(text_col).alias("text"))
+    texts = read.where(F.col("text").isNotNull() & may_hold(F.col("x"), bits)).dropDuplicates(["x", "y"])
     release(df.sparkSession)
-    texts = source.join(read, "at").select("node", "text")
-    texts = texts.dropDuplicates(["node"])  # a row may be repeated any number of times
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    left = pairs.join(texts.toDF(*place("a"), "text_a"), place("a"))
+    both = left.join(texts.toDF(*place("b"), "text_b"), place("b")).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
