@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.text import tokenize
-from cairn.operators.common import top
+from cairn.operators.common import cut_lineage, top
 
 
 def chunk_text(symbol: Column, path: Column, text: Column) -> Column:
@@ -14,6 +14,11 @@ def chunk_text(symbol: Column, path: Column, text: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(symbol, F.lit("")), path, text)
 
 
+def embed_text(symbol: Column, path: Column, text: Column) -> Column:
+    """What a chunk is embedded by: path and symbol, and the text below."""
+    return F.concat(path, F.lit(" "), F.coalesce(symbol, F.lit("")), F.lit("\n"), text)
+
+
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(term, id, tf)."""
     return docs.select(F.col(id_col).alias("id"), F.explode(tokenize(text)).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
@@ -64,7 +69,11 @@ class LexicalIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text: Column, **options) -> LexicalIndex:
-        return cls(postings(docs, id_col, text), doc_stats(docs, id_col, text), **options)
+        """Texts are tokenised once: postings are written to the checkpoint folder, and a document's length is the sum of its counts. Ids are unique."""
+        index = cut_lineage(postings(docs, id_col, text))
+        lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
+        stats = docs.select(F.col(id_col).alias("id")).join(lengths, "id", "left").select("id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        return cls(index, stats, **options)
 
     def search(self, queries: DataFrame, id_col: str, text: Column, k: int = 10) -> DataFrame:
         """(query_id, id, score, rank) of each query's k best; ties by id."""

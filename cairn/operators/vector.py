@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cairn.deploy import ship
 from cairn.functions.text import cache_key, tokenize
-from cairn.operators.common import top
+from cairn.operators.common import cut_lineage, top
 
 DIM = 384
 
@@ -59,10 +59,15 @@ def dense(sparse: DataFrame, dim: int = DIM) -> DataFrame:
     return grouped.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)).cast("float")).alias("vector"))
 
 
-def sparse_cosine(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id, score) of unit vectors given as (id, bucket, v), by an equi-join on the bucket."""
-    q = queries.select(F.col("id").alias("query_id"), "bucket", F.col("v").alias("qv"))
-    return q.join(docs, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("qv") * F.col("v")).alias("score"))
+def cells(sparse: DataFrame) -> DataFrame:
+    """(id, vector) from (id, bucket, v): a vector is a struct of the arrays `at` and `v`, of at most as many cells as there are buckets."""
+    grouped = sparse.groupBy("id").agg(F.collect_list(F.struct("bucket", "v")).alias("c"))
+    return grouped.select("id", F.struct(F.col("c.bucket").alias("at"), F.col("c.v").alias("v")).alias("vector"))
+
+
+def sparse_top(docs: DataFrame, queries: DataFrame, k: int = 10, dim: int = DIM) -> DataFrame:
+    """cosine_top of vectors given as (id, bucket, v): cells are put into a block's matrix by the task that reads them."""
+    return cosine_top(cells(docs), cells(queries), k, "id", "vector", dim=dim)
 
 
 def normalised(vector: Column) -> Column:
@@ -71,37 +76,51 @@ def normalised(vector: Column) -> Column:
     return F.transform(F.arrays_zip(vector.alias("x"), F.transform(vector, lambda _: F.when(norm == 0, 1.0).otherwise(norm)).alias("n")), lambda z: z["x"].cast("double") / z["n"])
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 4096, dim: int = DIM) -> DataFrame:
     """(query_id, id, score, rank): each query's k nearest of all vectors, itself included; ties by id.
 
-    Queries go to the tasks in blocks of block_rows; each Arrow batch of vectors meets a block in one matrix product and sends
-    on only its own k best per query, so what is shuffled is k rows for each query and batch.
+    Vectors are arrays, or the structs that cells() makes, of `dim` places. Queries go to the tasks in blocks of about block_rows
+    rows; each Arrow batch of vectors meets a block in one matrix product and sends on only its own k best per query, so what is
+    shuffled is k rows for each query and batch. With several blocks each block's rows are checkpointed and its broadcast is dropped
+    before the next, so the driver holds one block at a time.
     """
     spark = vectors.sparkSession
     ship(spark)
-    n = -(-queries.count() // block_rows) or 1
-    rows = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("v")).where("v is not null")
-    kind = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, score double"
+    sparse = isinstance(vectors.schema[vector_col].dataType, T.StructType)
+    parts = (F.col(f"{vector_col}.at").alias("at"), F.col(f"{vector_col}.v").alias("v")) if sparse else (F.col(vector_col).alias("v"),)
+    rows = queries.select(F.col(id_col).alias("q"), *parts).where("v is not null")
+    given = vectors.select(F.col(id_col).alias("id"), *parts).where("v is not null")
+    n = -(-rows.count() // block_rows) or 1
+    schema = f"query_id {vectors.schema[id_col].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, score double"
+
+    def matrix(b: pd.DataFrame) -> np.ndarray:
+        if not sparse:
+            return _unit(np.stack(b["v"]).astype(float))
+        m = np.zeros((len(b), dim))
+        m[np.repeat(np.arange(len(b)), b["at"].str.len().to_numpy(int)), np.concatenate(b["at"].to_numpy())] = np.concatenate(b["v"].to_numpy())
+        return _unit(m)
+
     out = None
     for block in range(n):
-        part = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == block).orderBy("q").collect()  # about block_rows rows
-        if not part:
+        part = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == block).orderBy("q").toPandas()  # about block_rows rows
+        if not len(part):
             continue
-        shared = spark.sparkContext.broadcast(([r.q for r in part], _unit(np.array([r.v for r in part], float).reshape(len(part), -1))))
+        shared = spark.sparkContext.broadcast((part["q"].to_numpy(), matrix(part)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
             for b in batches:
-                b = b[b["v"].notna()]
-                if not len(b) or not len(ids):
+                if not len(b):
                     continue
                 own = b["id"].to_numpy()
-                score = q @ _unit(np.stack(b["v"]).astype(float)).T
+                score = q @ matrix(b).T
                 order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, 9)), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
 
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, schema)
+        found = given.mapInPandas(run, schema)
+        if n > 1:
+            found = cut_lineage(top(found, k, ["query_id"], F.round("score", 9).desc(), F.col("id")).drop("rank"))
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)

@@ -140,17 +140,19 @@ def prices(spark: SparkSession) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
     """(query_id, path): sources with a document that contains an item's text.
 
-    Candidates share the item's first words: an equi-join on their hash, then the whole text is compared.
+    Candidates share the item's first words: an equi-join of ids on their hash; the texts of candidates are then fetched and compared whole.
     """
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    docs = docs.withColumn("w", F.split("text", " "))
-    w = F.col("w")
+    w = F.split("text", " ")
     head = lambda a, i: F.array_join(F.slice(a, i, words - 2), " ")
     # The first word may be glued to what stands before it and the last to what follows, so the words between are keyed.
-    keyed = items.withColumn("key", F.xxhash64(head(F.split("item", " "), F.lit(2))))
-    spots = docs.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (words - 3))), lambda i: F.xxhash64(head(w, i))))))
-    return spots.join(keyed, "key").where(F.contains("text", F.col("item"))).select("query_id", F.col("source").alias("path")).distinct()
+    keyed = items.select("query_id", F.xxhash64(head(F.split("item", " "), F.lit(2))).alias("key"))
+    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (words - 3))), lambda i: F.xxhash64(head(w, i)))
+    spots = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+    near = spots.join(keyed, "key").select("doc_id", "query_id").distinct()
+    found = near.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("item")))
+    return found.select("query_id", F.col("source").alias("path")).distinct()
 
 
 GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, source AS path FROM documents d, benchmark b WHERE contains(d.text, b.text))"

@@ -100,18 +100,14 @@ def hash_embed_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embedded(spark, sf_dir)[0].select("id", "bucket", F.round("v", 6).alias("v"))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     docs, items = _embedded(spark, sf_dir)
-    return vector.sparse_cosine(items, docs)
-
-
-def _ranked(df: DataFrame, k: int) -> DataFrame:
-    return top(df, k, ["query_id"], F.round("score", 9).desc(), F.col("id"))
+    return vector.sparse_top(docs, items, k)
 
 
 @query(f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score, rank FROM {top_sql('dense', 10)}")
 def hash_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_ranked(_dense(spark, sf_dir), 10))
+    return _shown(_dense(spark, sf_dir, 10))
 
 
 COSINE = """
@@ -131,6 +127,12 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_near(spark, sf_dir, 10))
 
 
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(e[-1] / sqrt(list_dot_product(e, e)), 6) AS last FROM v")
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", vector.normalised(F.col("embedding")).alias("e"))
+    return unit.select("vec_id", F.round(F.element_at("e", 1), 6).alias("first"), F.round(F.element_at("e", -1), 6).alias("last"))
+
+
 KEY = "sha256('hashing-384' || chr(0) || text)"
 
 
@@ -147,8 +149,8 @@ LABEL = "CASE WHEN min(rank) FILTER (WHERE method = 'vector') < coalesce(min(ran
 
 
 def _retriever(spark: SparkSession, sf_dir: str, **options) -> fusion.HybridRetriever:
-    index, dense = _index(spark, sf_dir), _dense(spark, sf_dir)
-    return fusion.HybridRetriever(lambda q, k: index.search(q, "query_id", F.col("text"), k), lambda q, k: _ranked(dense, k), **options)
+    index = _index(spark, sf_dir)
+    return fusion.HybridRetriever(lambda q, k: index.search(q, "query_id", F.col("text"), k), lambda q, k: _dense(spark, sf_dir, k), **options)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
