@@ -107,6 +107,28 @@ def estimated_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def unpacked(raw: Column, prompt: Column) -> dict[str, Column]:
+    """A model's reply as content, tokens_in, tokens_out, confidence and cost. A JSON object names them, with stand-ins in a fixed order
+    (a field that is null counts as missing); any other reply is content itself."""
+    is_object = F.startswith(F.btrim(raw, F.lit(SPACE)), F.lit("{")) & F.try_parse_json(raw).isNotNull()
+    field = lambda *names: F.coalesce(*(F.get_json_object(F.when(is_object, raw), f"$.{n}") for n in names))
+    named = F.coalesce(*(F.nullif(field(n), F.lit("")) for n in ("content", "text", "response")), F.lit(""))
+    content = F.when(is_object, named).otherwise(raw)
+    tokens = lambda name, text: F.coalesce(field(name, f"usage.{name}").try_cast("long"), estimated_tokens(text))
+    return {
+        "content": content,
+        "tokens_in": tokens("prompt_tokens", prompt),
+        "tokens_out": tokens("completion_tokens", content),
+        "confidence": F.coalesce(field("confidence").try_cast("double"), confidence(content)),
+        "cost": field("cost_usd", "cost").try_cast("double"),
+    }
+
+
+def log_tail(log: Column, most: int = 4000) -> Column:
+    """The last characters of a log, white space around it left out."""
+    return F.right(F.btrim(log, F.lit(SPACE)), F.lit(most))
+
+
 def symbol_id(path: Column, symbol: Column) -> Column:
     return F.concat(path, F.lit("::"), symbol)
 
@@ -153,10 +175,11 @@ def module_name(path: Column) -> Column:
     return F.when(dotted == "__init__", "").otherwise(F.regexp_replace(dotted, r"\.__init__$", ""))
 
 
-def first_edit(text: Column, old: Column, new: Column) -> Column:
-    """The text with the first exact occurrence of old replaced; null if there is none."""
-    at = F.locate_column(old, text) if hasattr(F, "locate_column") else F.position(old, text)
-    return F.when((at > 0) & (F.length(old) > 0), F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old))))
+def first_edit(text: Column, old: Column, new: Column, strict: bool = False) -> Column:
+    """The text with the first exact occurrence of old replaced; if there is none, null, or with strict an error."""
+    at = F.position(old, text)
+    done = F.when((at > 0) & (F.length(old) > 0), F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old))))
+    return F.when(done.isNull(), F.raise_error(F.lit("the old text isn't there"))).otherwise(done) if strict else done
 
 
 def line_slice(text: Column, start: int | None = None, end: int | None = None) -> Column:

@@ -7,7 +7,6 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cairn.operators.common import cut_lineage, top
 
@@ -35,8 +34,10 @@ def best_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "kind").agg(F.min(conf_rank(F.col("conf"))).alias("r")).select("src", "dst", "kind", conf_name(F.col("r")).alias("conf"))
 
 
-def edge_stats(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("kind", "conf").agg(F.count("*").alias("n"))
+def edge_stats(edges: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
+    """(kind, conf, n); with `unresolved`, the calls without a target, a row more that counts them: (calls, unresolved, n)."""
+    stats = edges.groupBy("kind", "conf").agg(F.count("*").alias("n"))
+    return stats if unresolved is None else stats.unionByName(unresolved.agg(F.lit("calls").alias("kind"), F.lit("unresolved").alias("conf"), F.count("*").alias("n")))
 
 
 def callers(edges: DataFrame, worst: str = "ambiguous") -> DataFrame:
@@ -213,5 +214,5 @@ def enclosing(names: DataFrame, owners: DataFrame) -> DataFrame:
 
 def heuristic_match(calls: DataFrame, methods: DataFrame, max_ambiguity: int = 4, keep: list[str] | None = None) -> DataFrame:
     """(src, keep, dst, conf): calls (src, method) to every method (qualname, method) of the name, if there are at most max_ambiguity."""
-    counted = methods.withColumn("n", F.count("*").over(Window.partitionBy("method"))).where(F.col("n") <= max_ambiguity)
-    return calls.join(counted, "method").select("src", *(keep or []), F.col("qualname").alias("dst"), F.when(F.col("n") == 1, "heuristic").otherwise("ambiguous").alias("conf"))
+    few = methods.groupBy("method").agg(F.count("*").alias("n")).where(F.col("n") <= max_ambiguity)
+    return calls.join(few, "method").join(methods, "method").select("src", *(keep or []), F.col("qualname").alias("dst"), F.when(F.col("n") == 1, "heuristic").otherwise("ambiguous").alias("conf"))

@@ -33,6 +33,11 @@ def edge_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_stats(ad.edges(spark, sf_dir))
 
 
+@query(f"WITH {ad.EDGES} SELECT kind, conf, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT 'calls', 'unresolved', count(*) FROM lineitem WHERE l_quantity > 45")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_stats(ad.edges(spark, sf_dir), table(spark, sf_dir, "lineitem").where("l_quantity > 45"))
+
+
 @query(f"WITH {ad.EDGES} SELECT DISTINCT dst AS symbol, src AS caller FROM edges WHERE kind = 'calls' AND conf IN ('exact', 'heuristic')")
 def callers_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.callers(ad.edges(spark, sf_dir), "heuristic")
@@ -68,6 +73,22 @@ def weighted_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(found, config.max_nodes, ["topic"], F.round("score", 9).desc(), F.col("node")).select("topic", "node", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""
+    WITH RECURSIVE {ad.EDGES}, {SEEDS}, {WALK.format(both='true', worst=1)},
+    best AS (SELECT 'n' || CAST(substr(seed, 3) AS INT) % 5 AS topic, node, max(score * pow(0.5e0, hop) * CASE r WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.6e0 ELSE 0.3e0 END) AS score FROM reached JOIN seeds USING (seed) WHERE hop > 0 GROUP BY ALL),
+    fresh AS (SELECT * FROM best WHERE (topic, node) NOT IN (SELECT ('n' || CAST(substr(seed, 3) AS INT) % 5, seed) FROM seeds)),
+    held AS (SELECT 'c:' || c_custkey AS node, c_mktsegment || c_custkey % 7 AS chunk_id FROM customer),
+    chosen AS (SELECT topic, chunk_id, node, round(score, 6) AS score, row_number() OVER (PARTITION BY topic, chunk_id ORDER BY score DESC, node DESC) AS first FROM fresh JOIN held USING (node))
+    SELECT topic, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, node, chunk_id) AS rank FROM chosen WHERE first = 1) WHERE rank <= 10
+""")
+def expand_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each topic; chunks are shared by customers."""
+    seeds = _nations(spark, sf_dir).withColumn("topic", F.concat(F.lit("n"), (F.substring("seed", 3, 9).cast("int") % 5).cast("string")))
+    found = graph.expand(ad.edges(spark, sf_dir), seeds, graph.ExpandConfig(kinds=("inherits", "contains")), "topic")
+    held = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node"), F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("chunk_id"))
+    return graph.chunk_evidence(found, held, 10, ["topic"]).select("topic", "chunk_id", "score", "rank")
+
+
 @query(f"""
     WITH {ad.EDGES}, seeds AS (SELECT 'p:' || p_partkey AS seed FROM part),
     hit AS (SELECT seed, seed AS symbol, 0 AS hop FROM seeds UNION ALL SELECT DISTINCT dst, src, 1 FROM edges WHERE kind = 'calls' AND dst IN (SELECT seed FROM seeds)),
@@ -182,15 +203,21 @@ FILE = "CASE WHEN p_partkey % 11 = 0 THEN concat('tests/a', cast(p_size AS STRIN
 MENTION = "CASE l_linenumber % 3 WHEN 0 THEN concat('C', cast(l_partkey % 50 AS STRING)) WHEN 1 THEN concat('m', cast(l_partkey % 50 AS STRING)) ELSE concat('f', cast(l_partkey % 100 AS STRING)) END"
 
 
-@query(f"""
+NAMED = f"""
     WITH syms AS (SELECT {ad.sql(FILE)} AS path, {ad.sql(SYMBOL)} AS symbol FROM part),
     short AS (SELECT path || '::' || symbol AS symbol_id, CASE WHEN split_part(symbol, '.', 2) = '__init__' THEN split_part(symbol, '.', 1) WHEN split_part(symbol, '.', 2) LIKE '\\_\\_%' ESCAPE '\\' THEN NULL WHEN symbol LIKE '%.%' THEN split_part(symbol, '.', 2) ELSE symbol END AS name FROM syms WHERE path NOT LIKE 'tests/%'),
-    tests AS (SELECT DISTINCT 't.py::test_' || l_suppkey AS test_id, {ad.sql(MENTION)} AS name FROM lineitem)
-    SELECT DISTINCT symbol_id, test_id FROM tests JOIN short USING (name)
-""")
-def name_link_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests AS (SELECT DISTINCT 't.py::test_' || l_suppkey AS test_id, {ad.sql(MENTION)} AS name FROM lineitem)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, None, DataFrame]:
     chunks = table(spark, sf_dir, "part").select(F.expr(FILE).alias("path"), F.expr(SYMBOL).alias("symbol"))
     tests = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("t.py::test_"), F.col("l_suppkey").cast("string")).alias("test_id"), F.expr(MENTION).alias("name")).distinct()
+    return chunks, None, tests
+
+
+@query(f"{NAMED} SELECT DISTINCT symbol_id, test_id FROM tests JOIN short USING (name)")
+def name_link_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, _, tests = _named(spark, sf_dir)
     return cov.from_names(tests, chunks)
 
 
@@ -221,3 +248,15 @@ def coverage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cairn.sources.tasks import coverage_json as as_json
 
     return as_json(ad.coverage(spark, sf_dir))
+
+
+@query(f"WITH {ad.COVERAGE} SELECT DISTINCT symbol_id FROM coverage WHERE test_id IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def symbols_for_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("test_id"))
+    return cov.symbols_for(tests, ad.coverage(spark, sf_dir))
+
+
+@query(f"{NAMED} SELECT DISTINCT symbol_id, test_id, 'static' AS source FROM tests JOIN short USING (name)")
+def coverage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without line contexts a coverage map is linked by names."""
+    return cov.build(*_named(spark, sf_dir), F.lit(""))

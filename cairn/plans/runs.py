@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import evaluation as ev
-from cairn.operators import fusion, graph, ledger, rerank
+from cairn.operators import composed, fusion, graph, ledger, rerank
 from cairn.operators.common import top
 from cairn.plans import adapters as ad
 from cairn.plans import retrieval as rt
@@ -122,7 +122,12 @@ def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.grid(records.select("config").distinct(), records.select("task_id").distinct(), 3)
 
 
-@query(f"WITH {ad.GOLD} SELECT config, CASE config WHEN 'control_gold' THEN 1.0e0 ELSE 0.0e0 END AS recall FROM (VALUES ('control_gold'), ('control_none')) v(config)")
+@query(f"""
+    WITH {ad.GOLD}, shown AS (SELECT 'control_gold' AS config, query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path) AS r FROM gold),
+    each AS (SELECT c.config, g.query_id, count(s.path) / count(*) AS recall FROM gold g CROSS JOIN (VALUES ('control_gold'), ('control_none')) c(config)
+             LEFT JOIN shown s ON s.config = c.config AND s.query_id = g.query_id AND s.path = g.path AND s.r <= 5 GROUP BY ALL)
+    SELECT config, avg(recall) AS recall FROM each GROUP BY config
+""")
 def control_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two controls bound the metric: perfect evidence scores 1 and none scores 0."""
     goal = ad.gold(spark, sf_dir)
@@ -163,6 +168,24 @@ def route_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.route(replies, strong_tasks=("error",)).select("event_id", "reason", "tier", "attempts")
 
 
+@query(f"WITH {ad.RECORDS}, each AS (SELECT config, run_idx, avg(CAST(regressed AS INT)) AS m FROM records GROUP BY ALL) SELECT config, printf('%.3f ± %.3f', avg(m), stddev_pop(m)) AS shown FROM each GROUP BY config")
+def mean_and_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ev.across_runs(ad.records(spark, sf_dir), ev.regression_rate(F.col("regressed")), ["config"])
+    return out.select("config", tx.mean_and_spread(F.col("mean"), F.col("spread")).alias("shown"))
+
+
+@query(f"WITH {ad.CALLS} SELECT conv_id, turn, round(tokens_in / 1000 * 0.15e0 + tokens_out / 1000 * 0.6e0, 8) AS cost FROM calls")
+def cost_per_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = ledger.cost_per_thousand(F.col("tokens_in"), F.col("tokens_out"), F.lit(0.15), F.lit(0.6))
+    return ad.calls(spark, sf_dir).select("conv_id", "turn", cost.alias("cost"))
+
+
+@query("SELECT event_id, event_type AS tool FROM events WHERE event_id % 3 IN (0, 1) AND user_id % 2 <> 0")
+def allowed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"), (F.col("user_id") % 2 == 0).alias("is_write"), F.concat(F.lit("stage"), (F.col("event_id") % 3).cast("string")).alias("stage"))
+    return ledger.allowed_tools(tools, ("stage0", "stage1")).select("event_id", "tool")
+
+
 @query("""
     SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS turns, string_agg(role, ',' ORDER BY turn, role) AS roles, coalesce(arg_max(turn, turn) FILTER (WHERE role = 'assistant'), -1) AS last_reply FROM conversations GROUP BY conv_id
 """)
@@ -236,31 +259,83 @@ def retriever_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+NAVIGATED = f"""{rt.TOKENS}, {rt.LUCENE}, {rt.SCORED}, seeds AS (SELECT query_id, id, score / 100.0e0 AS score FROM {rt.top_sql('scored', 5)}), {GRAPH}, base AS (SELECT query_id, max(score) AS top FROM seeds GROUP BY query_id),
+    walk(seed, node, hop) AS (SELECT DISTINCT id, id, 0 FROM seeds UNION SELECT seed, src, hop + 1 FROM walk JOIN near_edges ON dst = node WHERE hop < 2),
+    hit AS (SELECT query_id, node AS id, min(hop) AS hop FROM seeds JOIN walk ON seed = id GROUP BY ALL),
+    pool AS (SELECT query_id, id, score AS base, 0 AS hop FROM seeds UNION ALL SELECT query_id, id, 0.8e0 * top, hop FROM hit JOIN base USING (query_id) WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds))"""
+
+
+def _navigated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seeds = rt._index(spark, sf_dir).search(rt._items(spark, sf_dir), "item_id", F.col("text"), 5).select("query_id", F.col("id").alias("symbol"), (F.col("score") / 100).alias("score"))
+    return composed.navigate(_next_edges(spark, sf_dir), seeds)
+
+
 @query(f"""
-    WITH {rt.TOKENS}, {rt.LUCENE}, {rt.SCORED}, seeds AS (SELECT query_id, id, score / 100.0e0 AS score FROM {rt.top_sql('scored', 5)}), {GRAPH}, base AS (SELECT query_id, max(score) AS top FROM seeds GROUP BY query_id),
-    one AS (SELECT DISTINCT query_id, src AS id FROM seeds JOIN near_edges ON dst = id), grown AS (SELECT query_id, id FROM one WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds)),
-    pool AS (SELECT query_id, id, score AS base, 0 AS hop FROM seeds UNION ALL SELECT query_id, id, 0.8e0 * top, 1 FROM grown JOIN base USING (query_id)),
+    WITH RECURSIVE {NAVIGATED},
     texts AS (SELECT p.*, b.text AS query, d.source || '/' || d.doc_id || '.txt' AS path, d.text AS content, split_part(d.text, ' ', 1) AS symbol FROM pool p JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = p.id),
     sets AS (SELECT *, {rt.rerank_sql('query')} AS q, {rt.rerank_sql('symbol')} AS s, {rt.rerank_sql('path')} AS p, {rt.rerank_sql('content')} AS c FROM texts),
     final AS (SELECT query_id, id, path, hop, round(greatest(0, base + 0.35e0 * CASE WHEN length(symbol) > 2 AND contains(lower(query), lower(symbol)) THEN 1.0e0 ELSE len(list_intersect(q, s)) / greatest(len(s), 1) END
-              + 0.25e0 * (len(list_intersect(q, p)) / greatest(len(p), 1)) + 0.25e0 * (len(list_intersect(q, c)) / greatest(len(q), 1)) - 0.12e0 * hop), 6) AS score FROM sets)
-    SELECT query_id, id, hop, CASE hop WHEN 0 THEN 'bm25' ELSE 'graph' END AS retrieval, round(score, 4) AS score FROM final
+              + 0.25e0 * (len(list_intersect(q, p)) / greatest(len(p), 1)) + 0.25e0 * (len(list_intersect(q, c)) / greatest(len(q), 1)) - 0.12e0 * hop), 6) AS score FROM sets),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hop, path) AS k FROM final)
+    SELECT query_id, id, CAST(hop AS INT) AS hop, CASE hop WHEN 0 THEN 'bm25' ELSE 'graph' END AS retrieval, round(score, 4) AS score FROM ranked WHERE k <= 20
 """)
 def navigator_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds, their callers at 0.8 of the best seed's score, and all of them reranked together."""
-    seeds = rt._index(spark, sf_dir).search(rt._items(spark, sf_dir), "item_id", F.col("text"), 5).select("query_id", "id", (F.col("score") / 100).alias("score"))
-    hit = graph.impact(_next_edges(spark, sf_dir), seeds.select(F.col("id").alias("seed")).distinct(), 1).where("hop > 0")
-    best = seeds.groupBy("query_id").agg((0.8 * F.max("score")).alias("score"))
-    grown = seeds.join(hit, seeds["id"] == hit["seed"]).select("query_id", F.col("symbol").alias("id"), "hop").distinct()
-    grown = grown.join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti").join(best, "query_id")
-    pool = seeds.withColumn("hop", F.lit(0)).unionByName(grown.select("query_id", "id", "score", "hop"))
+    """Seeds, their callers up to two hops away at 0.8 of the best seed's score, and the twenty best of all of them, reranked together."""
+    pool = _navigated(spark, sf_dir)[0]
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), ad.doc_path().alias("path"), F.col("text").alias("content"), F.split_part("text", F.lit(" "), F.lit(1)).alias("symbol"))
     items = rt._items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    rows = pool.join(docs, "id").join(items, "query_id").select("query_id", "query", "symbol", "path", "content", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("score").alias("base_score"), "hop", F.col("id").alias("chunk_id"))
-    ranked = rerank.rerank(rows, 1_000)
+    rows = pool.withColumnRenamed("symbol", "id").join(docs, "id").join(items, "query_id").select("query_id", "query", "symbol", "path", "content", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("score").alias("base_score"), "hop", F.col("id").alias("chunk_id"))
+    ranked = rerank.rerank(rows, 20)
     return ranked.select("query_id", F.col("chunk_id").alias("id"), "hop", F.when(F.col("hop") == 0, "bm25").otherwise("graph").alias("retrieval"), F.round("score", 4).alias("score"))
 
 
+@query(f"WITH RECURSIVE {NAVIGATED} SELECT DISTINCT query_id, d.lang || '/' || d.doc_id % 50 AS test FROM pool JOIN documents d ON d.doc_id = id")
+def navigator_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tests that cover what a change of the seeds may break; a document is covered by one test."""
+    cover = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("symbol"), F.concat("lang", F.lit("/"), (F.col("doc_id") % 50).cast("string")).alias("test"))
+    return graph.impacted_tests(_navigated(spark, sf_dir)[0], cover, ["query_id"])
+
+
+@query(f"""
+    WITH {rt.TOKENS}, {rt.LUCENE}, {rt.SCORED}, best AS (SELECT * FROM {rt.top_sql('scored', 3)}),
+    shown AS (SELECT query_id, string_agg('# File: ' || source || ' (lines 1-' || n_chars || ')' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context FROM best JOIN documents ON doc_id = id GROUP BY query_id)
+    SELECT item_id AS query_id, md5(coalesce(context, '# No context retrieved.' || chr(10))) AS context FROM benchmark LEFT JOIN shown ON query_id = item_id
+""")
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = rt._items(spark, sf_dir)
+    hits = rt._index(spark, sf_dir).search(items, "item_id", F.col("text"), 3)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), F.lit(1).alias("start_line"), F.col("n_chars").alias("end_line"), F.col("text").alias("content"))
+    shown = composed.prompt_context(items.select(F.col("item_id").alias("query_id")), hits.join(docs, "id").withColumnRenamed("rank", "ord"), ["query_id"])
+    return shown.select("query_id", F.md5("context").alias("context"))
+
+
+@query("""
+    WITH turns AS (SELECT DISTINCT conv_id, turn FROM conversations),
+    open_ AS (SELECT conv_id, string_agg('turn ' || turn, ' | ' ORDER BY turn) AS q FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS wave FROM turns) WHERE (conv_id + turn) % 3 <> 0 GROUP BY conv_id)
+    SELECT conv_id, coalesce(q, 'conversation ' || conv_id) AS query FROM (SELECT DISTINCT conv_id FROM turns) LEFT JOIN open_ USING (conv_id)
+""")
+def open_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are tasks, each waiting for the turn before; every third is done already."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    waves = graph.topological_waves(turns.select(name(F.col("turn")).alias("node")), turns.select(name(F.col("turn")).alias("node"), name(F.col("turn") - 1).alias("on")))
+    nodes = turns.select("conv_id", name(F.col("turn")).alias("node"), F.col("turn").alias("ord"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("description"), F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, "completed").otherwise("pending").alias("status"))
+    tasks_ = turns.select("conv_id", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("task")).distinct()
+    return composed.open_queries(tasks_, nodes, waves, ["conv_id"], "task")
+
+
+@query(f"""
+    WITH {PRICED}, spent AS (SELECT conv_id, sum(CASE WHEN tokens_out > 0 THEN 1 ELSE 0 END) AS loops, sum(tokens_in + tokens_out) AS tokens, sum(cost) AS cost, count(*) AS calls FROM priced GROUP BY conv_id),
+    fit AS (SELECT conv_id FROM spent WHERE loops < 3 AND tokens < 600 AND cost < 1.0 AND calls < 30)
+    SELECT DISTINCT conv_id, role AS chunk_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM fit) AND (conv_id, role) NOT IN (SELECT (conv_id, role) FROM conversations WHERE turn = 0)
+""")
+def gather_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New evidence of the conversations whose budget isn't spent: the roles that the first turn doesn't hold."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("chunk_id"), F.col("turn").alias("ord"))
+    spent = _priced(spark, sf_dir).groupBy("conv_id").agg(F.sum(F.when(F.col("tokens_out") > 0, 1).otherwise(0)).alias("loops"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.sum("cost").alias("cost"), F.count("*").alias("calls"))
+    return composed.gather(rows, rows.where("ord = 0"), spent, ledger.Budget(tokens=600), ["conv_id"], "chunk_id", "ord").select("conv_id", "chunk_id")
+
+
 @query(f"WITH {rt.TOKENS}, {rt.LUCENE}, {rt.SCORED} SELECT query_id, h.id AS chunk_id, d.source || '@' || d.lang || ':1-' || d.n_chars AS citation, 'code' AS source_type, 'bm25' AS retrieval, round(score, 6) AS score FROM {rt.top_sql('scored', 5)} h JOIN documents d ON d.doc_id = h.id")
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rt._index(spark, sf_dir).search(rt._items(spark, sf_dir), "item_id", F.col("text"), 5)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
+from cairn.operators import lexical
 from cairn.plans import adapters as ad
 from cairn.plans.registry import query, table
-from cairn.sources import files, patches
+from cairn.sources import files, patches, tasks
 
 PATH = "concat(CASE event_id % 5 WHEN 0 THEN 'tests/' WHEN 1 THEN 'src/test/' WHEN 2 THEN 'pkg/' ELSE '' END, CASE event_id % 7 WHEN 0 THEN 'test_' WHEN 1 THEN '__init__' ELSE '' END, CASE WHEN event_id % 7 = 1 THEN '' ELSE event_type END, CASE event_id % 3 WHEN 0 THEN '_test.py' WHEN 1 THEN '.py' ELSE '.txt' END)"
 PATHS = f"paths AS (SELECT event_id, {ad.sql(PATH)} AS path FROM events)"
@@ -146,3 +147,40 @@ def diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each file's patch in a reply; splitting with look-behind is beyond SQL."""
     return patches.patches(table(spark, sf_dir, "part").select("p_partkey", F.expr(DIFF_REPLY).alias("reply")), "p_partkey", "reply")
+
+
+RAW = (
+    "CASE event_id % 4 WHEN 0 THEN concat('{\"content\": \"done ', event_type, '\", \"usage\": {\"prompt_tokens\": ', cast(event_id % 50 AS STRING), ', \"completion_tokens\": 7}, \"confidence\": 0.', cast(event_id % 90 + 10 AS STRING), '}') "
+    "WHEN 1 THEN concat('{\"content\": \"\", \"text\": \"', event_type, ' it is\", \"prompt_tokens\": 12, \"cost_usd\": 0.25}') WHEN 2 THEN concat('{\"response\": \"Confidence: 0.', cast(event_id % 90 + 10 AS STRING), '\", \"cost\": 1.5}') ELSE concat('plain ', event_type, ' confidence: 0.5') END"
+)
+
+
+@query(rf"""
+    WITH r AS (SELECT event_id, event_type, {ad.sql(RAW)} AS raw FROM events), j AS (SELECT *, CASE WHEN starts_with(raw, '{{') THEN raw ELSE '{{}}' END AS j FROM r),
+    c AS (SELECT *, CASE WHEN starts_with(raw, '{{') THEN coalesce(nullif(json_extract_string(j, '$.content'), ''), nullif(json_extract_string(j, '$.text'), ''), nullif(json_extract_string(j, '$.response'), ''), '') ELSE raw END AS content FROM j)
+    SELECT event_id, content, CAST(coalesce(json_extract_string(j, '$.prompt_tokens'), json_extract_string(j, '$.usage.prompt_tokens'), CAST(greatest(1, length(event_type) // 4) AS VARCHAR)) AS BIGINT) AS tokens_in,
+           CAST(coalesce(json_extract_string(j, '$.completion_tokens'), json_extract_string(j, '$.usage.completion_tokens'), CAST(greatest(1, length(content) // 4) AS VARCHAR)) AS BIGINT) AS tokens_out,
+           round(coalesce(CAST(json_extract_string(j, '$.confidence') AS DOUBLE), TRY_CAST(regexp_extract(content, '(?i)"?confidence"?\s*[:=]\s*([01](?:\.[0-9]+)?)', 1) AS DOUBLE), 1.0), 6) AS confidence,
+           CAST(coalesce(json_extract_string(j, '$.cost_usd'), json_extract_string(j, '$.cost')) AS DOUBLE) AS cost FROM c
+""")
+def unpack_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = tx.unpacked(F.col("raw"), F.col("event_type"))
+    fields["confidence"] = F.round(fields["confidence"], 6)
+    return table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(RAW).alias("raw")).select("event_id", *(c.alias(n) for n, c in fields.items()))
+
+
+@query(r"SELECT doc_id, md5(right(regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 4000)) AS tail FROM documents")
+def log_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.log_tail(F.col("text"))).alias("tail"))
+
+
+@query("WITH c AS (SELECT doc_id, source AS path, CASE WHEN doc_id % 3 > 0 THEN lang END AS symbol, text FROM documents) SELECT doc_id, md5(coalesce(symbol, '') || ' ' || path || ' ' || text) AS indexed, md5(path || ' ' || coalesce(symbol, '') || chr(10) || text) AS embedded FROM c")
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.col("source"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(lexical.chunk_text(*parts)).alias("indexed"), F.md5(lexical.embed_text(*parts)).alias("embedded"))
+
+
+@query("SELECT p_partkey, p_size || ';' || p_brand AS items FROM part")
+def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('["'), F.col("p_size").cast("string"), F.lit('", "'), F.col("p_brand"), F.lit('"]'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tasks.as_list(text), ";").alias("items"))

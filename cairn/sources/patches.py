@@ -30,9 +30,9 @@ def gold_spans(diffs: DataFrame, id_col: str = "task_id", diff_col: str = "diff"
     """
     lines = diffs.select(F.col(id_col), F.posexplode(F.split(diff_col, "\n")).alias("ord", "line"))
     head = F.col("line")
-    old = F.when(F.startswith(head, F.lit("--- ")) & (F.btrim(F.substring(head, 5, 10_000), F.lit(SPACE)) != "/dev/null"), _plain(F.substring(head, 5, 10_000)))
+    old = F.when(F.startswith(head, F.lit("--- ")) & (F.btrim(F.substr(head, F.lit(5)), F.lit(SPACE)) != "/dev/null"), _plain(F.substr(head, F.lit(5))))
     git = F.when(F.startswith(head, F.lit("diff --git ")), _plain(F.try_element_at(F.split(head, r"\s+"), F.lit(3))))
-    new = F.when(F.startswith(head, F.lit("+++ ")) & (F.btrim(F.substring(head, 5, 10_000), F.lit(SPACE)) != "/dev/null"), _plain(F.substring(head, 5, 10_000)))
+    new = F.when(F.startswith(head, F.lit("+++ ")) & (F.btrim(F.substr(head, F.lit(5)), F.lit(SPACE)) != "/dev/null"), _plain(F.substr(head, F.lit(5))))
     w = Window.partitionBy(id_col).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = lines.withColumn("known", F.last(F.coalesce(old, git), ignorenulls=True).over(w)).withColumn("first_new", F.first(F.when(F.col("known").isNull(), new), ignorenulls=True).over(w))
     hunk = seen.withColumn("path", F.coalesce("known", "first_new")).where(head.rlike(HUNK) & F.col("path").isNotNull())

@@ -24,6 +24,13 @@ def missing(ids: DataFrame, rows: DataFrame) -> DataFrame:
     return ids.join(rows.select(F.col("instance_id").alias("task_id")), "task_id", "left_anti")
 
 
+def ordered(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The tasks of ids (task_id, ord), with ord; reading an id that no task has is an error that names it."""
+    found = ids.select("ord", "task_id").join(rows, F.col("task_id") == F.col("instance_id"), "left")
+    there = F.when(F.col("instance_id").isNull(), F.raise_error(F.concat(F.lit("no such task: "), "task_id"))).otherwise(F.col("ord"))
+    return found.select(there.alias("ord"), *rows.columns)
+
+
 def as_list(column: Column) -> Column:
     """A JSON list in a string as an array."""
     return F.from_json(column, "array<string>")
