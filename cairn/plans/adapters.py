@@ -144,12 +144,12 @@ def gold(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
     """
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    w = F.split("text", " ")
+    w = F.col("w")
     head = lambda a, i: F.array_join(F.slice(a, i, words - 2), " ")
     # The first word may be glued to what stands before it and the last to what follows, so the words between are keyed.
     keyed = items.select("query_id", F.xxhash64(head(F.split("item", " "), F.lit(2))).alias("key"))
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (words - 3))), lambda i: F.xxhash64(head(w, i)))
-    spots = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+    spots = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))  # split once
     near = spots.join(keyed, "key").select("doc_id", "query_id").distinct()
     found = near.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("item")))
     return found.select("query_id", F.col("source").alias("path")).distinct()
