@@ -20,6 +20,18 @@ from cairn.deploy import ship
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch at most, or one longer row: a task holds a batch on the JVM's side, while its buffers double, and in the worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES; a lower one stays. Plans read it when they run, so it isn't put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with columns as Python lists or numpy arrays: fn gets an iterator of {name: pa.Array} and yields {name: values}.
 
-    Batches end at spark.sql.execution.arrow.maxBytesPerBatch, so long texts don't pile up in a worker.
+    Batches end at BATCH_BYTES, so long texts don't pile up in a worker.
     """
     spark_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = to_arrow_schema(spark_schema)
@@ -40,6 +52,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
         give_back()
 
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, spark_schema)
 
 
