@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, piece_codec, quality_model, quality_rules, token_counts, url_rules
+from cairn.llm import centroid_clustering, decontamination, exact_dedup, html_extraction, importance_resampling, jaccard_join, language_id, line_dedup, piece_codec, quality_model, quality_rules, token_counts, url_rules
 from cairn.llm.common import table
 
 # The rules that op1 is to apply (host, path, verdict).
@@ -73,6 +73,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), held_out)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.sort_means(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
 }
 
@@ -175,3 +190,47 @@ ORACLE_SQL["op8_jaccard_join"] = rf"""
     SELECT reach.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY reach.doc_id
 """
 ORACLE_SQL["op7_quality_rules"] = _rule_sql()
+
+
+# CRC-32 byte by byte, from a table that the recursion makes of its polynomial; each distinct word is hashed once.
+ORACLE_SQL["op11_importance_resampling"] = rf"""
+    WITH RECURSIVE step(i, k, c) AS (SELECT i, 0, CAST(i AS UBIGINT) FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END FROM step WHERE k < 8),
+    tab AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+    docs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+    items AS (SELECT unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+    bytes AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS UBIGINT)) AS b FROM (SELECT w FROM docs UNION SELECT w FROM items)),
+    hashed AS MATERIALIZED (SELECT w, xor(list_reduce(b, lambda a, x: xor(a >> 8, tab[CAST(xor(a, x) & 255 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 10000 AS bucket FROM bytes, tab),
+    s AS (SELECT bucket, count(*) AS s FROM docs JOIN hashed USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM items JOIN hashed USING (w) GROUP BY bucket),
+    total AS (SELECT (SELECT count(*) FROM docs) AS s_all, (SELECT count(*) FROM items) AS t_all),
+    gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), total),
+    weighed AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM docs JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+    every AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) AS h FROM documents LEFT JOIN weighed USING (doc_id)),
+    scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM every),
+    ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) END AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+ORACLE_SQL["op12_exact_dedup"] = f"""
+    WITH hashed AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents)
+    SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256 FROM hashed
+"""
+
+
+def _lloyd_sql(clusters: int = 40, rounds: int = 5, seed: int = 2, dims: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    parts = [
+        f"x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: isfinite(c))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM x QUALIFY c < {clusters})",
+    ]
+    for k in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(x.v, o.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT vec_id, x.v, o.c, CAST({apart} AS BIGINT) AS d FROM x, c{k} o QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, o.c) = 1)")
+        if k < rounds:
+            means = f"SELECT c, list(m ORDER BY i) AS v FROM (SELECT c, i, CAST((sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (SELECT c, unnest(range(1, {dims + 1})) AS i, unnest(v) AS y FROM a{k}) GROUP BY c, i) GROUP BY c"
+            parts.append(f"m{k} AS ({means}), c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{k} o LEFT JOIN m{k} m ON m.c = o.c)")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(o.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} o ON o.c = a.c"""
+
+
+ORACLE_SQL["op13_centroid_clustering"] = _lloyd_sql()

@@ -64,5 +64,5 @@ def test_one_row_of_each_group_of_near_duplicates(spark, docs):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
