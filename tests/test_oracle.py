@@ -23,7 +23,7 @@ def db():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or (isinstance(x, float) and np.isnan(x)):
+        if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
             return ""
         return f"{float(x):.6f}" if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
 
