@@ -196,7 +196,9 @@ class SymbolGraph:
         self.symbols = exploded(good, "symbols")
         self.chunks = exploded(good, "chunks")
         self.known = self.symbols.select("qualname").distinct()
-        self.suffixes = suffix_index(self.files.select(F.col("file_module").alias("module"))).where("module <> ''")
+        index = suffix_index(self.files.select(F.col("file_module").alias("module")))
+        self.suffixes = index.where("module <> ''")
+        self.roots = index.select(F.split_part("suffix", F.lit("."), F.lit(1)).alias("root")).where("root <> ''").distinct()  # also of ambiguous suffixes
         imports = exploded(good, "imports")
         self.scope = self._scope(imports)
         self.bases = cut_lineage(self._bases())
@@ -206,7 +208,8 @@ class SymbolGraph:
         contains = self.symbols.select(parent.alias("src"), F.col("qualname").alias("dst"), F.lit("contains").alias("kind"), exact).where("src <> ''")
         inherits = self.bases.select(F.col("cls").alias("src"), F.col("base").alias("dst"), F.lit("inherits").alias("kind"), exact)
         calls = self.resolved.select("src", "dst", F.lit("calls").alias("kind"), "conf")
-        self.edges = cut_lineage(best_edges(self._imports().unionByName(contains).unionByName(inherits).unionByName(calls).where("src <> dst")))
+        others = self._imports().unionByName(calls).where("src <> dst")  # a class whose base has its own name does inherit from itself
+        self.edges = cut_lineage(best_edges(others.unionByName(contains).unionByName(inherits)))
 
     def _scope(self, imports: DataFrame) -> DataFrame:
         """(path, file_module, key, ord, imported, alias, level, source, absolute)."""
@@ -281,8 +284,7 @@ class SymbolGraph:
         # Step 3: methods of the same name, unless the name comes from outside.
         if include_heuristic:
             rest = calls.join(resolved, ["src", "callee"], "left_anti").withColumns({"head": F.get(parts, F.lit(0)), "method": F.element_at(parts, -1)})
-            repo = self.suffixes.select(F.split_part("suffix", F.lit("."), F.lit(1)).alias("root")).distinct()
-            outside = self.scope.where("level = 0").withColumn("root", F.split_part("source", F.lit("."), F.lit(1))).join(repo, "root", "left_anti").where(~F.col("key").isin("self", "cls")).select("path", F.col("key").alias("head")).distinct()
+            outside = self.scope.where("level = 0").withColumn("root", F.split_part("source", F.lit("."), F.lit(1))).join(self.roots, "root", "left_anti").where(~F.col("key").isin("self", "cls")).select("path", F.col("key").alias("head")).distinct()
             methods = self.symbols.where("kind = 'method'").select("qualname", F.element_at(F.split("local_name", r"\."), -1).alias("method"))
             matched = heuristic_match(rest.join(outside, ["path", "head"], "left_anti").select("src", "callee", "method"), methods, max_ambiguity, keep=["callee"])
             resolved = resolved.unionByName(matched)
