@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.operators.common import cut_lineage, top
+from cairn.operators.common import checkpoint_dir, cut_lineage, top
 
 # Confidences in order, and the weights of paths whose weakest edge has them.
 CONFIDENCES = ("exact", "heuristic", "ambiguous")
@@ -109,11 +112,7 @@ def expand(edges: DataFrame, seeds: DataFrame, config: ExpandConfig = ExpandConf
     own = given.select(key, F.col("seed").alias("node")).distinct()
     if config.include_overrides and symbols is not None:
         every = best.unionByName(given.groupBy(key, F.col("seed").alias("node")).agg(F.max("score").alias("score")))
-        method = symbols.where("kind = 'method'").select(F.col("qualname").alias("node"), "parent", F.element_at(F.split("qualname", r"\."), -1).alias("name"))
-        below = descendants(edges)
-        there = symbols.select(F.col("qualname").alias("to"))
-        over = every.join(method, "node").join(below, F.col("parent") == F.col("ancestor")).select(key, F.concat_ws(".", "node_below", "name").alias("to"), "score")
-        over = over.join(there, "to").groupBy(key, F.col("to").alias("node")).agg(F.max("score").alias("score"))
+        over = every.join(overrides(every, symbols, descendants(edges)), "node").groupBy(key, F.col("override").alias("node")).agg(F.max("score").alias("score"))
         best = best.unionByName(over.join(best.select(key, "node"), [key, "node"], "left_anti"))
     out = best.join(own, [key, "node"], "left_anti")
     return out if by else out.drop("__by")
@@ -139,20 +138,63 @@ def impacted_tests(impacted: DataFrame, coverage: DataFrame, by: list[str]) -> D
 def descendants(edges: DataFrame, kind: str = "inherits", most: int | None = None) -> DataFrame:
     """(ancestor, node_below): the transitive closure of src -> dst edges of a kind, from dst down to src.
 
-    Goes on until nothing is new. With `most`, a closure that isn't whole after so many steps raises UnfinishedError.
+    Closed by squaring: each round doubles the length of the paths that are known, so the rounds grow as the logarithm of the longest
+    shortest path. Goes on until nothing is new. With `most`, nodes that lie more steps below raise UnfinishedError.
     """
-    one = edges.where(F.col("kind") == kind).select(F.col("dst").alias("ancestor"), F.col("src").alias("node_below")).distinct()
-    found = frontier = cut_lineage(one)
+    far = cut_lineage(edges.where(F.col("kind") == kind).select(F.col("dst").alias("ancestor"), F.col("src").alias("node_below")).distinct())
+    found = far.withColumn("depth", F.lit(1))
     for k in count():
-        step = one.select(F.col("ancestor").alias("node_below"), F.col("node_below").alias("next"))
-        after = frontier.join(step, "node_below").select("ancestor", F.col("next").alias("node_below")).distinct()
-        frontier = cut_lineage(after.join(found, ["ancestor", "node_below"], "left_anti"))
-        if frontier.isEmpty():
+        # far: pairs exactly 2^k apart; found: pairs less than 2^(k+1) apart, each with the fewest steps between them.
+        ends = far.select(F.col("ancestor").alias("node_below"), F.col("node_below").alias("next"))
+        twice = far.join(ends, "node_below").select("ancestor", F.col("next").alias("node_below")).distinct()
+        far = cut_lineage(twice.join(found, ["ancestor", "node_below"], "left_anti"))
+        if far.isEmpty():
             break
-        if most is not None and k >= most:
-            raise UnfinishedError(f"descendants lie more than {most} steps below")
-        found = found.unionByName(frontier)
-    return found
+        if most is not None and 2 << k > most:
+            raise UnfinishedError(f"nodes lie more than {most} steps below")
+        step = found.select(F.col("ancestor").alias("node_below"), F.col("node_below").alias("next"), "depth")
+        beyond = far.join(step, "node_below").select("ancestor", F.col("next").alias("node_below"), (F.col("depth") + (2 << k)).alias("depth"))
+        new = far.withColumn("depth", F.lit(2 << k)).unionByName(beyond).groupBy("ancestor", "node_below").agg(F.min("depth").alias("depth"))
+        found = cut_lineage(found.unionByName(new.join(found, ["ancestor", "node_below"], "left_anti")))
+    if most is not None and not found.where(F.col("depth") > most).isEmpty():
+        raise UnfinishedError(f"nodes lie more than {most} steps below")
+    return found.select("ancestor", "node_below")
+
+
+def inherited(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, name, owner): which class an asked member (cls, name) comes from: the class itself or the first, depth first, of its bases.
+
+    bases: (cls, pos, base); members: (owner, name). A walk's place in depth-first order is its route, the array of positions taken,
+    and routes compare as arrays. All walks go one step a round; each class is kept once for each question, by its first route, a
+    walk ends where the member is found, and others end that lie behind it. So diamonds cost no more than their classes, cycles end,
+    and a question that is answered early isn't carried on.
+    """
+    question = ["cls", "name"]
+    frontier = asked.select(*question).distinct().select(*question, F.col("cls").alias("at"), F.array().cast("array<int>").alias("route"))
+    seen = frontier = cut_lineage(frontier)
+    found = frontier.select(*question, F.struct("route", F.col("at").alias("owner")).alias("hit")).limit(0)
+    holds = members.select(F.col("owner").alias("at"), "name").distinct()
+    step = bases.select(F.col("cls").alias("at"), F.col("pos").cast("int").alias("pos"), "base").distinct()
+    while True:
+        hits = frontier.join(holds, ["at", "name"], "left_semi")
+        found = cut_lineage(found.unionByName(hits.select(*question, F.struct("route", F.col("at").alias("owner")).alias("hit"))).groupBy(*question).agg(F.min("hit").alias("hit")))
+        on = frontier.join(holds, ["at", "name"], "left_anti").join(found, question, "left").where("hit is null or route < hit.route")
+        after = on.join(step, "at").groupBy(*question, F.col("base").alias("at")).agg(F.min(F.concat("route", F.array("pos"))).alias("route"))
+        old = seen.withColumnRenamed("route", "old")
+        frontier = cut_lineage(after.join(old, [*question, "at"], "left").where("old is null or route < old").drop("old"))
+        if frontier.isEmpty():
+            return found.select(*question, F.col("hit.owner").alias("owner"))
+        seen = cut_lineage(seen.unionByName(frontier).groupBy(*question, "at").agg(F.min("route").alias("route")))
+
+
+def overrides(asked: DataFrame, symbols: DataFrame, below: DataFrame) -> DataFrame:
+    """(node, override): asked methods (node) and the methods of the same name on classes below theirs.
+
+    symbols: (qualname, kind, parent); below: (ancestor, node_below), as descendants() gives them.
+    """
+    method = symbols.where("kind = 'method'").select(F.col("qualname").alias("node"), F.col("parent").alias("ancestor"), F.element_at(F.split("qualname", r"\."), -1).alias("name"))
+    there = symbols.select(F.col("qualname").alias("override")).distinct()
+    return asked.select("node").distinct().join(method, "node").join(below, "ancestor").select("node", F.concat_ws(".", "node_below", "name").alias("override")).join(there, "override").distinct().select("node", "override")
 
 
 class CycleError(ValueError):
@@ -163,29 +205,45 @@ class UnfinishedError(RuntimeError):
     """A bound on the number of steps was reached with work left."""
 
 
+#: Slots by which the edges of topological_waves() are stored.
+SLOTS = 64
+
+
 def topological_waves(nodes: DataFrame, depends: DataFrame, most: int | None = None) -> DataFrame:
     """(node, wave): the first wave (1) has no known dependency, every other comes one wave after its last.
 
-    depends: (node, on); unknown ones are ignored. Nodes are peeled wave by wave with anti-joins; a cycle raises CycleError.
-    With `most`, nodes left after so many waves raise UnfinishedError.
+    depends: (node, on); unknown ones are ignored. Each node counts its open dependencies; a wave lowers the counts of those that
+    depend on it, and only they are looked at for the next. Edges are stored by slots of the node that they lead to, and a wave reads
+    only the slots of its own nodes. A cycle raises CycleError. With `most`, nodes left after so many waves raise UnfinishedError.
     """
-    every = nodes.select("node").distinct()
-    edges = cut_lineage(depends.select("node", "on").join(every.select(F.col("node").alias("on")), "on").select("node", "on").distinct())
-    left, done = cut_lineage(every), None
+    spark = nodes.sparkSession
+    every = cut_lineage(nodes.select("node").distinct())
+    known = depends.select("node", "on").join(every, "node", "left_semi").join(every.select(F.col("node").alias("on")), "on", "left_semi").select("node", "on").distinct()
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int").alias("slot")
+    place = f"{checkpoint_dir(spark)}/waves-{uuid.uuid4().hex}"
+    known.withColumn("slot", slot("on")).repartition("slot").write.partitionBy("slot").parquet(place)
+    edges = spark.read.schema(known.schema.add("slot", T.IntegerType())).parquet(place)
+    now = cut_lineage(every.join(edges.select("node").distinct(), "node", "left_anti"))
+    left, waves = edges.groupBy("node").agg(F.count("*").alias("open")), []
     for wave in count(1):
-        if left.isEmpty():
+        here = now.count()
+        if not here:
             break
         if most is not None and wave > most:
             raise UnfinishedError(f"nodes are left after {most} waves")
-        open_ = edges.join(left.select(F.col("node").alias("on")), "on", "left_semi").select("node").distinct()
-        ready = left.join(open_, "node", "left_anti")
-        rest = cut_lineage(left.join(open_, "node", "left_semi"))
-        now = cut_lineage(ready.select("node", F.lit(wave).alias("wave")))
-        if now.isEmpty():
-            raise CycleError("the dependencies have a cycle")
-        done = now if done is None else done.unionByName(now)
-        left = rest
-    return done if done is not None else every.select("node", F.lit(0).alias("wave")).limit(0)
+        waves.append(now.withColumn("wave", F.lit(wave)))
+        slots = [r["slot"] for r in now.select(slot("node")).distinct().collect()]  # SLOTS of them at most
+        fewer = edges.where(F.col("slot").isin(slots)).join(now.select(F.col("node").alias("on")), "on", "left_semi").groupBy("node").agg(F.count("*").alias("less"))
+        lowered = cut_lineage(fewer.join(left, "node").select("node", (F.col("open") - F.col("less")).alias("open")))
+        now = cut_lineage(lowered.where("open = 0").select("node"))
+        still = lowered.where("open > 0")
+        left = left.join(lowered.select("node"), "node", "left_anti").unionByName(still)
+        if wave % 8 == 0:  # the counts are brought up to date; in between, what was lowered is set aside
+            left = cut_lineage(left)
+    done = cut_lineage(reduce(DataFrame.unionByName, waves)) if waves else every.select("node", F.lit(0).alias("wave")).limit(0)
+    if done.count() < every.count():
+        raise CycleError("the dependencies have a cycle")
+    return done
 
 
 def suffix_index(modules: DataFrame) -> DataFrame:

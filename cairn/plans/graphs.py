@@ -260,3 +260,47 @@ def symbols_for_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without line contexts a coverage map is linked by names."""
     return cov.build(*_named(spark, sf_dir), F.lit(""))
+
+
+# Customers as classes: each has two bases, so there are diamonds; some bases are larger numbers, so there are cycles.
+BASE = ["CASE WHEN c_custkey % 20 = 0 THEN c_custkey + 1 ELSE cast(floor(c_custkey / 2) AS BIGINT) END", "CASE WHEN c_custkey % 7 = 1 THEN 2 * c_custkey ELSE cast(floor(c_custkey / 3) AS BIGINT) END"]
+MEMBER = "concat('n', cast(c_nationkey % 3 AS STRING))"
+CLASSES = f"""
+    cls AS (SELECT c_custkey AS k, 'c' || c_custkey AS cls, CASE WHEN c_mktsegment = 'BUILDING' THEN {MEMBER} END AS member, [{", ".join(BASE)}] AS b FROM customer),
+    bases AS (SELECT x.cls, o.pos, y.cls AS base FROM cls x, (VALUES (0), (1)) o(pos) JOIN cls y ON y.k = x.b[o.pos + 1])
+"""
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bases (cls, pos, base) and members (owner, name)."""
+    rows = table(spark, sf_dir, "customer")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    classes = rows.select(name(F.col("c_custkey")).alias("base"))
+    bases = rows.select(name(F.col("c_custkey")).alias("cls"), F.posexplode(F.array(*(F.expr(b) for b in BASE))).alias("pos", "b")).select("cls", "pos", name(F.col("b")).alias("base"))
+    members = rows.where("c_mktsegment = 'BUILDING'").select(name(F.col("c_custkey")).alias("owner"), F.expr(MEMBER).alias("name"))
+    return bases.join(classes, "base", "left_semi").select("cls", "pos", "base"), members
+
+
+@query(f"""
+    WITH RECURSIVE {CLASSES}, walk(cls, name, spot, route, seen) AS (
+        SELECT cls, name, cls, CAST([] AS INT[]), [cls] FROM cls, (VALUES ('n0'), ('n1'), ('n2')) n(name)
+        UNION ALL SELECT w.cls, w.name, base, list_append(route, pos), list_append(seen, base) FROM walk w JOIN cls c ON c.cls = w.spot JOIN bases ON bases.cls = w.spot WHERE c.member IS DISTINCT FROM w.name AND NOT list_contains(seen, base))
+    SELECT w.cls, w.name, arg_min(spot, route) AS owner FROM walk w JOIN cls c ON c.cls = w.spot WHERE c.member = w.name GROUP BY w.cls, w.name
+""")
+def method_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three members asked of every class, found up its bases in depth-first order, over diamonds and cycles."""
+    bases, members = _classes(spark, sf_dir)
+    names = F.explode(F.array(*(F.lit(f"n{k}") for k in range(3)))).alias("name")
+    return graph.inherited(table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("cls"), names), bases, members)
+
+
+@query(f"""
+    WITH RECURSIVE {CLASSES}, down(ancestor, node_below) AS (SELECT base, cls FROM bases UNION SELECT ancestor, cls FROM down JOIN bases ON base = node_below)
+    SELECT a.cls || '.' || a.member AS node, b.cls || '.' || b.member AS override FROM cls a JOIN down ON ancestor = a.cls JOIN cls b ON b.cls = node_below WHERE a.member = b.member
+""")
+def method_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method and those of its name on the classes below its own."""
+    bases, members = _classes(spark, sf_dir)
+    methods = members.select(F.concat_ws(".", "owner", "name").alias("qualname"), F.lit("method").alias("kind"), F.col("owner").alias("parent"))
+    below = graph.descendants(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst"), F.lit("inherits").alias("kind")))
+    return graph.overrides(methods.select(F.col("qualname").alias("node")), methods, below)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cairn.deploy import ship
 from cairn.operators.common import cut_lineage, top
-from cairn.operators.graph import best_edges, enclosing, heuristic_match, suffix_index
+from cairn.operators.graph import best_edges, enclosing, heuristic_match, inherited, suffix_index
 
 CHUNK = "struct<chunk_id:string,start_line:int,end_line:int,symbol:string,text:string>"
 SYMBOL = "struct<qualname:string,local_name:string,kind:string,parent:string,start_line:int,end_line:int,signature:string,docstring:string,calls:array<string>,bases:array<string>,chunk_id:string>"
@@ -253,18 +253,6 @@ class SymbolGraph:
         classes = self.symbols.where("kind = 'class'").select(F.col("qualname").alias("base")).distinct()
         return listed.join(self.resolve(listed), ["path", "name"]).select("cls", "pos", F.col("qualname").alias("base")).join(classes, "base").select("cls", "pos", "base")
 
-    def ancestry(self) -> DataFrame:
-        """(cls, ancestor, route): each class's ancestors, itself first, in the order of a depth-first walk: routes compare as arrays."""
-        seen = self.symbols.where("kind = 'class'").select(F.col("qualname").alias("cls"), F.col("qualname").alias("ancestor"), F.array().cast("array<int>").alias("route")).distinct()
-        seen = frontier = cut_lineage(seen)
-        while not frontier.isEmpty():
-            step = self.bases.select(F.col("cls").alias("ancestor"), "pos", F.col("base").alias("next"))
-            after = frontier.join(step, "ancestor").groupBy("cls", F.col("next").alias("ancestor")).agg(F.min(F.concat("route", F.array("pos"))).alias("route"))
-            old = seen.withColumnRenamed("route", "old")
-            frontier = cut_lineage(after.join(old, ["cls", "ancestor"], "left").where("old is null or route < old").drop("old"))
-            seen = cut_lineage(seen.unionByName(frontier).groupBy("cls", "ancestor").agg(F.min("route").alias("route")))
-        return seen
-
     def _calls(self, include_heuristic: bool, max_ambiguity: int) -> tuple[DataFrame, DataFrame]:
         """Resolved calls (src, callee, dst, conf), and those without a target (src, callee)."""
         calls = self.symbols.select("path", "file_module", F.col("qualname").alias("src"), F.explode("calls").alias("callee")).distinct()
@@ -273,8 +261,10 @@ class SymbolGraph:
         # Step 1: self.x and cls.x, on the enclosing class and its ancestors.
         own = calls.where(F.get(parts, F.lit(0)).isin("self", "cls") & (F.size(parts) == 2)).withColumn("method", F.get(parts, F.lit(1)))
         inside = own.join(enclosing(own.select(F.col("src").alias("qualname")).distinct(), classes).withColumnRenamed("qualname", "src"), "src")
-        reached = inside.join(self.ancestry().withColumnRenamed("cls", "owner"), "owner").withColumn("dst", F.concat_ws(".", "ancestor", "method")).join(self.known.select(F.col("qualname").alias("dst")), "dst")
-        one = cut_lineage(top(reached, 1, ["src", "callee"], F.col("route")).select("src", "callee", "dst", F.lit("exact").alias("conf")))
+        asked = inside.select("src", "callee", F.col("owner").alias("cls"), F.col("method").alias("name"))
+        members = self.symbols.select(F.col("parent").alias("owner"), F.element_at(F.split("qualname", r"\."), -1).alias("name"))
+        reached = asked.join(inherited(asked, self.bases, members), ["cls", "name"]).withColumn("dst", F.concat_ws(".", "owner", "name"))
+        one = cut_lineage(reached.select("src", "callee", "dst", F.lit("exact").alias("conf")))
         # Step 2: names of the module and its imports; a class stands for its __init__.
         left = calls.join(one, ["src", "callee"], "left_anti").withColumn("name", F.regexp_replace("callee", r"^\?\.", ""))
         named = left.join(self.resolve(left), ["path", "name"]).withColumn("init", F.concat("qualname", F.lit(".__init__")))
