@@ -143,9 +143,17 @@ def diff_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.diff_block(F.expr(DIFF_REPLY)).alias("diff"))
 
 
-@query()
+# In SQL: lines are grouped under the header above them, and a group that begins with `--- ` is a patch.
+@query(rf"""
+    WITH r AS (SELECT p_partkey, {ad.sql(DIFF_REPLY)} AS reply FROM part), f AS (SELECT *, regexp_extract(reply, '(?s)```diff\n(.*?)```', 1) AS fenced FROM r),
+    body AS (SELECT p_partkey, string_split(trim(CASE WHEN fenced <> '' THEN fenced WHEN contains(reply, 'diff --git') THEN substr(reply, strpos(reply, 'diff --git')) END, chr(10)), chr(10)) AS l FROM f),
+    lines AS (SELECT p_partkey, unnest(l) AS line, unnest(range(len(l))) AS n FROM body),
+    grouped AS (SELECT *, count(*) FILTER (WHERE starts_with(line, 'diff --git ') OR starts_with(line, '--- ')) OVER (PARTITION BY p_partkey ORDER BY n) AS g FROM lines),
+    files AS (SELECT p_partkey, g, string_agg(line, chr(10) ORDER BY n) AS diff, min(line) FILTER (WHERE starts_with(line, '+++ ')) AS head FROM grouped GROUP BY p_partkey, g HAVING bool_or(starts_with(line, '--- ')))
+    SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY g) - 1 AS INT) AS ord, regexp_replace(substr(head, 5), '^b/', '') AS filepath, diff, 'HEAD' AS base_commit FROM files
+""")
 def reply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each file's patch in a reply; splitting with look-behind is beyond SQL."""
+    """A row for each file's patch in a reply."""
     return patches.patches(table(spark, sf_dir, "part").select("p_partkey", F.expr(DIFF_REPLY).alias("reply")), "p_partkey", "reply")
 
 
@@ -184,3 +192,24 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('["'), F.col("p_size").cast("string"), F.lit('", "'), F.col("p_brand"), F.lit('"]'))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tasks.as_list(text), ";").alias("items"))
+
+
+# A diff of each document's text: its first line becomes two; its last line is replaced wherever it first stands, as the header's place is
+# wrong; then by turns a hunk that can't match, an insertion at a place, no diff at all but a new text, and nothing more.
+TEXT_LINES = "split(text, '\\n')"
+PATCH = f"""
+    CASE WHEN doc_id % 4 = 2 THEN concat('new text ', cast(doc_id AS STRING)) ELSE concat('--- a/f.txt\n+++ b/f.txt\n@@ -1,1 +1,2 @@\n-', element_at({TEXT_LINES}, 1), '\n+first\n+second\n@@ -900000,1 +900001,1 @@ far\n-', element_at({TEXT_LINES}, -1), '\n+last\n',
+        CASE WHEN doc_id % 4 = 0 THEN '@@ -3 +3 @@\n-no such line\n+x\n' WHEN doc_id % 4 = 1 THEN '@@ -2,0 +3 @@\n+between\n' ELSE '' END) END
+"""
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), a AS (SELECT doc_id, l[-1] AS z, list_concat(['first', 'second'], l[2:]) AS l FROM l), b AS (SELECT doc_id, l, list_position(l, z) AS p FROM a),
+    c AS (SELECT doc_id, p, list_concat(list_concat(l[:p - 1], ['last']), l[p + 1:]) AS l FROM b), d AS (SELECT doc_id, p, CASE WHEN doc_id % 4 = 1 THEN list_concat(list_concat(l[:2], ['between']), l[3:]) ELSE l END AS l FROM c),
+    e AS (SELECT doc_id, l, CASE WHEN doc_id % 4 <> 2 AND (doc_id % 4 = 0 OR coalesce(p, 0) = 0) THEN 'a hunk does not match' END AS error FROM d)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'new text ' || doc_id WHEN error IS NULL THEN array_to_string(l, chr(10)) || chr(10) END AS text, error FROM e
+""")
+def patched_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs applied to whole documents: moved, repeated and failing hunks, insertions, and new texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(PATCH).alias("diff"))
+    return docs.select("doc_id", patches.apply_patch("text", "diff").alias("p")).select("doc_id", "p.text", "p.error")

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cairn.deploy import ship
 from cairn.functions.text import SPACE
 
-# The header of a hunk and where a reply's diffs begin.
+# The header of a hunk, what ends a line, and where a reply's diffs begin.
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 FILE_START = r"(?=diff --git |(?<!\w)--- (?:a/|[^\n]+))"
 
 
@@ -41,82 +36,79 @@ def gold_spans(diffs: DataFrame, id_col: str = "task_id", diff_col: str = "diff"
     return hunk.select(id_col, F.col("ord"), "path", start.alias("start_line"), F.when(count == 0, start).otherwise(start + count - 1).alias("end_line"))
 
 
-def split_reply(reply: str) -> list[tuple[str, str]]:
-    """(path, diff) of each file that a model's reply changes."""
-    fence = re.search(r"```diff\n(.*?)```", reply, re.DOTALL)
-    if fence:
-        body = fence[1]
-    elif "diff --git" in reply:
-        body = reply[reply.index("diff --git") :]
-    elif "--- " in reply and "+++ " in reply:
-        body = reply[reply.index("--- ") :]
-    else:
-        return []
-    out = []
-    for part in map(str.strip, re.split(FILE_START, body.strip())):
-        heads = [(x[:4], x[4:].strip()) for x in part.splitlines() if x.startswith(("--- ", "+++ "))]
-        named = [(k, re.sub("^b/" if k == "+++ " else "^a/", "", p)) for k, p in heads if p != "/dev/null"]
-        path = next((p for k, p in named if k == "+++ "), None) or next((p for _, p in named), None)
-        if part and path:
-            out.append((path.replace("\\", "/"), part))
-    return out
+def file_patches(reply: Column) -> Column:
+    """array<struct<path, diff>> of the files that a model's reply changes: a fenced diff, else from the first header on; parts without a path are dropped."""
+    fence = F.regexp_extract(reply, r"(?s)```diff\n(.*?)```", 1)
+    from_ = lambda mark: F.substr(reply, F.instr(reply, mark))
+    fenced = F.regexp_like(reply, F.lit(r"(?s)```diff\n.*?```"))
+    body = F.when(fenced, fence).when(F.contains(reply, F.lit("diff --git")), from_("diff --git")).when(F.contains(reply, F.lit("--- ")) & F.contains(reply, F.lit("+++ ")), from_("--- "))
+
+    def part(text: Column) -> Column:
+        heads = F.filter(_lines(text), lambda x: x.rlike(r"^(?:---|\+\+\+) ") & (F.btrim(F.substring(x, 5, 2**31 - 1), F.lit(SPACE)) != "/dev/null"))
+        new = F.filter(heads, lambda x: F.startswith(x, F.lit("+++ ")))
+        named = F.coalesce(F.get(new, F.lit(0)), F.get(heads, F.lit(0)))
+        path = F.btrim(F.substring(named, 5, 2**31 - 1), F.lit(SPACE))
+        own = F.when(F.startswith(named, F.lit("+++ ")), F.regexp_replace(path, "^b/", "")).otherwise(F.regexp_replace(path, "^a/", ""))
+        return F.struct(F.translate(own, "\\", "/").alias("path"), text.alias("diff"))
+
+    cut = F.transform(F.split(F.btrim(body, F.lit(SPACE)), FILE_START), lambda x: F.btrim(x, F.lit(SPACE)))
+    return F.filter(F.transform(F.filter(cut, lambda x: x != ""), part), lambda p: p["path"] != "")
 
 
 def patches(replies: DataFrame, id_col: str, reply_col: str, commit: str = "HEAD") -> DataFrame:
     """(id, ord, filepath, diff, base_commit): a row for each file's patch in each reply."""
-    kind = replies.schema[id_col].dataType.simpleString()
-    ship(replies.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, p, d, commit) for i, r in zip(b["id"], b["reply"], strict=True) for k, (p, d) in enumerate(split_reply(r or ""))]
-            yield pd.DataFrame(rows, columns=["id", "ord", "filepath", "diff", "base_commit"])
-
-    out = replies.select(F.col(id_col).alias("id"), F.col(reply_col).alias("reply")).mapInPandas(run, f"id {kind}, ord int, filepath string, diff string, base_commit string")
-    return out.withColumnRenamed("id", id_col)
-
-
-def apply_diff(text: str, diff: str) -> str:
-    """The text with every hunk applied where it says, shifted by the hunks before, or else where its old lines first match; ValueError if none."""
-    lines, shift, applied = text.splitlines(), 0, False
-    hunks: list[tuple[int, list[str], list[str]]] = []
-    for row in diff.splitlines():
-        head = re.match(HUNK, row)
-        if head:
-            hunks.append((int(head[1]) - 1, [], []))
-        elif hunks and not row.startswith(("@@", "---", "+++", "\\")):
-            _, old, new = hunks[-1]
-            sign, rest = (row[0], row[1:]) if row[:1] in ("-", "+", " ") else (" ", row)
-            if sign != "+":
-                old.append(rest)
-            if sign != "-":
-                new.append(rest)
-    for start, old, new in hunks:
-        places = [start + shift, *range(len(lines) - len(old) + 1)]
-        at = next((p for p in places if lines[max(p, 0) : max(p, 0) + len(old)] == old and p >= 0), None)
-        if at is None:
-            raise ValueError("a hunk does not match")
-        lines[at : at + len(old)] = new
-        shift += len(new) - len(old)
-        applied = True
-    if not applied:
-        raise ValueError("the diff has no hunk")
-    return "\n".join(lines) + "\n"
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-def apply_patch(text: pd.Series, diff: pd.Series) -> pd.DataFrame:
-    """A file's text after a patch, or why it can't be applied; a diff without any header is the new text."""
-    rows = []
-    for t, d in zip(text, diff, strict=True):
-        d = d or ""
-        if not d.strip():
-            rows.append((None, "the diff is empty"))
-        elif "@@" not in d and not d.strip().startswith(("--- ", "diff --git")):
-            rows.append((d, None))
-        else:
-            try:
-                rows.append((apply_diff(t or "", d), None))
-            except ValueError as x:
-                rows.append((None, str(x)))
-    return pd.DataFrame(rows, columns=["text", "error"])
+    rows = replies.select(F.col(id_col), F.posexplode(file_patches(F.col(reply_col))).alias("ord", "p"))
+    return rows.select(id_col, "ord", F.col("p.path").alias("filepath"), F.col("p.diff").alias("diff"), F.lit(commit).alias("base_commit"))
+
+
+def _lines(text: Column) -> Column:
+    """A text's lines as str.splitlines() has them: a line's end ends it, so the last line isn't followed by an empty one."""
+    cut = F.split(text, LINE_END)
+    return F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+
+
+def hunks(diff: Column) -> Column:
+    """A diff's hunks in order: struct(start, old, new), start being the place of the first old line, from 0.
+
+    A line that begins with @@ ends a hunk, whether or not it is a header. Of a hunk's lines those that begin with `---`, `+++` or a
+    backslash say nothing; one without a sign stands for itself in old and new.
+    """
+    parts = F.filter(F.split(diff, r"(?m)^(?=@@)"), lambda p: p.rlike(HUNK))
+
+    def hunk(part: Column) -> Column:
+        every = _lines(part)
+        body = F.filter(F.slice(every, F.lit(2), F.size(every)), lambda x: ~x.rlike(r"^(?:---|\+\+\+|\\)"))
+        side = lambda other: F.transform(F.filter(body, lambda x: ~F.startswith(x, F.lit(other))), lambda x: F.when(x.rlike("^[-+ ]"), F.substring(x, 2, 2**31 - 1)).otherwise(x))
+        return F.struct((F.regexp_extract(part, HUNK, 1).cast("int") - 1).alias("start"), side("+").alias("old"), side("-").alias("new"))
+
+    return F.transform(parts, hunk)
+
+
+def apply_patch(text: Column | str, diff: Column | str) -> Column:
+    """struct(text, error): a file's text after a patch, or why it can't be applied; a diff without any header is the new text.
+
+    A fold over the hunks carries the lines so far, how far earlier hunks have moved what follows, and whether all have matched. A hunk
+    goes where it says, moved, or else where its old lines first stand in the text; without old lines it goes to its place, or to the
+    end if that is nearer. Null texts and diffs count as empty.
+    """
+    text, diff = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (text, diff))
+    trimmed = F.btrim(diff, F.lit(SPACE))
+    state = "struct<lines:array<string>,moved:int,fits:boolean>"
+
+    def step(now: Column, h: Column) -> Column:
+        lines, old, new = now["lines"], h["old"], h["new"]
+        n, m, said = F.size(lines), F.size(old), h["start"] + now["moved"]
+        there = lambda p: F.slice(lines, p + 1, m) == old
+        first = F.get(F.filter(F.sequence(F.lit(0), n - m), lambda p: F.when(m == 0, True).otherwise((F.get(lines, p) == F.get(old, F.lit(0))) & there(p))), F.lit(0))
+        at = F.when((said >= 0) & there(said), F.least(said, n)).otherwise(F.when(m <= n, first))
+        put = F.concat(F.slice(lines, F.lit(1), at), new, F.slice(lines, at + m + 1, n))
+        next_ = F.struct(put.alias("lines"), (now["moved"] + F.size(new) - m).alias("moved"), F.lit(True).alias("fits"))
+        return F.when(~now["fits"], now).when(at.isNull(), now.withField("fits", F.lit(False))).otherwise(next_).cast(state)
+
+    start = F.struct(_lines(text).alias("lines"), F.lit(0).alias("moved"), F.lit(True).alias("fits")).cast(state)
+    found = hunks(diff)
+    done = F.aggregate(found, start, step)
+    plain = ~F.contains(diff, F.lit("@@")) & ~trimmed.rlike(r"^(?:--- |diff --git)")
+    error = F.when(trimmed == "", "the diff is empty").when(plain, F.lit(None)).when(F.size(found) == 0, "the diff has no hunk").when(~done["fits"], "a hunk does not match")
+    made = F.when(plain, diff).otherwise(F.concat(F.array_join(done["lines"], "\n"), F.lit("\n")))
+    return F.struct(F.when(error.isNull(), made).alias("text"), error.cast("string").alias("error"))

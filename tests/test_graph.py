@@ -1,4 +1,5 @@
 import inspect
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,40 @@ def test_steps_are_not_cut_short(spark):
 @pytest.mark.parametrize("operator", (graph.descendants, graph.topological_waves))
 def test_steps_have_no_bound_of_their_own(operator):
     assert inspect.signature(operator).parameters["most"].default is None
+
+
+def test_a_long_chain_closes_in_few_rounds(spark, monkeypatch):
+    cuts = []
+    plain = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(1) or plain(df))
+    n = 300
+    chain = spark.range(n).selectExpr("concat('n', id + 1) AS src", "concat('n', id) AS dst", "'inherits' AS kind", "'exact' AS conf")
+    assert graph.descendants(chain).count() == n * (n + 1) // 2
+    assert len(cuts) < 22  # two a round
+    ring = edges(spark, *((f"n{k}", f"n{(k + 1) % 7}", "inherits", "exact") for k in range(7)))
+    assert graph.descendants(ring).count() == 49
+
+
+def first_by_hand(cls, name, bases, members, seen):
+    if cls in seen:
+        return None
+    seen.add(cls)
+    if (cls, name) in members:
+        return cls
+    return next((o for _, b in sorted(bases.get(cls, ())) if (o := first_by_hand(b, name, bases, members, seen))), None)
+
+
+def test_members_come_from_the_first_base_depth_first(spark):
+    """Random classes with diamonds and cycles against a recursive walk with one set of visited classes."""
+    dice = random.Random(9)
+    names = [f"c{k}" for k in range(60)]
+    bases = {c: [(p, dice.choice(names)) for p in range(dice.choice([0, 1, 2, 3]))] for c in names}
+    members = {(dice.choice(names), dice.choice("fgh")) for _ in range(25)}
+    asked = [(c, m) for c in names for m in "fgh"]
+    got = graph.inherited(
+        spark.createDataFrame(asked, "cls string, name string"),
+        spark.createDataFrame([(c, p, b) for c, own in bases.items() for p, b in own], "cls string, pos int, base string"),
+        spark.createDataFrame(sorted(members), "owner string, name string"),
+    )
+    want = {(c, m): o for c, m in asked if (o := first_by_hand(c, m, bases, members, set()))}
+    assert {(r.cls, r.name): r.owner for r in got.collect()} == want and len(want) > 60

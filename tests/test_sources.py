@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from cairn.sources import code, files, frameworks, patches, tasks
@@ -71,13 +74,52 @@ def test_files(spark, tmp_path):
 DIFF = "--- a/f.py\n+++ b/f.py\n@@ -2,2 +2,3 @@\n b\n-c\n+C\n+D\n@@ -9 +10 @@\n-z\n+Z\n"
 
 
+def applied_by_hand(text, diff):
+    lines, shift, found = text.splitlines(), 0, []
+    for row in diff.splitlines():
+        head = re.match(patches.HUNK, row)
+        if head:
+            found.append((int(head[1]) - 1, [], []))
+        elif row.startswith("@@"):
+            found.append(None)
+        elif found and found[-1] and not row.startswith(("---", "+++", "\\")):
+            sign, rest = (row[0], row[1:]) if row[:1] in ("-", "+", " ") else (" ", row)
+            if sign != "+":
+                found[-1][1].append(rest)
+            if sign != "-":
+                found[-1][2].append(rest)
+    if not any(found):
+        return None
+    for start, old, new in filter(None, found):
+        fits = [p for p in [start + shift, *range(len(lines) - len(old) + 1)] if p >= 0 and lines[p : p + len(old)] == old]
+        if not fits:
+            return None
+        lines[fits[0] : fits[0] + len(old)] = new
+        shift += len(new) - len(old)
+    return "\n".join(lines) + "\n"
+
+
 def test_patches(spark):
-    assert patches.apply_diff("a\nb\nc\nd\nz\n", DIFF) == "a\nb\nC\nD\nd\nZ\n"
-    frame = spark.createDataFrame([("a\nb\nc\nz", DIFF), ("q", DIFF), ("q", ""), ("q", "new text")], "text string, diff string")
-    got = [(r.p.text, r.p.error is None) for r in frame.select(patches.apply_patch("text", "diff").alias("p")).collect()]
-    assert got == [("a\nb\nC\nD\nZ\n", True), (None, False), (None, False), ("new text", True)]
-    assert [p for p, _ in patches.split_reply("```diff\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n-a\n+b\n```")] == ["x.py", "y.py"]
-    assert patches.split_reply("prose") == []
+    dice = random.Random(3)
+    rows = [("a\nb\nc\nd\nz\n", DIFF), ("a\nb\nc\nz", DIFF), ("q", DIFF), ("", "@@ -0,0 +1 @@\n+x"), (None, "@@ -1 +1 @@\n-x"), ("a\r\nb\u2028c", "@@ -9 +9 @@\n-c\n+d\n"), ("a", "@@ no header\n-a\n+b"), ("a\n\nb", "@@ -2 +2 @@\n\n-b"), ("x", "--- a\n+++ b\n")]
+    for _ in range(300):
+        letters = [dice.choice("ab-+ @") + dice.choice(["", "x", "--"]) for _ in range(dice.randrange(6))]
+        diff = "".join(f"@@ -{dice.randrange(7)},{dice.randrange(3)} +1 @@\n" + "".join(dice.choice(["-", "+", " ", "", "\\"]) + dice.choice([*letters, "ax", "new"]) + "\n" for _ in range(dice.randrange(5))) for _ in range(dice.randrange(1, 4)))
+        rows.append(("\n".join(letters), diff))
+    got = [r.p for r in spark.createDataFrame(rows, "text string, diff string").coalesce(1).select(patches.apply_patch("text", "diff").alias("p")).collect()]
+    want = [applied_by_hand(t or "", d) for t, d in rows]
+    assert [p.text for p in got] == want and all((p.error is None) == (w is not None) for p, w in zip(got, want, strict=True))
+    assert sum(w is not None for w in want) > 50 and want[0] == "a\nb\nC\nD\nd\nZ\n"
+    more = spark.createDataFrame([("q", ""), ("q", None), ("q", "new text"), ("q", "diff --git a/x b/x")], "text string, diff string")
+    assert [tuple(r.p) for r in more.coalesce(1).select(patches.apply_patch("text", "diff").alias("p")).collect()] == [(None, "the diff is empty"), (None, "the diff is empty"), ("new text", None), (None, "the diff has no hunk")]
+
+
+def test_patches_of_replies(spark):
+    two = "--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\n+b\n--- a/y.py\n+++ /dev/null\n@@ -1 +1 @@\n-a\n+b"
+    replies = [f"So:\n```diff\n{two}\n```\nDone.", f"Well, {two}", "prose", None, "diff --git a/z b/z\nmode\ndiff --git a/w b/w\n--- /dev/null\n+++ b/d\\w\n@@ -0,0 +1 @@\n+q"]
+    got = patches.patches(spark.createDataFrame(list(enumerate(replies)), "id int, reply string"), "id", "reply", "c").collect()
+    assert [(r.id, r.ord, r.filepath) for r in sorted(got)] == [(0, 0, "x.py"), (0, 1, "y.py"), (1, 0, "x.py"), (1, 1, "y.py"), (4, 0, "d/w")]
+    assert got[0].diff == two[: two.index("\n--- a/y")] and got[0].base_commit == "c"
     spans = patches.gold_spans(spark.createDataFrame([("t", "--- a/f.py\n+++ b/f.py\n@@ -10,5 +10,6 @@\n@@ -50,0 +51 @@\n")], "task_id string, diff string"))
     assert [(r.path, r.start_line, r.end_line) for r in spans.orderBy("ord").collect()] == [("f.py", 10, 14), ("f.py", 50, 50)]
 
