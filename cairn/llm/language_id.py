@@ -10,17 +10,18 @@ Training is numpy back-propagation through time with Adam, on the driver, from a
 over the whole text, of each of at most `learn_docs` documents. The documents (those with small hashes) are taken in turn from
 each language, so a rare language is learned too, up to `learn_docs` languages.
 
-Only the text is an input of a prediction. Nulls and odd cases: a null text, or one without any letter, is `und` with score 0; rows
+Only the text is an input of a prediction. Nulls and odd cases: a null text, or one without any letter (of Unicode's class L, so number
+signs aren't), is `und` with score 0; rows
 with a null language don't teach; if no language can be learned, every row is `und`. Ties go to the language that sorts first. Long
 texts are read whole. Repeated rows are predicted each; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ ABREAST, AT_ONCE = 1024, 2_000_000
 STRETCH = 64
 #: What stands outside a document; it leaves a state as it is.
 PAD, HOLD = 256, 30.0
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SALTS = 16
 
 

@@ -13,8 +13,8 @@ texts are not shuffled. Flagged lines meet their occurrences in a join salted by
 
 Lines are compared without white space at their ends. Blank lines are no lines: they never go. Nulls: a null text has no lines and
 stays null; a null site counts as no site; a null id is an id like others. Repeated rows with the same id and text are the same
-occurrence, and all keep or lose the same lines. An empty table gives no rows. Further columns are passed on as they are, whatever their names; where
-one is named n_lines or n_removed, the result has two columns of the name.
+occurrence, and all keep or lose the same lines. An empty table gives no rows. Further columns are passed on as they are, whatever
+their names; columns named n_lines or n_removed are replaced by the result's.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def dedup_lines(df: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text
     kept = F.get(F.transform(F.array(lines), left), F.lit(0))
     n = F.size(F.filter(lines, lambda x: _trimmed(x) != ""))
     return joined.select(
-        *((F.when(F.col("places").isNull(), text).otherwise(F.array_join(kept, "\n")) if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns),
+        *((F.when(F.col("places").isNull(), text).otherwise(F.array_join(kept, "\n")) if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns if c not in ("n_lines", "n_removed")),
         F.when(text.isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
     )

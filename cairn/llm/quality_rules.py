@@ -6,6 +6,9 @@ boolean. Nothing is grouped, joined or run in Python, so each document is judged
 Repeated words are found per document: each 8-word window's hash is taken once; only if two are equal are the windows themselves
 compared, sorted, and the places they cover counted.
 
+Stop words are asked of texts at least half of whose characters are A-Z or a-z: the list is of languages of that script, and a text
+in another one isn't worse for lacking them.
+
 Nulls and odd cases: a null text has no words (all counts 0) and fails the base rule, as an empty one does. Ratios of a document
 without words or lines are 0. Texts are measured whole, whatever their length. Rows may repeat; columns besides the two named
 aren't read.
@@ -48,7 +51,7 @@ RULES = (
     Rule("upper_share", None, 0.5),
     Rule("dup_line_share", None, 0.5),
     Rule("bar_line_share", None, 0.6),
-    Rule("stop_word_share", 0.01, None),
+    Rule("stop_word_share", 0.01, None),  # 1 where the list says nothing about the text's script
 )
 
 
@@ -95,6 +98,7 @@ def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (length - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).alias("n_upper"),
         F.size(F.filter(lines, lambda x: F.contains(x, F.lit(" | ")))).alias("n_bar_lines"),
         F.size(F.filter("words", lambda w: w.isin(stop))).alias("n_stop"),
+        (length - F.length(F.regexp_replace(text, r"[A-Za-z]", ""))).alias("n_latin"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counted.select(
@@ -104,7 +108,7 @@ def measures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         share("n_upper", "word_chars").alias("upper_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("n_bar_lines", "n_lines").alias("bar_line_share"),
-        share("n_stop", "n_words").alias("stop_word_share"),
+        F.when(2 * F.col("n_latin") < F.col("word_chars"), 1.0).otherwise(share("n_stop", "n_words")).alias("stop_word_share"),
     )
 
 

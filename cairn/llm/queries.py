@@ -27,7 +27,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {_values(URL_RULES)} AS rules(host, path, verdict)")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
@@ -169,11 +169,12 @@ def _rule_sql() -> str:
         c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length({_NO_SPACE.format("x")}) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                      CAST(len(y) - len(list_distinct(y)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(y) AS n_lines,
                      length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g')) AS n_upper, len(list_filter(y, lambda l: contains(l, ' | '))) AS n_bar_lines,
-                     len(list_filter(w, lambda z: list_contains([{", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)}], z))) AS n_stop
+                     len(list_filter(w, lambda z: list_contains([{", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)}], z))) AS n_stop,
+                     length(x) - length(regexp_replace(x, '[A-Za-z]', '', 'g')) AS n_latin
               FROM t LEFT JOIN rep USING (doc_id)),
         m AS (SELECT *, {share.format("word_chars", "n_words")} AS mean_word_chars, {share.format("n_symbols", "n_words")} AS symbols_per_word,
                      {share.format("n_upper", "word_chars")} AS upper_share, {share.format("n_dup_lines", "n_lines")} AS dup_line_share,
-                     {share.format("n_bar_lines", "n_lines")} AS bar_line_share, {share.format("n_stop", "n_words")} AS stop_word_share,
+                     {share.format("n_bar_lines", "n_lines")} AS bar_line_share, CASE WHEN 2 * n_latin < word_chars THEN 1 ELSE {share.format("n_stop", "n_words")} END AS stop_word_share,
                      n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(bounds)} AS kept FROM m
     """

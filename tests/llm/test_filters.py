@@ -56,6 +56,21 @@ def test_quality_rules(spark, docs):
     assert quality_rules.quality_rules(docs([])).count() == 0
 
 
+def test_stop_words_are_asked_of_their_script_only(spark, docs):
+    chinese = " ".join("今天 我们 一起 去 公园 散步 然后 回家 吃饭 看书".split() * 3 + ["好"])
+    russian = " ".join("мы вместе пошли в парк гулять потом вернулись домой обедать и читали книгу до вечера".split() * 2 + ["да"])
+    junk = " ".join(f"zq{c} vx{c} kj{c}" for c in "abcdefghij")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality_rules(docs([(1, chinese), (2, russian), (3, junk)])).collect()}
+    assert got[1][1] is (not got[1][0]) and got[2][1] is (not got[2][0]) and got[3] == (False, False)
+
+
+def test_line_dedup_replaces_columns_of_its_names(spark, docs):
+    frame = docs([(1, "a\nb"), (2, "a")]).selectExpr("*", "'x' AS n_lines", "'y' AS n_removed")
+    got = line_dedup.dedup_lines(frame, min_sites=2)
+    assert sorted(got.columns) == sorted(frame.columns)
+    assert {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()} == {(1, "a\nb", 2, 0), (2, "", 1, 1)}
+
+
 def lines_by_hand(rows, sites):
     where, first = {}, {}
     for i, t, s in rows:

@@ -54,6 +54,11 @@ def test_language_edges(spark, docs):
     assert language_id.identify(docs([])).count() == 0
 
 
+def test_letters_are_of_class_l():
+    assert not any(language_id.LETTER.search(t) for t in ("½ ² ①", "Ⅷ", "_1", "٣", "😀 !"))
+    assert all(language_id.LETTER.search(t) for t in ("1a", "é", "中", "ß", "ʰ"))
+
+
 def test_a_rare_language_is_learned(spark, docs):
     common = docs([(i, f"the house number {i} is on the hill") for i in range(2000)])
     rare = docs([(5000 + i, "żółw ćma źdźbło ślęża gęś") for i in range(3)], lang="pl")
