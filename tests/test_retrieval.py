@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.operators import chunking, fusion, lexical, rerank, vector
+from cairn.operators import blockmax, chunking, fusion, lexical, rerank, vector
 
 
 def corpus(n=60):
@@ -106,3 +106,63 @@ def test_windows_and_residuals(spark):
     covered = spark.createDataFrame([("f.py", 2, 3), ("f.py", 6, 6)], "path string, start_line int, end_line int")
     runs = chunking.residual_runs(lines, covered).orderBy("start_line").collect()
     assert [(r.start_line, r.end_line) for r in runs] == [(1, 1), (4, 5), (7, 8)]
+
+
+def _shop(spark, n=600):
+    """Texts in which a few are about what is asked, and every word is frequent somewhere."""
+    dice = random.Random(4)
+    say = lambda: " ".join(f"w{min(dice.randrange(80), dice.randrange(80))}" for _ in range(dice.randrange(5, 40)))
+    rows = [(i, say() + (" rare rare word" if i % 97 == 0 else "") + (" common" if i % 3 else "")) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(1, "rare word common"), (2, "w1 w1 w40 common"), (3, "none at all"), (4, "word w2")], "q long, text string")
+
+
+def test_block_maxima_leave_out_what_cannot_win(spark, tmp_path):
+    docs, queries = _shop(spark)
+    full = lexical.LexicalIndex.build(docs, "id", F.col("text"))
+    index = blockmax.BlockIndex.build(docs, "id", F.col("text"), str(tmp_path / "index"))
+    plain = lambda found: sorted((r.query_id, r.id, round(r.score, 8), r["rank"]) for r in found.collect())
+    for k in (1, 5, 40):
+        assert plain(index.search(queries, "q", F.col("text"), k)) == plain(full.search(queries, "q", F.col("text"), k))
+    terms, first, second, _ = index.plan(queries, "q", F.col("text"), 2)
+    every = terms.join(index.maxima, "term").groupBy("query_id").agg(F.sum("n").alias("n"))
+    read = first.unionByName(second).groupBy("query_id").agg(F.sum("n").alias("read"))
+    got = {r.query_id: (r.read, r.n) for r in read.join(every, "query_id").collect()}
+    assert got[1][0] < got[1][1] / 2 and all(r <= n for r, n in got.values()) and 3 not in got
+
+
+def test_a_loaded_index_is_not_shuffled(spark, tmp_path):
+    docs, queries = _shop(spark)
+    path = str(tmp_path / "index")
+    blockmax.BlockIndex.build(docs.where("id < 500"), "id", F.col("text"), path).merge(docs.where("id >= 480").unionByName(docs.where("id = 3").withColumn("text", F.lit("rare word"))), "id", F.col("text"))
+    for t in spark.catalog.listTables():
+        if t.name.startswith(("blocks_", "maxima_")):
+            spark.sql(f"DROP TABLE {t.name}")
+    index = blockmax.BlockIndex.load(spark, path)
+    now = docs.where("id <> 3").unionByName(docs.where("id = 3").withColumn("text", F.lit("rare word")))
+    want = lexical.LexicalIndex.build(now, "id", F.col("text")).search(queries, "q", F.col("text"), 10)
+    assert sorted((r.query_id, r.id, round(r.score, 8)) for r in index.search(queries, "q", F.col("text"), 10).collect()) == sorted((r.query_id, r.id, round(r.score, 8)) for r in want.collect())
+    terms = spark.createDataFrame([(1, "rare", 1.0)], "query_id long, term string, w double")
+    slots = spark.createDataFrame([(1, 3)], "query_id long, slot long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        assert "Exchange" not in index.weights()._jdf.queryExecution().executedPlan().toString()
+        assert exchanges_below_join(index._bounds(terms), "maxima_") == 0 == exchanges_below_join(index._scores(terms, slots), "blocks_")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def exchanges_below_join(df, scan):
+    """How many exchanges lie between a scan and the first join above it, in the plan that runs."""
+
+    def walk(node, over):
+        name = node.nodeName()
+        if name.startswith("Scan") and scan in node.toString():
+            yield over
+        over = over + 1 if "Exchange" in name else 0 if "Join" in name else over
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k), over)
+
+    return min(walk(df._jdf.queryExecution().executedPlan(), 0), default=None)
