@@ -15,6 +15,8 @@ from cairn.functions.text import cache_key, tokenize
 from cairn.operators.common import cut_lineage, top
 
 DIM = 384
+#: Vectors that meet a block of queries at once.
+TILE = 1024
 
 
 def token_weights(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -112,10 +114,9 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
             for b in batches:
                 if not len(b):
                     continue
-                own = b["id"].to_numpy()
-                score = q @ matrix(b).T
-                order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "id": own[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                for at in range(0, len(b), TILE):
+                    tile = b[at : at + TILE]
+                    yield pd.DataFrame(dict(zip(("query_id", "id", "score"), best(ids, tile["id"].to_numpy(), q, matrix(tile), k), strict=True)))
 
         found = given.mapInPandas(run, schema)
         if n > 1:
@@ -127,6 +128,23 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     return top(out, k, ["query_id"], F.round("score", 9).desc(), F.col("id"))
 
 
+def best(query_ids: np.ndarray, ids: np.ndarray, q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and scores of each query's k best by scores rounded to nine places, then id. Only what reaches the k-th best is sorted."""
+    score = q @ v.T
+    shown = np.round(score, 9)
+    k = min(k, len(ids))
+    least = np.partition(shown, len(ids) - k, axis=1)[:, len(ids) - k]
+    row, column = np.nonzero(shown >= least[:, None])
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    order = np.lexsort((place[column], -shown[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    keep = np.arange(len(row)) - first[row] < k
+    row, column = row[keep], column[keep]
+    return query_ids[row], ids[column], score[row, column]
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True) if m.size else np.ones((len(m), 1))
     return m / np.where(norm == 0, 1, norm)

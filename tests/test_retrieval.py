@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.operators import blockmax, chunking, fusion, lexical, rerank, vector
+from cairn.operators import blockmax, cells, chunking, fusion, lexical, rerank, vector
 
 
 def corpus(n=60):
@@ -166,3 +166,30 @@ def exchanges_below_join(df, scan):
             yield from walk(node.children().apply(k), over)
 
     return min(walk(df._jdf.queryExecution().executedPlan(), 0), default=None)
+
+
+def test_cells_find_what_a_full_search_finds(spark):
+    """Clustered vectors, copies, zero vectors, a null; and a query of length 0."""
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(12, 16))
+    rows = [(i, (middle[i % 12] + 0.1 * rng.normal(size=16)).round(3).tolist()) for i in range(700)]
+    rows += [(700 + i, rows[i][1]) for i in range(40)] + [(800, [0.0] * 16), (801, [0.0] * 16), (802, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 60 = 0 or vec_id = 801")
+    index = cells.CellIndex.build(frame, cells=24)
+    plain = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 8)) for r in df.collect())
+    full = plain(vector.cosine_top(frame, asked, 7))
+    assert plain(index.search(asked, 7)) == full
+    assert plain(index.search(asked, 7, probe=1, block_rows=3)) == full
+    short = {x[0::2] for x in plain(index.search(asked, 7, probe=4, exact=False))}
+    assert len(short & {x[0::2] for x in full}) >= 0.9 * len(full)
+    assert index.search(asked.limit(0), 3).count() == 0
+    assert cells.CellIndex.build(frame.limit(0)).search(asked, 3).count() == 0
+    assert plain(cells.CellIndex.build(frame.where("vec_id in (800, 801)")).search(frame.where("vec_id = 0"), 3)) == [(0, 1, 800, 0.0), (0, 2, 801, 0.0)]
+
+
+def test_best_breaks_ties_by_id():
+    q, v = np.eye(2), np.array([[1, 0], [1, 0], [0, 1], [1, 0], [0.5, 0.5]], float)
+    ids = np.array([9, 3, 5, 4, 1])
+    assert [x.tolist() for x in vector.best(np.array([70, 71]), ids, q, v, 2)[:2]] == [[70, 70, 71, 71], [3, 4, 5, 1]]
+    assert len(vector.best(np.array([70, 71]), ids, q, v, 50)[0]) == 10
