@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.common import top
+from cairn.operators.common import cut_lineage, top
+from cairn.sources import tasks as sources
 
 
 def recall_files(evidence: DataFrame, gold: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -95,7 +98,39 @@ def markdown(report: DataFrame) -> DataFrame:
 def grid(configs: DataFrame, tasks: DataFrame, repeats: int) -> DataFrame:
     """Every (config, task_id, run_idx) to be run: configs and repeats are stated lists, joined to the task table."""
     runs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("run_idx")
-    return tasks.select("task_id").crossJoin(F.broadcast(configs.select("config"))).select("config", "task_id", runs)
+    return tasks.select("task_id").crossJoin(configs.select("config")).select("config", "task_id", runs)
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """records, whose `error` also says where tokens were used but cost nothing: such a record would look free."""
+    free = F.col("error").isNull() & (F.col("tokens") > 0) & (F.coalesce(F.col("cost"), F.lit(0.0)) == 0)
+    return records.withColumn("error", F.when(free, "tokens were used but the cost is 0").otherwise(F.col("error")))
+
+
+def resume(grid: DataFrame, path: str, run: Callable[[DataFrame], DataFrame], version: int = 1, fingerprint: Column | None = None, use_cache: bool = True) -> DataFrame:
+    """The records of every (config, task_id, run_idx) of the grid: those cached below path, and of the others what `run` makes of them.
+
+    run maps rows of the grid, with their `key`, to rows with columns besides: at least tokens, cost and error. A record with an error is
+    part of the result, so it stays in every denominator, but isn't cached: it is run again next time. A record's key is the digest
+    of version, config, fingerprint (of the config's settings), task and run, so a changed config is run anew. Only keys that the
+    cache lacks are run, once, before anything is written. `cached` says which records were read.
+
+    The cache is partitioned by config and by the first digit of the key, and the partitions that get new records are overwritten
+    whole: a write that fails, or is repeated, leaves each as it was or as it should be. A record that has gone from the grid stays.
+    """
+    spark = grid.sparkSession
+    print_ = F.lit("") if fingerprint is None else fingerprint
+    keyed = grid.withColumn("key", sources.record_key(F.lit(version), F.col("config"), print_, F.col("task_id"), F.col("run_idx")))
+    there = sources.cached_records(spark, path)
+    cached = there if use_cache else None
+    todo = keyed if cached is None else keyed.join(cached.select("key"), "key", "left_anti").select(*keyed.columns)
+    new = cut_lineage(checked(run(todo)))
+    good = new.where("error is null")
+    held = None if cached is None else cut_lineage(cached.join(keyed.select("key"), "key", "left_semi").select(*new.columns))  # before its files are replaced
+    if not good.isEmpty():
+        sources.cache_records(good, there, path)
+    fresh = new.withColumn("cached", F.lit(False))
+    return fresh if held is None else fresh.unionByName(held.withColumn("cached", F.lit(True)))
 
 
 def control_systems(gold: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import evaluation as ev
 from cairn.operators import composed, fusion, graph, ledger, rerank
-from cairn.operators.common import top
+from cairn.operators.common import checkpoint_dir, top
 from cairn.plans import adapters as ad
 from cairn.plans import retrieval as rt
 from cairn.plans.registry import query, table
@@ -122,6 +124,27 @@ def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.grid(records.select("config").distinct(), records.select("task_id").distinct(), 3)
 
 
+# A run's outcome comes from the customer that its task is; some crash, and some use tokens that cost nothing.
+OUTCOME = ["(task_id + run_idx) % 3 = 0 AS resolved", "task_id % 40 AS tokens", "CASE WHEN task_id % 9 = 2 THEN 0.0e0 ELSE round(abs(c_acctbal) / 100, 2) END AS cost", "CASE WHEN (task_id + run_idx) % 11 = 0 THEN 'boom' END AS error"]
+CONFIGS = ["lexical", "dense", "hybrid"]
+
+
+@query(f"""
+    WITH grid AS (SELECT config, c_custkey AS task_id, run_idx, c_acctbal FROM customer, (VALUES {", ".join(f"('{c}')" for c in CONFIGS)}) c(config), (SELECT unnest(range(2)) AS run_idx)),
+    ran AS (SELECT config, task_id, run_idx, {", ".join(OUTCOME)} FROM grid),
+    checked AS (SELECT * REPLACE (CASE WHEN error IS NULL AND tokens > 0 AND cost = 0 THEN 'tokens were used but the cost is 0' ELSE error END AS error) FROM ran)
+    SELECT config, task_id, CAST(run_idx AS INT) AS run_idx, resolved, tokens, cost, error, error IS NULL AND task_id % 2 = 0 AND config <> 'hybrid' AS cached FROM checked
+""")
+def resumed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of which a part was run before: what is cached is read, what crashed then is run again with the rest."""
+    place = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    customers = table(spark, sf_dir, "customer")
+    grid = lambda names, rows: ev.grid(spark.createDataFrame([(c,) for c in names], "config string"), rows.select(F.col("c_custkey").alias("task_id")), 2)
+    run = lambda todo: todo.join(customers.select(F.col("c_custkey").alias("task_id"), "c_acctbal"), "task_id").selectExpr("config", "task_id", "run_idx", "key", *OUTCOME)
+    ev.resume(grid(CONFIGS[:2], customers.where("c_custkey % 2 = 0")), place, run)
+    return ev.resume(grid(CONFIGS, customers), place, run).drop("key")
+
+
 @query(f"""
     WITH {ad.GOLD}, shown AS (SELECT 'control_gold' AS config, query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path) AS r FROM gold),
     each AS (SELECT c.config, g.query_id, count(s.path) / count(*) AS recall FROM gold g CROSS JOIN (VALUES ('control_gold'), ('control_none')) c(config)

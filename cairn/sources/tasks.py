@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.common import cut_lineage
+
 TASK_SCHEMA = "instance_id string, repo string, base_commit string, problem_statement string, patch string, test_patch string, hints_text string"
 
 
@@ -50,6 +52,28 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def _shard(key: str = "key") -> Column:
+    return F.substring(key, 1, 1).alias("shard")
+
+
+def cached_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records cached below path; None if nothing was cached yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.parquet(path).drop("shard")
+
+
+def cache_records(new: DataFrame, cached: DataFrame | None, path: str) -> None:
+    """Add records to a cache: each partition (config, shard) that gets some is written again with what it held."""
+    parts = new.select("config", _shard()).distinct()
+    rows = new
+    if cached is not None:
+        kept = cached.withColumn("shard", _shard()).join(parts, ["config", "shard"], "left_semi").drop("shard")
+        rows = cut_lineage(kept.join(new.select("key"), "key", "left_anti").select(*new.columns).unionByName(new))  # before the files read are replaced
+    rows.withColumn("shard", _shard()).repartition("config", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config", "shard").parquet(path)
+
+
 def write_report(report: DataFrame, records: DataFrame, path: str) -> None:
     """raw records as JSON lines and the report's table rows as text."""
     from cairn.operators.evaluation import markdown

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import evaluation as ev
 from cairn.operators import ledger
+from cairn.sources import tasks
 
 
 def test_recall_and_rates(spark):
@@ -51,3 +52,34 @@ def test_state_folds(spark):
     held = spark.createDataFrame([(1, "c1")], "run int, chunk_id string")
     fresh = ledger.new_evidence(spark.createDataFrame([(1, "c1", 1), (1, "c2", 2), (1, "c2", 3)], "run int, chunk_id string, seq int"), held, ["run"], "chunk_id", "seq")
     assert [(r.chunk_id, r.seq) for r in fresh.collect()] == [("c2", 2)]
+
+
+def test_a_run_is_resumed(spark, tmp_path):
+    """A second run computes nothing; errors stay in the result and out of the cache; a changed config is run anew; what failed is run again."""
+    asked, path = [], str(tmp_path / "cache")
+    broken = {("a", 1)}
+
+    def run(todo):
+        rows = todo.collect()
+        asked.append(sorted((r.config, r.task_id, r.run_idx) for r in rows))
+        made = [(r.config, r.task_id, r.run_idx, r.key, 5 if r.task_id != 3 else 7, 0.0 if r.task_id == 3 else 0.5, "boom" if (r.config, r.task_id) in broken else None) for r in rows]
+        return spark.createDataFrame(made, "config string, task_id long, run_idx int, key string, tokens int, cost double, error string")
+
+    grid = ev.grid(spark.createDataFrame([("a",), ("b",)], "config string"), spark.createDataFrame([(1,), (2,), (3,)], "task_id long"), 2)
+    first = ev.resume(grid, path, run)
+    assert first.count() == 12 and len(asked[0]) == 12 and not first.where("cached").count()
+    assert {r.error for r in first.where("task_id = 3").collect()} == {"tokens were used but the cost is 0"}
+    again = ev.resume(grid, path, run)
+    assert asked[1] == [("a", 1, 0), ("a", 1, 1), ("a", 3, 0), ("a", 3, 1), ("b", 3, 0), ("b", 3, 1)]
+    assert again.count() == 12 and again.where("cached").count() == 6
+    broken.clear()
+    few = grid.where("task_id < 3")
+    ev.resume(few, path, run)
+    assert asked[2] == [("a", 1, 0), ("a", 1, 1)]
+    last = ev.resume(few, path, run)
+    assert asked[3] == [] and last.where("cached").count() == 8 and {r.cost for r in last.collect()} == {0.5}
+    ev.resume(few, path, run, fingerprint=F.when(F.col("config") == "b", "new").otherwise(""))
+    assert {c for c, _, _ in asked[4]} == {"b"} and len(asked[4]) == 4
+    ev.resume(few, path, run, use_cache=False)
+    assert len(asked[5]) == 8
+    assert tasks.cached_records(spark, path).groupBy("key").count().where("count > 1").count() == 0
