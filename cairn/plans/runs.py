@@ -16,6 +16,7 @@ from cairn.plans import retrieval as rt
 from cairn.plans.registry import query, table
 from cairn.plans.texts import REPLIES
 from cairn.sources import tasks
+from cairn.streaming import state
 
 FOUND = f"{rt.TOKENS}, {rt.LUCENE}, {rt.SCORED}, evidence AS (SELECT query_id, d.source AS path, score, rank AS ord FROM {rt.top_sql('scored', 20)} h JOIN documents d ON d.doc_id = h.id), {ad.GOLD}"
 
@@ -209,15 +210,33 @@ def allowed_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.allowed_tools(tools, ("stage0", "stage1")).select("event_id", "tool")
 
 
-@query("""
-    SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS turns, string_agg(role, ',' ORDER BY turn, role) AS roles, coalesce(arg_max(turn, turn) FILTER (WHERE role = 'assistant'), -1) AS last_reply FROM conversations GROUP BY conv_id
-""")
-def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deltas = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"), F.lit(1).cast("long").alias("turns"), F.array("role").alias("roles"), F.when(F.col("role") == "assistant", F.col("turn")).alias("last_reply"))
-    folded = ledger.fold_state(deltas, ["conv_id"], "turn", ["chars", "turns"], ["roles"], ["last_reply"])
+FOLDED = "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS turns, string_agg(role, ',' ORDER BY turn, role) AS roles, coalesce(arg_max(turn, turn) FILTER (WHERE role = 'assistant'), -1) AS last_reply FROM conversations GROUP BY conv_id"
+FOLD = {"order": "turn", "add": ["chars", "turns"], "concat": ["roles"], "last": ["last_reply"]}
+
+
+def _deltas(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", "turn", F.length("text").cast("long").alias("chars"), F.lit(1).cast("long").alias("turns"), F.array("role").alias("roles"), F.when(F.col("role") == "assistant", F.col("turn")).alias("last_reply"))
+
+
+def _shown_state(folded: DataFrame) -> DataFrame:
     return folded.withColumns({"roles": F.array_join("roles", ","), "last_reply": F.coalesce("last_reply", F.lit(-1))})
 
 
+@query(FOLDED)
+def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown_state(ledger.fold_state(_deltas(table(spark, sf_dir, "conversations")), ["conv_id"], **FOLD))
+
+
+@query(FOLDED)
+def state_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations as a stream of deltas, file by file; what is left when it is read."""
+    turns = table(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/conversations.parquet*")
+    place = f"{checkpoint_dir(spark)}/states-{uuid.uuid4().hex}"
+    state.follow_states(_deltas(stream), f"{place}/out", f"{place}/checkpoint", by=["conv_id"], delta="turn", **FOLD).awaitTermination()
+    return _shown_state(state.current_states(spark, f"{place}/out", ["conv_id"]))
+
+
 @query(f"WITH {PRICED} SELECT conv_id, turn, model FROM priced WHERE tokens_in + tokens_out > 0 AND cost = 0")
 def free_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.free_with_tokens(_priced(spark, sf_dir)).select("conv_id", "turn", "model")
