@@ -6,30 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import is_test_path, symbol_id
-from cairn.operators.common import top
+from cairn.operators import intervals
 
 
 def innermost(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """(path, line, name): the shortest span (path, name, start_line, end_line) that holds a line; ties by start, then name.
-
-    Equi-join on the path with the interval as residual.
-    """
-    held = lines.select("path", "line").distinct().join(spans, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return top(held, 1, ["path", "line"], F.col("end_line") - F.col("start_line"), F.col("start_line"), F.col("name")).select("path", "line", "name")
+    """(path, line, name): the shortest span (path, name, start_line, end_line) that holds a line; ties by start, then name."""
+    return intervals.innermost(lines, spans)
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a (path, start_line, end_line) that overlap a row of b."""
-    other = b.select(F.col("path").alias("__p"), F.col("start_line").alias("__s"), F.col("end_line").alias("__e"))
-    return a.join(other, (F.col("path") == F.col("__p")) & (F.greatest("start_line", "__s") <= F.least("end_line", "__e")), "left_semi")
+    return intervals.overlapping(a, b)
 
 
 def from_lines(executed: DataFrame, chunks: DataFrame, context: Column) -> DataFrame:
     """(symbol_id, test_id): executed (path, line) in a symbol's chunk under a named test context."""
-    rows = executed.select("path", "line", context.alias("test_id")).where("test_id <> ''")
-    named = chunks.where("symbol is not null").select("path", "symbol", "start_line", "end_line")
-    held = rows.join(named, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return held.select(symbol_id(F.col("path"), F.col("symbol")).alias("symbol_id"), "test_id").distinct()
+    rows = executed.select("path", "line", context.alias("tag")).where("tag <> ''")
+    held = intervals.spans_of_lines(rows, chunks.where("symbol is not null").withColumnRenamed("symbol", "name"))
+    return held.select(symbol_id(F.col("path"), F.col("name")).alias("symbol_id"), F.col("tag").alias("test_id")).distinct()
 
 
 def short_name(symbol: Column) -> Column:

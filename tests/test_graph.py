@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import coverage as cov
-from cairn.operators import graph
+from cairn.operators import graph, intervals
 
 
 def edges(spark, *rows):
@@ -131,3 +131,34 @@ def test_members_come_from_the_first_base_depth_first(spark):
     )
     want = {(c, m): o for c, m in asked if (o := first_by_hand(c, m, bases, members, set()))}
     assert {(r.cls, r.name): r.owner for r in got.collect()} == want and len(want) > 60
+
+
+def test_sweeps_against_all_pairs(spark, monkeypatch):
+    """Random spans over several blocks: nested, crossing, equal, of no length; lines in and out of them."""
+    monkeypatch.setattr(intervals, "BITS", 4)
+    dice = random.Random(6)
+    span = lambda: (s := dice.randrange(1, 90), s + dice.choice([-1, 0, 3, 10, 60]))
+    spans = [(dice.choice("pq"), f"n{dice.randrange(40)}", *span()) for _ in range(70)]
+    lines = [(dice.choice("pqr"), dice.randrange(1, 130), dice.choice(["t1", "t2", "t3", None])) for _ in range(200)]
+    schema = "path string, name string, start_line int, end_line int"
+    held = spark.createDataFrame(spans, schema)
+    asked = spark.createDataFrame(lines, "path string, line int, tag string")
+    inside = [(p, x, t, n, s, e) for p, x, t in lines for q, n, s, e in spans if p == q and s <= x <= e]
+    want = {}
+    for p, x, _, n, s, e in inside:
+        want[p, x] = min(want.get((p, x), (999,)), (e - s, s, n))
+    assert {(r.path, r.line): r.name for r in intervals.innermost(asked, held).collect()} == {k: v[2] for k, v in want.items()}
+    got = intervals.spans_of_lines(asked, held).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(p, n, t) for p, _, t, n, _, _ in inside if t}
+    other = [(dice.choice("pq"), f"m{k}", *span()) for k in range(12)]
+    met = intervals.overlapping(held, spark.createDataFrame(other, schema)).collect()
+    assert sorted(tuple(r) for r in met) == sorted((p, n, s, e) for p, n, s, e in spans if any(p == q and max(s, u) <= min(e, v) for q, _, u, v in other if u <= v) and s <= e)
+
+
+def test_one_hot_path(spark):
+    """Ten thousand lines under two thousand spans of one file are swept in the order of their number."""
+    spans = spark.range(2000).selectExpr("'hot' AS path", "concat('s', id) AS name", "cast(id AS INT) + 1 AS start_line", "cast(10000 - id AS INT) AS end_line")
+    lines = spark.range(1, 10001).selectExpr("'hot' AS path", "cast(id AS INT) AS line", "'t' AS tag")
+    got = {r.line: r.name for r in intervals.innermost(lines, spans).collect()}
+    assert len(got) == 10_000 and got[1] == "s0" and got[5000] == "s1999" and got[10_000] == "s0" and got[1500] == "s1499"
+    assert intervals.spans_of_lines(lines, spans).count() == 2000
