@@ -75,6 +75,17 @@ def failed_tests(log: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(log, F.lit(r"(?m)^\s*FAILED\s+(\S+)"), F.lit(1)))
 
 
+def log_facts(log: Column) -> dict[str, Column]:
+    """What a test log says, each pattern looked for once: columns to select first, from which log_results() is then made."""
+    return {"n_passed": _count(log, "passed"), "n_failed": _count(log, "failed"), "n_errors": _count(log, "errors?"), "failed_ids": failed_tests(log)}
+
+
+def log_results() -> dict[str, Column]:
+    """total, passed and failed (errors included) from the columns of log_facts()."""
+    total = F.col("n_passed") + F.col("n_failed") + F.col("n_errors")
+    return {"total": F.when(total == 0, F.size("failed_ids").cast("long")).otherwise(total), "passed": F.col("n_passed"), "failed": F.col("n_failed") + F.col("n_errors")}
+
+
 def log_total(log: Column) -> Column:
     """Tests run: passed, failed and errors; if a log counts none, its distinct FAILED lines."""
     total = _count(log, "passed") + _count(log, "failed") + _count(log, "errors?")
@@ -137,8 +148,8 @@ def citation(path: Column, commit: Column, start: Column, end: Column) -> Column
     return F.format_string("%s@%s:%d-%d", path, commit, start, end)
 
 
-def mean_and_spread(mean: Column, spread: Column) -> Column:
-    return F.when(mean.isNull(), "-").otherwise(F.format_string("%.3f ± %.3f", mean, spread))
+def mean_and_spread(mean: Column, spread: Column, digits: int = 3) -> Column:
+    return F.when(mean.isNull(), "-").otherwise(F.format_string(f"%.{digits}f ± %.{digits}f", mean, spread))
 
 
 def clean_context(context: Column) -> Column:

@@ -95,7 +95,8 @@ class CellIndex:
         spark: SparkSession = rows.sparkSession
         n = -(-rows.count() // block_rows) or 1
         order = [F.round("score", 9).desc(), F.col("id")]
-        out = spark.createDataFrame([], f"query_id {rows.schema['q'].dataType.simpleString()}, id {self.table.schema['id'].dataType.simpleString()}, score double")
+        schema = f"query_id {rows.schema['q'].dataType.simpleString()}, id {self.table.schema['id'].dataType.simpleString()}, score double"
+        out = spark.createDataFrame([], schema)
         for block in range(n):
             part = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == block).orderBy("q").toPandas()  # about block_rows rows
             if not len(part):
@@ -104,7 +105,7 @@ class CellIndex:
             far = _distances(q, self.centroids) if len(self.centroids) else np.zeros((len(q), 0))
             near = np.zeros_like(far, bool)
             np.put_along_axis(near, far.argsort(1, kind="stable")[:, :probe], True, 1)
-            first = cut_lineage(top(self._within(part["q"].to_numpy(), q, near, True, k), k, ["query_id"], *order).drop("rank"))
+            first = cut_lineage(top(self._within(part["q"].to_numpy(), q, near, True, k, schema), k, ["query_id"], *order).drop("rank"))
             out = out.unionByName(first)
             if exact:
                 got = first.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") == k).toPandas()  # a row for each of the block's queries
@@ -112,10 +113,10 @@ class CellIndex:
                 # Unit vectors of a cosine c are sqrt(2 - 2c) apart; a query without a threshold, or of length 0, looks everywhere.
                 reach = np.where(np.isnan(least) | ~q.any(1), np.inf, np.sqrt(np.maximum(2 - 2 * least, 0)) + SLACK)
                 more = (far - self.radii <= reach[:, None]) & ~near
-                out = out.unionByName(self._within(part["q"].to_numpy(), q, more, False, k)) if more.any() else out
+                out = out.unionByName(self._within(part["q"].to_numpy(), q, more, False, k, schema)) if more.any() else out
         return top(out, k, ["query_id"], *order)
 
-    def _within(self, ids: np.ndarray, q: np.ndarray, wanted: np.ndarray, zero: bool, k: int) -> DataFrame:
+    def _within(self, ids: np.ndarray, q: np.ndarray, wanted: np.ndarray, zero: bool, k: int, schema: str) -> DataFrame:
         """(query_id, id, score): the k best of each batch for each query, among the cells that it wants, and the zero vectors if asked."""
         spark = self.table.sparkSession
         shared = spark.sparkContext.broadcast((ids, q, wanted))
@@ -130,5 +131,4 @@ class CellIndex:
                         found = best(ids[who], own["id"].to_numpy(), q[who], np.stack(own["v"]), k)
                         yield pd.DataFrame(dict(zip(("query_id", "id", "score"), found, strict=True)))
 
-        kinds = self.table.schema["id"].dataType.simpleString()
-        return self.table.where(F.col("cell").isin(cells)).mapInPandas(run, f"query_id {kinds}, id {kinds}, score double")
+        return self.table.where(F.col("cell").isin(cells)).mapInPandas(run, schema)

@@ -19,10 +19,17 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     return intervals.overlapping(a, b)
 
 
+def executed_lines(rows: DataFrame, root: str) -> DataFrame:
+    """rows (file, ...) of coverage data with `path` below root; a relative file is below root already, one outside of root is dropped."""
+    base = root.rstrip("/") + "/"
+    path = F.when(~F.startswith("file", F.lit("/")), F.col("file")).when(F.startswith("file", F.lit(base)), F.substr("file", F.lit(len(base) + 1)))
+    return rows.withColumn("path", F.regexp_replace(path, r"^(?:\./)+", "")).where("path is not null").drop("file")
+
+
 def from_lines(executed: DataFrame, chunks: DataFrame, context: Column) -> DataFrame:
-    """(symbol_id, test_id): executed (path, line) in a symbol's chunk under a named test context."""
+    """(symbol_id, test_id): executed (path, line) in a symbol's chunk, tests' own files left out, under a named test context."""
     rows = executed.select("path", "line", context.alias("tag")).where("tag <> ''")
-    held = intervals.spans_of_lines(rows, chunks.where("symbol is not null").withColumnRenamed("symbol", "name"))
+    held = intervals.spans_of_lines(rows, chunks.where(F.col("symbol").isNotNull() & ~is_test_path(F.col("path"))).withColumnRenamed("symbol", "name"))
     return held.select(symbol_id(F.col("path"), F.col("name")).alias("symbol_id"), F.col("tag").alias("test_id")).distinct()
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.text import mean_and_spread
 from cairn.operators.common import cut_lineage, top
 from cairn.sources import tasks as sources
 
@@ -89,6 +90,22 @@ def config_report(records: DataFrame) -> DataFrame:
     )
 
 
+def report_table(records: DataFrame, recalls: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A row per config as a report prints it: tasks, runs, each recall and rate as mean ± spread over runs, and errors.
+
+    recalls: a name and (config, run_idx, recall) for each. Rates are shown as `-` where no run has one, the resolve rate also where
+    no record was graded.
+    """
+    counts = records.groupBy("config").agg(F.countDistinct("task_id").alias("tasks"), F.countDistinct("run_idx").alias("runs"), F.count("error").alias("errors"), F.count("resolved").alias("__graded"))
+    r = F.col("resolved")
+    rates = {"resolve_rate": (resolve_rate(r), 3), "regression_rate": (regression_rate(F.col("regressed")), 3), "cost_per_resolved": (cost_per_resolved(F.col("cost"), r), 4)}
+    shown = {n: (across_runs(records, m, ["config"]), d) for n, (m, d) in rates.items()}
+    shown = {n: (across_runs(df, F.avg("recall"), ["config"]), 3) for n, df in (recalls or {}).items()} | shown
+    for name, (each, digits) in shown.items():
+        counts = counts.join(each.select("config", mean_and_spread(F.col("mean"), F.col("spread"), digits).alias(name)), "config", "left")
+    return counts.withColumn("resolve_rate", F.when(F.col("__graded") > 0, F.col("resolve_rate")).otherwise("-")).drop("__graded")
+
+
 def markdown(report: DataFrame) -> DataFrame:
     """A line of a markdown table for each config of a report."""
     show = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.3f", F.col(c)))

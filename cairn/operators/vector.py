@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from cairn.deploy import ship
 from cairn.functions.text import cache_key, tokenize
@@ -50,8 +51,8 @@ def hash_embed(docs: DataFrame, id_col: str, text: Column, dim: int = DIM, mode:
         bucket, sign = md5_bucket(F.col("token"), dim)
         weights = weights.select("id", "w", bucket.alias("bucket"), sign.alias("sign"))
     sums = weights.groupBy("id", "bucket").agg(F.sum(F.col("w") * F.col("sign")).alias("v"))
-    norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, "id").select("id", "bucket", (F.col("v") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))  # of as many cells as there are buckets
+    return sums.withColumn("norm", norm).select("id", "bucket", (F.col("v") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("v"))
 
 
 def dense(sparse: DataFrame, dim: int = DIM) -> DataFrame:
@@ -93,7 +94,7 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     rows = queries.select(F.col(id_col).alias("q"), *parts).where("v is not null")
     given = vectors.select(F.col(id_col).alias("id"), *parts).where("v is not null")
     n = -(-rows.count() // block_rows) or 1
-    schema = f"query_id {vectors.schema[id_col].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, score double"
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, id {vectors.schema[id_col].dataType.simpleString()}, score double"
 
     def matrix(b: pd.DataFrame) -> np.ndarray:
         if not sparse:

@@ -304,3 +304,16 @@ def method_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = members.select(F.concat_ws(".", "owner", "name").alias("qualname"), F.lit("method").alias("kind"), F.col("owner").alias("parent"))
     below = graph.descendants(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst"), F.lit("inherits").alias("kind")))
     return graph.overrides(methods.select(F.col("qualname").alias("node")), methods, below)
+
+
+@query(f"""
+    WITH {ad.CHUNKS}, named AS (SELECT path, 'sym_' || start_line AS symbol, start_line, end_line FROM chunks), lines AS (SELECT path, unnest(range(1, len(lines) + 1)) AS line FROM cut)
+    SELECT DISTINCT n.path || '::' || symbol AS symbol_id, 't' || line % 3 AS test_id FROM lines r JOIN named n ON n.path = r.path AND line BETWEEN start_line AND end_line WHERE line % 5 <> 0
+""")
+def coverage_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage rows under absolute, relative and foreign paths, mapped to the symbols of their lines."""
+    chunks = ad.chunks(spark, sf_dir).withColumn("symbol", F.concat(F.lit("sym_"), F.col("start_line").cast("string")))
+    lines = table(spark, sf_dir, "documents").select(ad.doc_path().alias("path"), F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")))).alias("line"))
+    file = F.when(F.col("line") % 5 == 0, F.concat(F.lit("/usr/lib/"), "path")).when(F.col("line") % 2 == 0, F.concat(F.lit("/work/repo/"), "path")).otherwise(F.concat(F.lit("./"), "path"))
+    rows = cov.executed_lines(lines.select(file.alias("file"), "line"), "/work/repo/")
+    return cov.from_lines(rows, chunks, F.concat(F.lit("t"), (F.col("line") % 3).cast("string")))

@@ -247,3 +247,18 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residual_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(ad.doc_path().alias("path"), F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")))).alias("line"))
     return chunking.residual_runs(lines, ad.chunks(spark, sf_dir).where("start_line % 2 = 0 or start_line % 3 = 0"))
+
+
+@query(f"WITH {CANDIDATES} SELECT query_id, id AS chunk_id, round(score, 4) AS score FROM final WHERE score >= 0.3")
+def rerank_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates that reach a least score."""
+    ranked = rerank.rerank(_candidates(spark, sf_dir), 20, rerank.RerankConfig(least_score=0.3))
+    return ranked.select("query_id", "chunk_id", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {TOKENS}, {LUCENE}, {SCORED} SELECT query_id, h.id, round(score, 6) AS score FROM {top_sql('scored', 10)} h JOIN documents d ON d.doc_id = h.id WHERE d.lang = 'en'")
+def known_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits whose id is no longer a chunk's go."""
+    hits = _index(spark, sf_dir).search(_items(spark, sf_dir), "item_id", F.col("text"), 10)
+    chunks = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))
+    return _shown(fusion.known(hits, chunks)).select("query_id", "id", "score")

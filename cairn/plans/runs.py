@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import evaluation as ev
-from cairn.operators import composed, fusion, graph, ledger, rerank
+from cairn.operators import composed, fusion, graph, ledger, orchestrate, rerank, vector
 from cairn.operators.common import checkpoint_dir, top
 from cairn.plans import adapters as ad
 from cairn.plans import retrieval as rt
 from cairn.plans.registry import query, table
-from cairn.plans.texts import REPLIES
+from cairn.plans.texts import EXTRACT, REPLIES
 from cairn.sources import tasks
 from cairn.streaming import state
 
@@ -283,22 +283,36 @@ def _next_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("doc_id").alias("src"), F.col("to").alias("dst"), F.lit("calls").alias("kind"), F.when(F.col("doc_id") % 3 == 0, "heuristic").otherwise("exact").alias("conf"))
 
 
+# A task's text names a file and quotes what it is about; the task holds some documents already.
+TASK = "concat('Fix `', substr(text, 1, 30), '` in src/mod_', cast(item_id % 7 AS STRING), '.py: ', text)"
+_FOUND = EXTRACT[EXTRACT.index("found AS") : EXTRACT.index("SELECT event_id, array_to_string")].rstrip().replace("event_id", "item_id")
+ASKED = f"""issues AS (SELECT item_id, {TASK} AS text FROM benchmark), {_FOUND}, named AS (SELECT item_id, list_filter(q, lambda x, i: list_position(q, x) = i)[:8] AS q FROM found),
+    asked AS (SELECT item_id || '#' || n AS item_id, text FROM (SELECT item_id, unnest(q) AS text, unnest(range(len(q))) AS n FROM named))"""
+
+
+# A short query may share no bucket with a document, whose score is then 0.
+FUSED_ASKED = rt.FUSED.replace("benchmark", "asked").replace("SELECT qv.id AS query_id, dv.id, sum(qv.v * dv.v) AS score FROM qv JOIN dv USING (bucket) GROUP BY ALL", "SELECT query_id, id, sum(score) AS score FROM (SELECT qv.id AS query_id, dv.id, qv.v * dv.v AS score FROM qv JOIN dv USING (bucket) UNION ALL SELECT q.id, d.id, 0 FROM qv_n q, dv_n d) GROUP BY ALL")
+
+
 @query(f"""
-    WITH RECURSIVE {rt.FUSED}, fused AS (SELECT query_id, id, sum(1.0e0 / (60 + rank)) AS score, {rt.LABEL} FROM hits GROUP BY ALL), seeds AS (SELECT query_id, id, score, method FROM {rt.top_sql('fused', 5)}), {GRAPH},
+    WITH RECURSIVE {ASKED}, {FUSED_ASKED}, fused AS (SELECT CAST(split_part(query_id, '#', 1) AS BIGINT) AS task_id, id, sum(1.0e0 / (60 + rank)) AS score, {rt.LABEL} FROM hits GROUP BY 1, 2),
+    seeds AS (SELECT task_id, id, score, method FROM {rt.top_sql('fused', 5, 'task_id')}), {GRAPH},
     steps AS (SELECT src AS spot, dst AS nxt, CASE WHEN src % 3 = 0 THEN 1 ELSE 0 END AS r FROM near_edges UNION ALL SELECT dst, src, CASE WHEN src % 3 = 0 THEN 1 ELSE 0 END FROM near_edges),
     walk(seed, node, hop, r) AS (SELECT DISTINCT id, id, 0, 0 FROM seeds UNION SELECT seed, nxt, hop + 1, greatest(walk.r, steps.r) FROM walk JOIN steps ON spot = node WHERE hop < 2),
     short AS (SELECT seed, node, min(hop) AS hop FROM walk GROUP BY ALL), reached AS (SELECT seed, node, hop, min(r) AS r FROM walk JOIN short USING (seed, node, hop) GROUP BY ALL),
-    grown AS (SELECT query_id, node AS id, max(score * pow(0.5e0, hop) * CASE r WHEN 0 THEN 1.0e0 ELSE 0.6e0 END) AS score FROM seeds JOIN reached ON seed = id WHERE hop > 0 GROUP BY ALL),
-    fresh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS k FROM grown WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM seeds))
-    SELECT query_id, id, method AS retrieval, round(score, 6) AS score FROM seeds UNION ALL SELECT query_id, id, 'graph', round(score, 6) FROM fresh WHERE k <= 20
+    grown AS (SELECT task_id, node AS id, max(score * pow(0.5e0, hop) * CASE r WHEN 0 THEN 1.0e0 ELSE 0.6e0 END) AS score FROM seeds JOIN reached ON seed = id WHERE hop > 0 GROUP BY ALL),
+    fresh AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 9) DESC, id) AS k FROM grown WHERE (task_id, id) NOT IN (SELECT (task_id, id) FROM seeds)),
+    every AS (SELECT task_id, id, method AS retrieval, round(score, 6) AS score FROM seeds UNION ALL SELECT task_id, id, 'graph', round(score, 6) FROM fresh WHERE k <= 20)
+    SELECT * FROM every WHERE id % 17 <> task_id % 17
 """)
 def retriever_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search, expansion over the graph, and the union of what each found; what is held already isn't added."""
-    seeds = rt._retriever(spark, sf_dir).search(rt._queries(spark, sf_dir), 5)
-    found = graph.expand(_next_edges(spark, sf_dir), seeds.select("query_id", F.col("id").alias("seed"), "score"), graph.ExpandConfig(), "query_id")
-    more = top(found.withColumnRenamed("node", "id"), 20, ["query_id"], F.round("score", 9).desc(), F.col("id"))
-    out = seeds.select("query_id", "id", F.col("method").alias("retrieval"), "score").unionByName(more.select("query_id", "id", F.lit("graph").alias("retrieval"), "score"))
-    return out.withColumn("score", F.round("score", 6))
+    """What a retriever adds to each task: the queries named in its text searched together, the best expanded over the graph, less what it holds."""
+    index = rt._index(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    hybrid = fusion.HybridRetriever(lambda q, k: index.search(q, "query_id", F.col("text"), k), lambda q, k: vector.sparse_top(rt._embedded(spark, sf_dir)[0], vector.hash_embed(q, "query_id", F.col("text")), k))
+    tasks_ = rt._items(spark, sf_dir).select(F.col("item_id").alias("task_id"), F.expr(TASK).alias("text"))
+    held = tasks_.select("task_id", (F.col("task_id") % 17).alias("slot")).join(docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 17).alias("slot")), "slot")
+    return composed.retrieve(hybrid.search, tasks_, _next_edges(spark, sf_dir), held, 5)
 
 
 NAVIGATED = f"""{rt.TOKENS}, {rt.LUCENE}, {rt.SCORED}, seeds AS (SELECT query_id, id, score / 100.0e0 AS score FROM {rt.top_sql('scored', 5)}), {GRAPH}, base AS (SELECT query_id, max(score) AS top FROM seeds GROUP BY query_id),
@@ -384,3 +398,56 @@ def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.col("lang").alias("commit"), F.lit(1).alias("start_line"), F.col("n_chars").alias("end_line"), "text")
     rows = fusion.evidence(hits, chunks, F.lit("bm25"))
     return rows.select("query_id", "chunk_id", tx.citation(F.col("citation.path"), F.col("citation.commit"), F.col("citation.start_line"), F.col("citation.end_line")).alias("citation"), "source_type", "retrieval", "score")
+
+
+def _metric_sql(name: str, metric: str, digits: int, where: str = "") -> str:
+    shown = f"printf('%.{digits}f ± %.{digits}f', avg(m), stddev_pop(m))"
+    return f"{name} AS (SELECT config, CASE WHEN avg(m) IS NULL THEN '-' ELSE {shown} END AS {name} FROM (SELECT config, run_idx, {metric} AS m FROM records GROUP BY ALL) GROUP BY config)"
+
+
+@query(f"""
+    WITH {ad.RECORDS}, {_metric_sql('resolve_rate', 'avg(CASE WHEN coalesce(resolved, false) THEN 1 ELSE 0 END)', 3)}, {_metric_sql('regression_rate', 'avg(CAST(regressed AS INT))', 3)},
+    {_metric_sql('cost_per_resolved', 'CASE WHEN count(*) FILTER (WHERE resolved) > 0 THEN coalesce(sum(cost), 0) / count(*) FILTER (WHERE resolved) END', 4)},
+    counts AS (SELECT config, count(DISTINCT task_id) AS tasks, count(DISTINCT run_idx) AS runs, count(error) AS errors FROM records GROUP BY config)
+    SELECT * FROM counts JOIN resolve_rate USING (config) JOIN regression_rate USING (config) JOIN cost_per_resolved USING (config)
+""")
+def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report prints of each config: rates as mean and spread over runs."""
+    return ev.report_table(ad.records(spark, sf_dir))
+
+
+# Orders as failed runs, with the columns that make a log.
+RUN_LOG = ["o_orderkey AS run_id", "o_orderkey % 4 + 1 AS l_linenumber", "o_custkey AS l_partkey", "o_orderkey % 10 AS l_suppkey", "CASE o_orderkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS l_returnflag", "o_orderstatus AS l_linestatus"]
+LOGGED = f"logs AS (SELECT run_id, l_linenumber, {ad.sql(ad.LOG)} AS log, l_partkey FROM (SELECT {', '.join(RUN_LOG)} FROM orders)), failed AS (SELECT *, list_filter(regexp_extract_all(log, '(?m)^\\s*FAILED\\s+(\\S+)', 1), lambda x, i: list_position(regexp_extract_all(log, '(?m)^\\s*FAILED\\s+(\\S+)', 1), x) = i) AS ids FROM logs)"
+
+
+@query(rf"""
+    WITH {LOGGED}, said AS (SELECT *, CASE WHEN l_partkey % 5 = 0 THEN 'look at ' || l_partkey END AS note FROM failed)
+    SELECT run_id, l_linenumber % 3 + 1 AS loop_count,
+           'before' || chr(10) || coalesce(note, 'Iteration ' || (l_linenumber % 3 + 1) || ': failed tests [' || array_to_string(list_transform(ids, lambda x: chr(39) || x || chr(39)), ', ') || ']. Error summary: ' || left(repeat(log, 4), 300)) AS notes FROM said
+""")
+def reflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a failed loop adds to a run's state: a reflector's note, or one made of the failed tests and the first of the errors."""
+    by = ["run_id"]
+    rows = table(spark, sf_dir, "orders").selectExpr(*RUN_LOG).select(*by, "l_linenumber", "l_partkey", F.expr(ad.LOG).alias("log"))
+    states = rows.select(*by, F.array(F.lit("before")).alias("notes"), (F.col("l_linenumber") % 3).alias("loop_count"))
+    found = rows.select(*by, tx.failed_tests(F.col("log")).alias("failed"), F.repeat("log", F.lit(4)).alias("error_logs"))
+    said = rows.where("l_partkey % 10 < 5").select(*by, F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("  look at "), F.col("l_partkey").cast("string"), F.lit("\n"))).otherwise(" ").alias("note"))
+    said = said.unionByName(rows.where("l_partkey % 10 = 5").select(*by, F.concat(F.lit("look at "), F.col("l_partkey").cast("string")).alias("note")))
+    return orchestrate.reflect(states, found, by, said).select(*by, "loop_count", F.array_join("notes", "\n").alias("notes"))
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'task_1|pending|retriever|0|conversation ' || conv_id END AS plan, conv_id % 4 = 1 AS passed, CASE conv_id % 4 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 0 END AS total_run,
+           CASE conv_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'E x' ELSE 'No test report generated.' END AS error_logs, CASE WHEN conv_id % 4 = 1 OR conv_id % 7 = 0 THEN 'respond' ELSE 'reflect' END AS next FROM c
+""")
+def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans of tasks that nobody planned, the reports that answers are made of, and where a run goes after its tests."""
+    runs = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("task", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")))
+    plans = orchestrate.default_plans(runs, runs.where("conv_id % 3 > 0"), ["conv_id"], "task")
+    tested = runs.where("conv_id % 4 in (1, 2)").select("conv_id", (F.col("conv_id") % 4 == 1).alias("passed"), F.when(F.col("conv_id") % 4 == 1, 5).otherwise(3).alias("total_run"), F.array().cast("array<string>").alias("failed"), F.when(F.col("conv_id") % 4 == 1, "").otherwise("E x").alias("error_logs"))
+    found = orchestrate.reports(runs.withColumn("impacted", F.array("task")), tested, ["conv_id"])
+    rows = orchestrate.answers(runs, found, ["conv_id"]).join(plans, "conv_id", "left")
+    plan = F.when(F.col("node").isNotNull(), F.concat_ws("|", "node.node_id", "node.status", "node.agent", F.size("node.dependencies").cast("string"), "node.description"))
+    return rows.select("conv_id", plan.alias("plan"), "passed", "total_run", "error_logs", orchestrate.after_test(F.col("passed"), F.col("conv_id") % 7 == 0).alias("next"))

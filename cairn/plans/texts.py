@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import lexical
+from cairn.operators.common import checkpoint_dir
 from cairn.plans import adapters as ad
 from cairn.plans.registry import query, table
-from cairn.sources import files, patches, tasks
+from cairn.sources import files, frameworks, patches, tasks
 
 PATH = "concat(CASE event_id % 5 WHEN 0 THEN 'tests/' WHEN 1 THEN 'src/test/' WHEN 2 THEN 'pkg/' ELSE '' END, CASE event_id % 7 WHEN 0 THEN 'test_' WHEN 1 THEN '__init__' ELSE '' END, CASE WHEN event_id % 7 = 1 THEN '' ELSE event_type END, CASE event_id % 3 WHEN 0 THEN '_test.py' WHEN 1 THEN '.py' ELSE '.txt' END)"
 PATHS = f"paths AS (SELECT event_id, {ad.sql(PATH)} AS path FROM events)"
@@ -91,8 +94,8 @@ def _n(what: str) -> str:
 """)
 def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(ad.LOG).alias("log"))
-    passed, failed = tx.pass_fail(F.col("log"))
-    return logs.select("l_orderkey", "l_linenumber", F.array_join(tx.failed_tests(F.col("log")), ",").alias("failed_ids"), tx.log_total(F.col("log")).alias("total"), passed.alias("passed"), failed.alias("failed"))
+    facts = logs.select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in tx.log_facts(F.col("log")).items()))
+    return facts.select("l_orderkey", "l_linenumber", F.array_join("failed_ids", ",").alias("failed_ids"), *(c.alias(n) for n, c in tx.log_results().items()))
 
 
 FENCE = r"regexp_extract(reply, '(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```', 1)"
@@ -213,3 +216,60 @@ def patched_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs applied to whole documents: moved, repeated and failing hunks, insertions, and new texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(PATCH).alias("diff"))
     return docs.select("doc_id", patches.apply_patch("text", "diff").alias("p")).select("doc_id", "p.text", "p.error")
+
+
+@query(rf"WITH {PATHS} SELECT event_id, path FROM paths WHERE regexp_matches(path, '(^|/)test_[^/]*\.py$') OR path LIKE 'src/%.txt'")
+def glob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that one of two globs matches, by name or as a whole."""
+    paths = _paths(spark, sf_dir)
+    return files.matching(paths, "test_*.py").unionByName(files.matching(paths, "src/*.txt")).distinct()
+
+
+ODD_PATH = f"concat(CASE event_id % 4 WHEN 0 THEN 'venv/' WHEN 1 THEN 'a/build/' ELSE 'a/rebuild/' END, {PATH})"
+
+
+@query(rf"WITH paths AS (SELECT event_id, {ad.sql(ODD_PATH)} AS path FROM events) SELECT event_id, path FROM paths WHERE ends_with(path, '.py') AND ({BY_FILE} OR {BY_DIR}) AND event_id % 4 > 1")
+def scan_test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test files outside of folders that are never read."""
+    return files.test_files(table(spark, sf_dir, "events").select("event_id", F.expr(ODD_PATH).alias("path")))
+
+
+TASK_LINE = "CASE s_suppkey % 4 WHEN 0 THEN concat('  task-', cast(s_suppkey AS STRING), ' ') WHEN 1 THEN concat('# task-', cast(s_suppkey AS STRING)) WHEN 2 THEN '' ELSE concat('task-', cast(s_suppkey AS STRING)) END"
+TASK_JSON = "CASE WHEN s_suppkey % 3 = 0 THEN concat('{\"instance_id\": \"task-', cast(s_suppkey AS STRING), '\"}') ELSE concat('{\"instance_id\": \"task-', cast(s_suppkey AS STRING), '\", \"repo\": \"', s_name, '\", \"patch\": \"p', cast(s_nationkey AS STRING), '\"}') END"
+
+
+@query("SELECT 'task-' || s_suppkey AS instance_id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS repo, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'p' || s_nationkey END AS patch, '' AS base_commit FROM supplier WHERE s_suppkey % 4 IN (0, 3)")
+def listed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and JSON lines written from suppliers, then read: blank lines and comments go, missing fields are empty."""
+    place = f"{checkpoint_dir(spark)}/tasks-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "supplier")
+    rows.select(F.expr(TASK_LINE).alias("value")).write.text(f"{place}/ids")
+    rows.select(F.expr(TASK_JSON).alias("value")).write.text(f"{place}/tasks")
+    return tasks.tasks(spark, f"{place}/tasks", tasks.task_ids(spark, f"{place}/ids")).select("instance_id", "repo", "patch", "base_commit")
+
+
+# A source tree of each supplier: which files it has tells the framework.
+TREE = [
+    ("CASE s_suppkey % 8 WHEN 0 THEN 'conftest.py' WHEN 1 THEN 'manage.py' WHEN 2 THEN 'tests/test_a.py' WHEN 3 THEN 'package.json' WHEN 4 THEN 'package.json' WHEN 5 THEN 'pyproject.toml' WHEN 6 THEN 'requirements-dev.txt' ELSE 'readme.md' END",
+     "CASE s_suppkey % 8 WHEN 2 THEN 'import unittest' WHEN 3 THEN '{\"devDependencies\": {\"jest\": \"1\"}}' WHEN 4 THEN '{\"scripts\": {\"test\": \"node t.js\"}}' WHEN 5 THEN '[tool.pytest]' WHEN 6 THEN 'pytest==8' ELSE '' END"),
+    ("'src/main.py'", "'x = 1'"),
+]
+FRAMEWORK = "CASE s_suppkey % 8 WHEN 1 THEN 'django' WHEN 2 THEN 'unittest' WHEN 3 THEN 'jest' WHEN 4 THEN 'npm' ELSE 'pytest' END"
+BASE = "CASE f WHEN 'django' THEN 'python manage.py test --noinput' WHEN 'unittest' THEN 'python -m unittest discover' WHEN 'jest' THEN 'npx jest' WHEN 'npm' THEN 'npm test --' ELSE 'pytest -q' END"
+
+
+@query(f"""
+    WITH s AS (SELECT s_suppkey AS repo, {FRAMEWORK} AS f FROM supplier)
+    SELECT repo, f AS framework, {BASE} AS full_cmd, CASE WHEN repo % 3 > 0 THEN CASE f WHEN 'unittest' THEN 'python -m unittest' ELSE {BASE} END || CASE f WHEN 'django' THEN ' tests.t' || repo || '.x' ELSE ' tests/t' || repo || '.py::x' END END AS impacted_cmd FROM s
+""")
+def framework_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The framework that each tree's files show, and the commands for its impacted tests and for all."""
+    rows = table(spark, sf_dir, "supplier")
+    trees = None
+    for path, text in TREE:
+        one = rows.select(F.col("s_suppkey").alias("repo"), F.expr(path).alias("path"), F.expr(text).alias("text"))
+        trees = one if trees is None else trees.unionByName(one)
+    specs = frameworks.detect(trees)
+    impacted = rows.where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("repo"), F.concat(F.lit("tests/t"), F.col("s_suppkey").cast("string"), F.lit(".py::x")).alias("test"))
+    plan = frameworks.plan(specs, impacted).join(specs.select("repo", "framework"), "repo")
+    return plan.select("repo", "framework", F.array_join("full_cmd", " ").alias("full_cmd"), F.array_join("impacted_cmd", " ").alias("impacted_cmd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.text import SPACE, glob_pattern
+from cairn.functions.text import SPACE, glob_pattern, is_test_path
 
 # Folders that are never read.
 IGNORED = (".git", ".venv", "venv", "__pycache__", "node_modules", "build", "dist")
@@ -27,12 +27,21 @@ def tree(spark: SparkSession, root: str, name_glob: str = "*", ignored: tuple[st
     return named.where(_outside(F.col("path"), ignored))
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path) of files whose name or relative path matches the glob, sorted."""
+def matching(paths: DataFrame, glob: str) -> DataFrame:
+    """Rows whose path, or the name at its end, matches the glob."""
     pattern = glob_pattern(glob)
-    listed = tree(spark, root).select("path")
     name = F.element_at(F.split("path", "/"), -1)
-    return listed.where(name.rlike(f"^{pattern}") | F.col("path").rlike(f"^{pattern}")).orderBy("path")
+    return paths.where(name.rlike(f"^{pattern}") | F.col("path").rlike(f"^{pattern}"))
+
+
+def test_files(paths: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """Rows whose path is a Python test file's, outside of the folders that are never read."""
+    return paths.where(_outside(F.col("path"), ignored) & F.endswith("path", F.lit(".py")) & is_test_path(F.col("path")))
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path) of files whose name or relative path matches the glob, sorted."""
+    return matching(tree(spark, root).select("path"), glob).orderBy("path")
 
 
 def grep(files: DataFrame, needle: str, most: int | None = 50, glob: str | None = None) -> DataFrame:
