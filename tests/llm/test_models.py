@@ -1,4 +1,6 @@
 import html as html_lib
+import math
+import zlib
 
 import numpy as np
 import pytest
@@ -39,6 +41,43 @@ def test_context_sums_by_hand(spark, docs):
     assert (got == want).all()
 
 
+def test_features_and_scores_by_hand(spark, docs):
+    """Pooled features, the forward pass and the temperature, each written out plainly; then the query's scores from them."""
+    texts = ["the cat sat on the mat . the cat", "", None, "one", "the the the", "a b c d e f g " * 30]
+    frame = docs([(i, t) for i, t in enumerate(texts)])
+    vectors = quality_model.word_vectors(quality_model.context_sums(frame))
+    got = quality_model.features([None if t is None else t.encode() for t in texts], vectors)
+    for row, text in zip(got, texts, strict=True):
+        v = [vectors[zlib.crc32(w) % quality_model.SLOTS] for w in quality_model.TOKEN.findall((text or "").encode())]
+        want = np.zeros(quality_model.FEATURES)
+        if v:
+            mean = sum(v) / len(v)
+            near = [(float(a @ b), float((a == b).all())) for a, b in zip(v, v[1:])]
+            want[: len(mean)], want[len(mean) : 2 * len(mean)] = mean, np.sqrt(np.maximum(sum(x * x for x in v) / len(v) - mean * mean, 0))
+            want[-3:-1] = np.mean(near, 0) if near else 0
+            want[-1] = math.log1p(len(v))
+        assert np.allclose(row, want, atol=2e-4)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, quality_model.FEATURES)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * rng.normal(size=400) > 0).astype(int)
+    net = quality_model.Network().fit(x, y, epochs=5)
+    for one, score in zip(x[:5], net.scores(x[:5]), strict=True):
+        z = (one - net.shift) / net.scale
+        hidden = [math.tanh(sum(a * w for a, w in zip(z, column, strict=True)) + b) for column, b in zip(net.w[0].T, net.w[1], strict=True)]
+        logit = sum(h * w for h, w in zip(hidden, net.w[2][:, 0], strict=True)) + net.w[3][0]
+        assert abs(1 / (1 + math.exp(-logit / net.temperature)) - score) < 1e-9
+    held = np.random.default_rng(5).permutation(400)[:80]
+    loss = lambda t: sum(math.log1p(math.exp(-a / t)) if b else math.log1p(math.exp(a / t)) for a, b in zip(net.logits(x[held].astype(float)), y[held], strict=True))
+    assert net.temperature == min(np.geomspace(0.25, 8, 61), key=loss)
+    many = docs([(i, texts[i % 2 * 5] + f" w{i}") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    vectors = quality_model.word_vectors(quality_model.context_sums(many))
+    model = quality_model.train(many, labels, spark.sparkContext.broadcast(vectors), "doc_id", "text", "quality", 100)
+    scored = {r.doc_id: r.score for r in quality_model.quality_scores(many, labels).collect()}
+    for r in many.collect():
+        assert abs(scored[r.doc_id] - model.scores(quality_model.features([r.text.encode()], vectors))[0]) < 1e-6
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = language_id.identify(docs, F.crc32(F.col("doc_id").cast("string")) % 3 == 1).join(docs, "doc_id").where("held_out").toPandas()
