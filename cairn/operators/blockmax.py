@@ -1,6 +1,6 @@
 """BM25 top-k over postings in blocks that know their greatest impact.
 
-Documents are dealt into slots of a few; a block is what one term has in one slot: its postings, how many, and the greatest impact
+Documents are dealt into slots of a few that are alike; a block is what one term has in one slot: its postings, how many, and the greatest impact
 (BM25 without idf) of any. So a frequent term is split into as many blocks as there are slots that hold it, and for a query the sum of
 its terms' block maxima bounds the score of every document in a slot.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cairn.operators.common import checkpoint_dir, cut_lineage, top
 from cairn.operators.lexical import doc_stats, postings, query_terms
 
-#: Documents of a slot, on average.
+#: Documents of a slot at most, about, if all were of one kind; less where there are many kinds.
 SLOT_DOCS = 32
 #: How far below the threshold a bound may lie: ranks go by scores rounded to nine places.
 SLACK = 1e-6
@@ -46,10 +46,12 @@ class BlockIndex:
         path = path or f"{checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
         lengths = cut_lineage(lengths)
         n, mean = lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
-        slots = max(1, n // SLOT_DOCS)
+        # Documents whose most frequent terms are the same are of one language or kind, and share slots: so most slots lack most terms.
+        kinds = rows.groupBy("id").agg(F.max_by("term", F.struct("tf", "term")).alias("kind"))
+        slot = F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.lit(max(1, n // SLOT_DOCS)))).alias("slot")
         tf, dl = F.col("tf"), F.col("dl")
         impact = F.lit(k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / mean)) if mean else F.lit(0.0)
-        dealt = rows.join(lengths, "id").select("term", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot"), F.struct("id", "tf", "dl", impact.alias("impact")).alias("p"))
+        dealt = rows.join(lengths.join(kinds, "id"), "id").select("term", slot, F.struct("id", "tf", "dl", impact.alias("impact")).alias("p"))
         blocks = dealt.groupBy("term", "slot").agg(F.collect_list("p").alias("postings"), F.max("p.impact").alias("most"))  # of a slot's documents
         version = uuid.uuid4().hex
         blocks.select("term", "slot", "postings").write.bucketBy(buckets, "term", "slot").sortBy("term", "slot").option("path", f"{path}/{version}/blocks").saveAsTable(f"blocks_{version}")

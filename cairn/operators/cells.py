@@ -89,8 +89,13 @@ class CellIndex:
             radii[r["cell"]] = r["r"]
         return cls(table.drop("far"), centroids, radii, id_col, vector_col)
 
-    def search(self, queries: DataFrame, k: int = 10, probe: int = 4, exact: bool = True, block_rows: int = 1024) -> DataFrame:
-        """(query_id, id, score, rank): each query's k nearest by cosine; ties by id. Exact, or as good as `probe` cells are."""
+    def search(self, queries: DataFrame, k: int = 10, probe: int | None = None, exact: bool = True, block_rows: int = 1024) -> DataFrame:
+        """(query_id, id, score, rank): each query's k nearest by cosine; ties by id.
+
+        Exact, or as good as `probe` cells are: by default half of all, which vectors without clusters need for a recall of 0.9. The
+        exact way starts with 4.
+        """
+        probe = probe or (4 if exact else -(-len(self.centroids) // 2))
         rows = queries.select(F.col(self.id_col).alias("q"), F.col(self.vector_col).alias("v")).where("v is not null")
         spark: SparkSession = rows.sparkSession
         n = -(-rows.count() // block_rows) or 1
