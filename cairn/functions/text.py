@@ -22,6 +22,10 @@ QUERY_STRIP = ",.;:()[]{}"
 DEFINITION = r"\b(?:def|class)\s+([a-zA-Z_][a-zA-Z0-9_]*)"
 TEST_PATH = r"(^|/)(test_[^/]*|[^/]*_test)\.py$"
 TEST_DIR = r"(^|/)(tests|test)/"
+GOLD_HEADER = r"(?m)^diff --git a/\S+ b/(\S+)"
+DIFF_FENCE = r"(?s)```diff\n(.*?)\n```"
+COUNTED = r"([0-9]+)\s+"
+FAILED_LINE = r"(?m)^\s*FAILED\s+(\S+)"
 JSON_FENCE = r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```"
 CONFIDENCE = r"""(?i)"?confidence"?\s*[:=]\s*([01](?:\.[0-9]+)?)"""
 
@@ -56,23 +60,23 @@ def definition_name(text: Column, symbol: Column | None = None) -> Column:
 
 def gold_files(diff: Column) -> Column:
     """Distinct new paths of a git diff's headers, in order."""
-    return F.array_distinct(F.regexp_extract_all(diff, F.lit(r"(?m)^diff --git a/\S+ b/(\S+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(diff, F.lit(GOLD_HEADER), F.lit(1)))
 
 
 def diff_block(reply: Column) -> Column:
     """The first fenced diff of a reply, else what follows `diff --git`, else ''."""
-    fenced = F.regexp_extract(reply, r"(?s)```diff\n(.*?)\n```", 1)
+    fenced = F.regexp_extract(reply, DIFF_FENCE, 1)
     at = F.instr(reply, "diff --git")
     return F.when(fenced != "", F.btrim(fenced, F.lit(SPACE))).when(at > 0, F.btrim(F.substr(reply, at), F.lit(SPACE))).otherwise("")
 
 
 def _count(log: Column, what: str) -> Column:
-    return F.coalesce(F.regexp_extract(log, rf"([0-9]+)\s+{what}", 1).try_cast("long"), F.lit(0))
+    return F.coalesce(F.regexp_extract(log, COUNTED + what, 1).try_cast("long"), F.lit(0))
 
 
 def failed_tests(log: Column) -> Column:
     """Distinct ids of `FAILED id` lines, in order."""
-    return F.array_distinct(F.regexp_extract_all(log, F.lit(r"(?m)^\s*FAILED\s+(\S+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(log, F.lit(FAILED_LINE), F.lit(1)))
 
 
 def log_facts(log: Column) -> dict[str, Column]:

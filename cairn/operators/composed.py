@@ -68,12 +68,17 @@ def open_queries(tasks: DataFrame, nodes: DataFrame, waves: DataFrame, by: list[
     return tasks.join(joined, by, "left").select(*by, F.coalesce("query", F.col(task)).alias("query"))
 
 
+# The header of an evidence block, and what stands for no evidence.
+BLOCK_HEADER = "# File: %s (lines %d-%d)\n%s\n"
+NO_CONTEXT = "# No context retrieved.\n"
+
+
 def prompt_context(queries: DataFrame, evidence: DataFrame, by: list[str]) -> DataFrame:
     """(by, context): the evidence (by, ord, path, start_line, end_line, content) of each query as text, in order, a header before each.
 
     A row holds one query's evidence, which a search has limited to its k best.
     """
-    block = F.format_string("# File: %s (lines %d-%d)\n%s\n", "path", "start_line", "end_line", "content")
+    block = F.format_string(BLOCK_HEADER, "path", "start_line", "end_line", "content")
     ordered = F.array_sort(F.collect_list(F.struct("ord", block.alias("block"))))
     shown = evidence.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n").alias("context"))
-    return queries.join(shown, by, "left").select(*by, F.coalesce("context", F.lit("# No context retrieved.\n")).alias("context"))
+    return queries.join(shown, by, "left").select(*by, F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from cairn.functions.text import SPACE
 
-# The header of a hunk, what ends a line, and where a reply's diffs begin.
+# The header of a hunk, what ends a line, a fenced diff, and where a reply's diffs begin.
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+FENCED = r"(?s)```diff\n(.*?)```"
 FILE_START = r"(?=diff --git |(?<!\w)--- (?:a/|[^\n]+))"
 
 
@@ -38,9 +39,9 @@ def gold_spans(diffs: DataFrame, id_col: str = "task_id", diff_col: str = "diff"
 
 def file_patches(reply: Column) -> Column:
     """array<struct<path, diff>> of the files that a model's reply changes: a fenced diff, else from the first header on; parts without a path are dropped."""
-    fence = F.regexp_extract(reply, r"(?s)```diff\n(.*?)```", 1)
+    fence = F.regexp_extract(reply, FENCED, 1)
     from_ = lambda mark: F.substr(reply, F.instr(reply, mark))
-    fenced = F.regexp_like(reply, F.lit(r"(?s)```diff\n.*?```"))
+    fenced = F.regexp_like(reply, F.lit(FENCED))
     body = F.when(fenced, fence).when(F.contains(reply, F.lit("diff --git")), from_("diff --git")).when(F.contains(reply, F.lit("--- ")) & F.contains(reply, F.lit("+++ ")), from_("--- "))
 
     def part(text: Column) -> Column:
