@@ -269,7 +269,9 @@ def hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def mixed_rows(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """(token, node, tag, pos, comp) of the shingles that lie in several components, one of them early."""
-    rows = live.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    tested = live.withColumn("met", may_hold(F.col("node"), membership(comp, "node")))  # only nodes that may have a component are shuffled to it
+    met = tested.where("met").drop("met").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    rows = met.unionByName(tested.where("not met").drop("met").withColumn("comp", F.col("node")))
     mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or(_early("tag", "pos", percent)).alias("early")).where("low < high and early").select("token")
     return materialise(rows.join(mixed, "token"))
 
@@ -312,9 +314,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 75, id_col: str
     rows, slots, collided = describe(df, id_col, text_col, size)
     nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min("at").alias("rep")))
     order = Window.partitionBy("token").orderBy("tag", "node")
-    seen = prefix_rows(df, slots, collided, text_col, size, percent).select("*", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"))
-    # Of a node's repeated rows the first stays; a shingle of one node only may stay once, and pairs with nothing.
-    live = materialise(seen.where("(prev is null or prev <> node) and (prev is not null or next is not null)").select("token", "node", "tag", "pos"))
+    useful = F.bool_or(_early("tag", "pos", percent)).over(Window.partitionBy("token")).alias("useful")
+    seen = prefix_rows(df, slots, collided, text_col, size, percent).select("*", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"), useful)
+    # Of a node's repeated rows the first stays; a shingle of one node only may stay once, and pairs with nothing. A shingle that is early in
+    # no set is not needed: linked sets share one that is early in the smaller of them.
+    live = materialise(seen.where("useful and (prev is null or prev <> node) and (prev is not null or next is not null)").select("token", "node", "tag", "pos"))
     del seen
     release(df.sparkSession)
     check = lambda pairs: materialise(verified(pairs, nodes, collided, df, id_col, text_col, size, percent))
