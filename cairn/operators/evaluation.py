@@ -124,13 +124,17 @@ def checked(records: DataFrame) -> DataFrame:
     return records.withColumn("error", F.when(free, "tokens were used but the cost is 0").otherwise(F.col("error")))
 
 
+#: What names a record. Keys are short digests, so two runs of a large grid may share one: a record is also known by what it is of.
+NAMED = ["key", "config", "task_id", "run_idx"]
+
+
 def resume(grid: DataFrame, path: str, run: Callable[[DataFrame], DataFrame], version: int = 1, fingerprint: Column | None = None, use_cache: bool = True) -> DataFrame:
     """The records of every (config, task_id, run_idx) of the grid: those cached below path, and of the others what `run` makes of them.
 
     run maps rows of the grid, with their `key`, to rows with columns besides: at least tokens, cost and error. A record with an error is
     part of the result, so it stays in every denominator, but isn't cached: it is run again next time. A record's key is the digest
-    of version, config, fingerprint (of the config's settings), task and run, so a changed config is run anew. Only keys that the
-    cache lacks are run, once, before anything is written. `cached` says which records were read.
+    of version, config, fingerprint (of the config's settings), task and run, so a changed config is run anew. Only records
+    that the cache lacks are run, once, before anything is written; a key that two of them share names both. `cached` says which records were read.
 
     The cache is partitioned by config and by the first digit of the key, and the partitions that get new records are overwritten
     whole: a write that fails, or is repeated, leaves each as it was or as it should be. A record that has gone from the grid stays.
@@ -140,12 +144,12 @@ def resume(grid: DataFrame, path: str, run: Callable[[DataFrame], DataFrame], ve
     keyed = grid.withColumn("key", sources.record_key(F.lit(version), F.col("config"), print_, F.col("task_id"), F.col("run_idx")))
     there = sources.cached_records(spark, path)
     cached = there if use_cache else None
-    todo = keyed if cached is None else keyed.join(cached.select("key"), "key", "left_anti").select(*keyed.columns)
+    todo = keyed if cached is None else keyed.join(cached.select(*NAMED), NAMED, "left_anti").select(*keyed.columns)
     new = cut_lineage(checked(run(todo)))
     good = new.where("error is null")
-    held = None if cached is None else cut_lineage(cached.join(keyed.select("key"), "key", "left_semi").select(*new.columns))  # before its files are replaced
+    held = None if cached is None else cut_lineage(cached.join(keyed.select(*NAMED), NAMED, "left_semi").select(*new.columns))  # before its files are replaced
     if not good.isEmpty():
-        sources.cache_records(good, there, path)
+        sources.cache_records(good, there, path, NAMED)
     fresh = new.withColumn("cached", F.lit(False))
     return fresh if held is None else fresh.unionByName(held.withColumn("cached", F.lit(True)))
 

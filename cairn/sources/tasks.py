@@ -64,13 +64,13 @@ def cached_records(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path).drop("shard")
 
 
-def cache_records(new: DataFrame, cached: DataFrame | None, path: str) -> None:
-    """Add records to a cache: each partition (config, shard) that gets some is written again with what it held."""
+def cache_records(new: DataFrame, cached: DataFrame | None, path: str, named: list[str]) -> None:
+    """Add records to a cache: each partition (config, shard) that gets some is written again with what it held of other names (key and the like)."""
     parts = new.select("config", _shard()).distinct()
     rows = new
     if cached is not None:
         kept = cached.withColumn("shard", _shard()).join(parts, ["config", "shard"], "left_semi").drop("shard")
-        rows = cut_lineage(kept.join(new.select("key"), "key", "left_anti").select(*new.columns).unionByName(new))  # before the files read are replaced
+        rows = cut_lineage(kept.join(new.select(*named), named, "left_anti").select(*new.columns).unionByName(new))  # before the files read are replaced
     rows.withColumn("shard", _shard()).repartition("config", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config", "shard").parquet(path)
 
 

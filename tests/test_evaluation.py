@@ -83,3 +83,16 @@ def test_a_run_is_resumed(spark, tmp_path):
     ev.resume(few, path, run, use_cache=False)
     assert len(asked[5]) == 8
     assert tasks.cached_records(spark, path).groupBy("key").count().where("count > 1").count() == 0
+
+
+def test_records_that_share_a_key(spark, tmp_path, monkeypatch):
+    """Two runs whose digests meet are both run, cached and read."""
+    monkeypatch.setattr(tasks, "record_key", lambda *_: F.lit("0123456789"))
+    run = lambda todo: todo.selectExpr("*", "5 as tokens", "0.5d as cost", "cast(null as string) as error")
+    grid = ev.grid(spark.createDataFrame([("a",), ("b",)], "config string"), spark.createDataFrame([(1,), (2,), (3,)], "task_id long"), 2)
+    path = str(tmp_path / "cache")
+    ev.resume(grid.where("task_id = 1 and config = 'a'"), path, run)
+    names = lambda rows: sorted((r.config, r.task_id, r.run_idx, r.cached) for r in rows.collect())
+    every = [(c, t, r) for c in "ab" for t in (1, 2, 3) for r in (0, 1)]
+    assert names(ev.resume(grid, path, run)) == [(*x, x[:2] == ("a", 1)) for x in every]
+    assert names(ev.resume(grid, path, run)) == [(*x, True) for x in every]

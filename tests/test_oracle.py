@@ -40,3 +40,12 @@ def test_query_agrees_with_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_costs_that_end_in_half_a_cent(spark, tmp_path):
+    """Both engines round a cost alike, also where its decimals are a tie."""
+    balances = [x / 2 for x in range(-3, 20000, 7)] + [6797.5, 3810.5, 8136.5, 7183.5]
+    customers = pd.DataFrame({"c_custkey": range(len(balances)), "c_name": "x", "c_nationkey": 0, "c_acctbal": balances, "c_mktsegment": "BUILDING"})
+    customers.to_parquet(tmp_path / "customer.parquet")
+    theirs = duckdb.execute(ORACLE_SQL["resumed_grid"].replace("customer", "customers")).df()
+    assert rows(QUERIES["resumed_grid"](spark, str(tmp_path)).toPandas()) == rows(theirs)
