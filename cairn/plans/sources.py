@@ -106,17 +106,19 @@ FILES = [
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content)."""
+    """(path, content). Rows are spread before they become files: a table of few row groups would be parsed by as many tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = None
-    for columns, name, only, path, text in FILES:
+    for columns, name in ((PART, "part"), (SUPPLIER, "supplier")):
         rows = table(spark, sf_dir, name).selectExpr(*columns)
-        one = (rows.where(only) if only else rows).selectExpr(f"{path} AS path", f"{text} AS content")
+        made = ", ".join(f"CASE WHEN {only or 'true'} THEN named_struct('path', {path}, 'content', {text}) END" for _, n_, only, path, text in FILES if n_ == name)
+        one = rows.repartition(n, rows.columns[0]).selectExpr(f"explode(filter(array({made}), f -> f is not null)) AS f").select("f.path", "f.content")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _parsed(spark: SparkSession, sf_dir: str, window: int = 80) -> DataFrame:
-    return code.parse(files(spark, sf_dir), "c0", window)
+def _parsed(spark: SparkSession, sf_dir: str, *parts: str, window: int = 80) -> DataFrame:
+    return code.parse(files(spark, sf_dir), "c0", window, parts)
 
 
 SOURCES = f"""
@@ -142,7 +144,7 @@ SOURCES = f"""
 @query(f"WITH {SOURCES} SELECT * EXCLUDE (module) FROM symbols")
 def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, methods, functions and those inside them, with spans, signatures, calls and bases."""
-    rows = code.exploded(_parsed(spark, sf_dir), "symbols")
+    rows = code.exploded(_parsed(spark, sf_dir, "symbols"), "symbols")
     return rows.select("qualname", "local_name", "kind", "parent", "start_line", "end_line", "signature", F.coalesce("docstring", F.lit("")).alias("docstring"), F.array_join("calls", ",").alias("calls"), F.array_join("bases", ",").alias("bases"))
 
 
@@ -157,7 +159,7 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of four lines: headers of classes, methods, functions, and what lies outside of them."""
-    return code.exploded(_parsed(spark, sf_dir, 4), "chunks").select("chunk_id", F.coalesce("symbol", F.lit("")).alias("symbol"), "commit", "text")
+    return code.exploded(_parsed(spark, sf_dir, "chunks", window=4), "chunks").select("chunk_id", F.coalesce("symbol", F.lit("")).alias("symbol"), "commit", "text")
 
 
 IMPORTS = f"""
@@ -170,7 +172,7 @@ IMPORTS = f"""
 
 @query(f"WITH {SOURCES}, {IMPORTS} SELECT * REPLACE (CAST(level AS INT) AS level, CAST(ord AS INT) AS ord) FROM imports")
 def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.exploded(_parsed(spark, sf_dir), "imports").select("file_module", "module", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("alias", F.lit("")).alias("alias"), "level", "ord")
+    return code.exploded(_parsed(spark, sf_dir, "imports"), "imports").select("file_module", "module", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("alias", F.lit("")).alias("alias"), "level", "ord")
 
 
 @query(f"""
@@ -179,7 +181,7 @@ def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def code_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests and the names that they mention, those of the class's helpers included."""
-    return code.exploded(_parsed(spark, sf_dir), "tests").select("test_id", F.array_join("names", ",").alias("names"))
+    return code.exploded(_parsed(spark, sf_dir, "tests"), "tests").select("test_id", F.array_join("names", ",").alias("names"))
 
 
 # A call's target is named by step 1 (self, by the first base in depth-first order that has the method) or step 2 (names in scope), if it exists; else methods of the name.
@@ -216,12 +218,12 @@ LINKS = f"""
 """)
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of the ladder: self by way of the bases, the module's own names, imports of each form, and methods that only their name tells."""
-    return code.SymbolGraph(_parsed(spark, sf_dir)).edges
+    return code.SymbolGraph(_parsed(spark, sf_dir, "symbols", "imports")).edges
 
 
 @query(f"WITH RECURSIVE {SOURCES}, {LINKS} SELECT src, callee FROM called WHERE (src, callee) NOT IN (SELECT (src, callee) FROM targets)")
 def code_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.SymbolGraph(_parsed(spark, sf_dir)).unresolved
+    return code.SymbolGraph(_parsed(spark, sf_dir, "symbols", "imports")).unresolved
 
 
 @query(f"""
@@ -231,7 +233,7 @@ def code_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each node of the graph with its id in coverage maps and its chunk; a function within a method has the method's."""
-    built = code.SymbolGraph(_parsed(spark, sf_dir))
+    built = code.SymbolGraph(_parsed(spark, sf_dir, "symbols", "chunks"))
     return built.symbol_ids().join(built.node_chunks(), "node")
 
 

@@ -1,3 +1,4 @@
+import ast
 import random
 import re
 
@@ -150,3 +151,16 @@ def test_stream_indexes_only_changes(spark, tmp_path):
         query = incremental.follow(stream, out, "doc_id", "text", str(tmp_path / "state"))
         query.awaitTermination()
     assert {(r.id, r.term) for r in incremental.current(spark, out).collect()} == {(1, "add_item"), (1, "add"), (1, "item"), (2, "sum")}
+
+
+def test_few_large_partitions_are_spread(spark):
+    """A table of one row group is parsed by as many tasks as there are shuffle partitions, and only the parts asked for are read."""
+    from cairn.plans import sources
+
+    assert sources.files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = "import a\ntry:\n    import b\nexcept E:\n    from c import d\nelse:\n    import e\ndef f():\n    import g\n"
+    files = spark.createDataFrame([("x.py", source)], "path string, content string")
+    only = code.parse(files, "h", parts=("imports",)).first()
+    assert [i.module for i in only.imports] == [n.names[0].name if isinstance(n, ast.Import) else n.module for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.Import, ast.ImportFrom))]
+    assert (only.symbols, only.chunks, only.tests) == ([], [], [])
+    assert code.parse(files, "h").first().imports == only.imports
