@@ -164,3 +164,11 @@ def test_few_large_partitions_are_spread(spark):
     assert [i.module for i in only.imports] == [n.names[0].name if isinstance(n, ast.Import) else n.module for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.Import, ast.ImportFrom))]
     assert (only.symbols, only.chunks, only.tests) == ([], [], [])
     assert code.parse(files, "h").first().imports == only.imports
+
+
+def test_nodes_need_no_edges(spark):
+    """Ids and chunks of nodes come from symbols and chunks alone: no name is resolved for them."""
+    files = spark.createDataFrame([("x.py", "class A:\n    def f(self):\n        return self.f()\n")], "path string, content string")
+    built = code.SymbolGraph(code.parse(files, "h", parts=("symbols", "chunks")))
+    assert {r.node for r in built.symbol_ids().join(built.node_chunks(), "node").collect()} == {"x.A", "x.A.f"}
+    assert not {"index", "scope", "bases", "_called", "edges"} & set(vars(built))
