@@ -164,27 +164,74 @@ def descendants(edges: DataFrame, kind: str = "inherits", most: int | None = Non
 def inherited(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
     """(cls, name, owner): which class an asked member (cls, name) comes from: the class itself or the first, depth first, of its bases.
 
-    bases: (cls, pos, base); members: (owner, name). A walk's place in depth-first order is its route, the array of positions taken,
-    and routes compare as arrays. All walks go one step a round; each class is kept once for each question, by its first route, a
-    walk ends where the member is found, and others end that lie behind it. So diamonds cost no more than their classes, cycles end,
-    and a question that is answered early isn't carried on.
+    bases: (cls, pos, base); members: (owner, name). Questions share what they ask of their bases: each (class, name) that is asked on
+    the way is one node, and so cycles end and diamonds cost no more than their classes. Nodes above which nobody has the member are
+    dropped. A depth-first search goes from a node to the first base that is left; where these steps end at an owner it is found, and
+    pointers along them double each round. What is left are nodes whose first steps lead into a cycle, where the way out depends on
+    where the search began: only these are walked one by one, up to a node whose owner is known. That node's search never meets the
+    walk, or it would itself be left.
     """
     question = ["cls", "name"]
-    frontier = asked.select(*question).distinct().select(*question, F.col("cls").alias("at"), F.array().cast("array<int>").alias("route"))
-    seen = frontier = cut_lineage(frontier)
-    found = frontier.select(*question, F.struct("route", F.col("at").alias("owner")).alias("hit")).limit(0)
-    holds = members.select(F.col("owner").alias("at"), "name").distinct()
-    step = bases.select(F.col("cls").alias("at"), F.col("pos").cast("int").alias("pos"), "base").distinct()
+    up = lambda df: df.select(F.col("cls").alias("base"), "name", *(c for c in df.columns if c not in question))
+    step = cut_lineage(bases.select("cls", F.col("pos").cast("int").alias("pos"), "base").distinct())
+    nodes = frontier = cut_lineage(asked.select(*question).distinct())
+    holds = cut_lineage(members.select(F.col("owner").alias("cls"), "name").join(nodes.select("name").distinct(), "name", "left_semi").select(*question).distinct())
+    edges = step.join(nodes.select("name").limit(0), F.lit(True)).select(*question, "pos", "base")
+    for k in count(1):
+        ways = cut_lineage(frontier.join(holds, question, "left_anti").join(step, "cls").select(*question, "pos", "base"))
+        edges = edges.unionByName(ways)
+        frontier = cut_lineage(ways.select(F.col("base").alias("cls"), "name").distinct().join(nodes, question, "left_anti"))
+        if frontier.isEmpty():
+            break
+        nodes = nodes.unionByName(frontier)
+        if k % 8 == 0:
+            nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+    edges = cut_lineage(edges)
+    live = frontier = cut_lineage(nodes.join(holds, question, "left_semi"))
+    for k in count(1):
+        frontier = cut_lineage(edges.join(up(frontier), ["base", "name"], "left_semi").select(*question).distinct().join(live, question, "left_anti"))
+        if frontier.isEmpty():
+            break
+        live = live.unionByName(frontier)
+        if k % 8 == 0:
+            live = cut_lineage(live)
+    ways = cut_lineage(edges.join(up(live), ["base", "name"], "left_semi"))
+    first = ways.groupBy(*question).agg(F.min_by("base", "pos").alias("to"))
+    known = nodes.join(holds, question, "left_semi").select(*question, F.col("cls").alias("owner"))
+    left = cut_lineage(first)
     while True:
-        hits = frontier.join(holds, ["at", "name"], "left_semi")
-        found = cut_lineage(found.unionByName(hits.select(*question, F.struct("route", F.col("at").alias("owner")).alias("hit"))).groupBy(*question).agg(F.min("hit").alias("hit")))
+        ahead = known.select(F.col("cls").alias("to"), "name", "owner", F.lit(None).cast("string").alias("next")).unionByName(left.select(F.col("cls").alias("to"), "name", F.lit(None).cast("string").alias("owner"), F.col("to").alias("next")))
+        moved = cut_lineage(left.join(ahead, ["to", "name"]).select(*question, "owner", "next"))
+        left = moved.where("owner is null").select(*question, F.col("next").alias("to"))
+        if moved.where("owner is not null").isEmpty():
+            break
+        known = known.unionByName(moved.where("owner is not null").select(*question, "owner"))
+    known = cut_lineage(known)
+    owned = known.unionByName(_walks(left.select(*question).join(asked.select(*question).distinct(), question, "left_semi"), ways, known))
+    return owned.join(asked.select(*question).distinct(), question, "left_semi").select(*question, "owner")
+
+
+def _walks(asked: DataFrame, ways: DataFrame, known: DataFrame) -> DataFrame:
+    """(cls, name, owner) of asked (cls, name): the owner of the known (cls, name, owner) node that a depth-first search over ways (cls, name, pos, base) meets first.
+
+    A walk's place in depth-first order is its route, the array of positions taken, and routes compare as arrays. All walks go one
+    step a round; each class is kept once for each question, by its first route, a walk ends at a known node, and others end that lie
+    behind it.
+    """
+    question = ["cls", "name"]
+    seen = frontier = cut_lineage(asked.select(*question, F.col("cls").alias("at"), F.array().cast("array<int>").alias("route")))
+    found = frontier.select(*question, F.struct("route", F.col("at").alias("owner")).alias("hit")).limit(0)
+    holds = known.select(F.col("cls").alias("at"), "name", "owner")
+    step = ways.select(F.col("cls").alias("at"), "name", "pos", "base")
+    while not frontier.isEmpty():
+        hits = frontier.join(holds, ["at", "name"])
+        found = cut_lineage(found.unionByName(hits.select(*question, F.struct("route", "owner").alias("hit"))).groupBy(*question).agg(F.min("hit").alias("hit")))
         on = frontier.join(holds, ["at", "name"], "left_anti").join(found, question, "left").where("hit is null or route < hit.route")
-        after = on.join(step, "at").groupBy(*question, F.col("base").alias("at")).agg(F.min(F.concat("route", F.array("pos"))).alias("route"))
+        after = on.join(step, ["at", "name"]).groupBy(*question, F.col("base").alias("at")).agg(F.min(F.concat("route", F.array("pos"))).alias("route"))
         old = seen.withColumnRenamed("route", "old")
         frontier = cut_lineage(after.join(old, [*question, "at"], "left").where("old is null or route < old").drop("old"))
-        if frontier.isEmpty():
-            return found.select(*question, F.col("hit.owner").alias("owner"))
         seen = cut_lineage(seen.unionByName(frontier).groupBy(*question, "at").agg(F.min("route").alias("route")))
+    return found.select(*question, F.col("hit.owner").alias("owner"))
 
 
 def overrides(asked: DataFrame, symbols: DataFrame, below: DataFrame) -> DataFrame:

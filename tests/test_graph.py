@@ -162,3 +162,26 @@ def test_one_hot_path(spark):
     got = {r.line: r.name for r in intervals.innermost(lines, spans).collect()}
     assert len(got) == 10_000 and got[1] == "s0" and got[5000] == "s1999" and got[10_000] == "s0" and got[1500] == "s1499"
     assert intervals.spans_of_lines(lines, spans).count() == 2000
+
+
+def test_members_over_random_cycles(spark, monkeypatch):
+    """The owner that a depth-first search finds, whatever the cycles; only questions that lead into a cycle are walked one by one."""
+    rng = random.Random(5)
+    bases = {g: {c: [rng.randrange(30 * g, c + 3 if c + 3 < 30 * g + 30 and cyclic else max(c, 30 * g + 1)) for _ in range(rng.randrange(4))] if c > 30 * g or cyclic else [] for c in range(30 * g, 30 * g + 30)} for g, cyclic in ((0, False), (1, True), (2, True), (3, True))}
+    ways = {c: b for some in bases.values() for c, b in some.items()}
+    holds = {(c, n) for c in ways for n in "ab" if rng.random() < 0.12}
+
+    def search(c, name, seen):
+        if (c, name) in holds:
+            return c
+        seen.add(c)
+        return next((x for b in ways[c] if b not in seen and (x := search(b, name, seen)) is not None), None)
+
+    want = {(str(c), n, str(x)) for c in ways for n in "ab" if (x := search(c, n, set())) is not None}
+    asked = spark.createDataFrame([(str(c), n) for c in ways for n in "ab"], "cls string, name string")
+    steps = spark.createDataFrame([(str(c), p, str(b)) for c, some in ways.items() for p, b in enumerate(some)], "cls string, pos int, base string")
+    members = spark.createDataFrame([(str(c), n) for c, n in holds], "owner string, name string")
+    walked, old = [], graph._walks
+    monkeypatch.setattr(graph, "_walks", lambda a, *more: walked.extend(a.collect()) or old(a, *more))
+    assert {tuple(r) for r in graph.inherited(asked, steps, members).select("cls", "name", "owner").collect()} == want
+    assert walked and all(int(r.cls) >= 30 for r in walked)
