@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.operators.common import checkpoint_dir, cut_lineage, top
+from cairn.operators.common import checkpoint_dir, cut_lineage, stored, top
 
 # Confidences in order, and the weights of paths whose weakest edge has them.
 CONFIDENCES = ("exact", "heuristic", "ambiguous")
@@ -168,70 +168,101 @@ def inherited(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFra
     the way is one node, and so cycles end and diamonds cost no more than their classes. Nodes above which nobody has the member are
     dropped. A depth-first search goes from a node to the first base that is left; where these steps end at an owner it is found, and
     pointers along them double each round. What is left are nodes whose first steps lead into a cycle, where the way out depends on
-    where the search began: only these are walked one by one, up to a node whose owner is known. That node's search never meets the
-    walk, or it would itself be left.
+    where the search began: these have the owner of the first walked node that their steps lead to, as _around() says.
     """
     question = ["cls", "name"]
     up = lambda df: df.select(F.col("cls").alias("base"), "name", *(c for c in df.columns if c not in question))
-    step = cut_lineage(bases.select("cls", F.col("pos").cast("int").alias("pos"), "base").distinct())
-    nodes = frontier = cut_lineage(asked.select(*question).distinct())
-    holds = cut_lineage(members.select(F.col("owner").alias("cls"), "name").join(nodes.select("name").distinct(), "name", "left_semi").select(*question).distinct())
+    step = stored(bases.select("cls", F.col("pos").cast("int").alias("pos"), "base").distinct())
+    nodes = frontier = stored(asked.select(*question).distinct())
+    holds = stored(members.select(F.col("owner").alias("cls"), "name").join(nodes.select("name").distinct(), "name", "left_semi").select(*question).distinct())
     edges = step.join(nodes.select("name").limit(0), F.lit(True)).select(*question, "pos", "base")
     for k in count(1):
-        ways = cut_lineage(frontier.join(holds, question, "left_anti").join(step, "cls").select(*question, "pos", "base"))
+        ways = stored(frontier.join(holds, question, "left_anti").join(step, "cls").select(*question, "pos", "base"))
         edges = edges.unionByName(ways)
-        frontier = cut_lineage(ways.select(F.col("base").alias("cls"), "name").distinct().join(nodes, question, "left_anti"))
+        frontier = stored(ways.select(F.col("base").alias("cls"), "name").distinct().join(nodes, question, "left_anti"))
         if frontier.isEmpty():
             break
         nodes = nodes.unionByName(frontier)
         if k % 8 == 0:
-            nodes, edges = cut_lineage(nodes), cut_lineage(edges)
-    edges = cut_lineage(edges)
-    live = frontier = cut_lineage(nodes.join(holds, question, "left_semi"))
+            nodes, edges = stored(nodes), stored(edges)
+    edges = stored(edges)
+    live = frontier = stored(nodes.join(holds, question, "left_semi"))
     for k in count(1):
-        frontier = cut_lineage(edges.join(up(frontier), ["base", "name"], "left_semi").select(*question).distinct().join(live, question, "left_anti"))
+        frontier = stored(edges.join(up(frontier), ["base", "name"], "left_semi").select(*question).distinct().join(live, question, "left_anti"))
         if frontier.isEmpty():
             break
         live = live.unionByName(frontier)
         if k % 8 == 0:
-            live = cut_lineage(live)
-    ways = cut_lineage(edges.join(up(live), ["base", "name"], "left_semi"))
-    first = ways.groupBy(*question).agg(F.min_by("base", "pos").alias("to"))
-    known = nodes.join(holds, question, "left_semi").select(*question, F.col("cls").alias("owner"))
-    left = cut_lineage(first)
-    while True:
-        ahead = known.select(F.col("cls").alias("to"), "name", "owner", F.lit(None).cast("string").alias("next")).unionByName(left.select(F.col("cls").alias("to"), "name", F.lit(None).cast("string").alias("owner"), F.col("to").alias("next")))
-        moved = cut_lineage(left.join(ahead, ["to", "name"]).select(*question, "owner", "next"))
-        left = moved.where("owner is null").select(*question, F.col("next").alias("to"))
-        if moved.where("owner is not null").isEmpty():
-            break
-        known = known.unionByName(moved.where("owner is not null").select(*question, "owner"))
-    known = cut_lineage(known)
-    owned = known.unionByName(_walks(left.select(*question).join(asked.select(*question).distinct(), question, "left_semi"), ways, known))
+            live = stored(live)
+    ways = stored(edges.join(up(live), ["base", "name"], "left_semi"))
+    first = stored(ways.groupBy(*question).agg(F.min_by("base", "pos").alias("to")))
+    known, left = _followed(first, nodes.join(holds, question, "left_semi").select(*question, F.col("cls").alias("owner")))
+    owned = known if left.isEmpty() else known.unionByName(_around(first, left, ways, known))
     return owned.join(asked.select(*question).distinct(), question, "left_semi").select(*question, "owner")
 
 
+def _followed(first: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ends (cls, name, owner) and the nodes whose steps first (cls, name, to) lead to one, with its owner; and the other nodes, each with a node of the cycle that it leads into.
+
+    Pointers double each round. Where no owner is found any more, the nodes that pointers lead to become fewer until they are those on
+    cycles, each of which is led to by one of its own cycle.
+    """
+    known, left, before = ends, first, None
+    none = F.lit(None).cast("string")
+    while True:
+        ahead = known.select(F.col("cls").alias("to"), "name", "owner", none.alias("next")).unionByName(left.select(F.col("cls").alias("to"), "name", none.alias("owner"), F.col("to").alias("next")))
+        moved = stored(left.join(ahead, ["to", "name"]).select("cls", "name", "owner", "next"))
+        left, found = moved.where("owner is null").select("cls", "name", F.col("next").alias("to")), moved.where("owner is not null")
+        if found.isEmpty():
+            now = left.select("to", "name").distinct().count()
+            if now in (0, before):
+                return stored(known), left
+            before = now
+        known = known.unionByName(found.select("cls", "name", "owner"))
+
+
+def _around(first: DataFrame, left: DataFrame, ways: DataFrame, known: DataFrame) -> DataFrame:
+    """(cls, name, owner) of the nodes left (cls, name, to), whose first steps lead into cycles.
+
+    The nodes on cycles are walked. A search from any other first takes the steps to a walked node, and then goes on as that one's search
+    does, unless the walked node's way to its owner leads over one of the steps taken. A node on that way is walked too, and those
+    whose steps lead to it first ask it instead, until no way leads over a step taken.
+    """
+    question = ["cls", "name"]
+    todo, walks = stored(left.select(F.col("to").alias("cls"), "name").distinct()), None
+    tails = first.join(left.select(*question), question, "left_semi")
+    while True:
+        new = stored(_walks(todo, ways, known))
+        walks = new if walks is None else walks.unionByName(new)
+        at, _ = _followed(stored(tails.join(walks, question, "left_anti")), walks.select(*question, F.col("cls").alias("owner")))
+        over = walks.select(F.col("cls").alias("owner"), "name", F.explode("via").alias("cls")).where("cls <> owner")
+        todo = stored(at.where("cls <> owner").join(over, [*question, "owner"], "left_semi").select(*question))
+        if todo.isEmpty():
+            return at.withColumnRenamed("owner", "to").join(walks.select(F.col("cls").alias("to"), "name", "owner"), ["to", "name"]).select(*question, "owner")
+
+
 def _walks(asked: DataFrame, ways: DataFrame, known: DataFrame) -> DataFrame:
-    """(cls, name, owner) of asked (cls, name): the owner of the known (cls, name, owner) node that a depth-first search over ways (cls, name, pos, base) meets first.
+    """(cls, name, owner, via) of asked (cls, name): the owner of the known (cls, name, owner) node that a depth-first search over ways (cls, name, pos, base) meets first, and the classes on the way to it.
 
     A walk's place in depth-first order is its route, the array of positions taken, and routes compare as arrays. All walks go one
     step a round; each class is kept once for each question, by its first route, a walk ends at a known node, and others end that lie
-    behind it.
+    behind it. A known node's own search never meets the walk, or it would itself not be known.
     """
     question = ["cls", "name"]
-    seen = frontier = cut_lineage(asked.select(*question, F.col("cls").alias("at"), F.array().cast("array<int>").alias("route")))
-    found = frontier.select(*question, F.struct("route", F.col("at").alias("owner")).alias("hit")).limit(0)
-    holds = known.select(F.col("cls").alias("at"), "name", "owner")
-    step = ways.select(F.col("cls").alias("at"), "name", "pos", "base")
-    while not frontier.isEmpty():
-        hits = frontier.join(holds, ["at", "name"])
-        found = cut_lineage(found.unionByName(hits.select(*question, F.struct("route", "owner").alias("hit"))).groupBy(*question).agg(F.min("hit").alias("hit")))
-        on = frontier.join(holds, ["at", "name"], "left_anti").join(found, question, "left").where("hit is null or route < hit.route")
-        after = on.join(step, ["at", "name"]).groupBy(*question, F.col("base").alias("at")).agg(F.min(F.concat("route", F.array("pos"))).alias("route"))
-        old = seen.withColumnRenamed("route", "old")
-        frontier = cut_lineage(after.join(old, [*question, "at"], "left").where("old is null or route < old").drop("old"))
-        seen = cut_lineage(seen.unionByName(frontier).groupBy(*question, "at").agg(F.min("route").alias("route")))
-    return found.select(*question, F.col("hit.owner").alias("owner"))
+    held = known.select(F.col("cls").alias("base"), "name", "owner")
+    step = stored(ways.join(known, question, "left_anti").join(held, ["base", "name"], "left").select(F.col("cls").alias("at"), "name", "pos", "base", "owner"))
+    none = F.lit(None).cast("string").alias("owner")
+    seen = frontier = stored(asked.select(*question, F.col("cls").alias("at"), none, F.array().cast("array<int>").alias("route"), F.array().cast("array<string>").alias("via")))
+    found = frontier.select(*question, F.struct("route", "owner", "via").alias("hit")).limit(0)
+    while True:
+        on = frontier.where("owner is null").drop("owner").join(found, question, "left").where("hit is null or route < hit.route")
+        after = on.join(step, ["at", "name"]).groupBy(*question, F.col("base").alias("at"), "owner").agg(F.min(F.struct(F.concat("route", F.array("pos")).alias("route"), F.concat("via", F.array("at")).alias("via"))).alias("x"))
+        old = seen.select(*question, "at", F.col("route").alias("old"))
+        frontier = stored(after.select(*question, "at", "owner", "x.*").join(old, [*question, "at"], "left").where("old is null or route < old").drop("old"))
+        if frontier.isEmpty():
+            return found.select(*question, "hit.owner", "hit.via")
+        found = stored(found.unionByName(frontier.where("owner is not null").select(*question, F.struct("route", "owner", "via").alias("hit"))).groupBy(*question).agg(F.min("hit").alias("hit")))
+        seen = stored(seen.unionByName(frontier).groupBy(*question, "at").agg(F.min(F.struct("route", "owner", "via")).alias("x")).select(*question, "at", "x.owner", "x.route", "x.via"))
 
 
 def overrides(asked: DataFrame, symbols: DataFrame, below: DataFrame) -> DataFrame:

@@ -185,3 +185,18 @@ def test_members_over_random_cycles(spark, monkeypatch):
     monkeypatch.setattr(graph, "_walks", lambda a, *more: walked.extend(a.collect()) or old(a, *more))
     assert {tuple(r) for r in graph.inherited(asked, steps, members).select("cls", "name", "owner").collect()} == want
     assert walked and all(int(r.cls) >= 30 for r in walked)
+
+
+def test_only_cycles_and_ways_over_steps_taken_are_walked(spark, monkeypatch):
+    """A hundred questions lead into one cycle by their first steps; the way out of it leads over two of their classes, which other ways must go around."""
+    ways = {"a": ["b"], "b": ["a", "x"], "x": ["t2", "z"], "t1": ["a"], "t2": ["t1", "y"], "y": [], "z": []}
+    ways |= {f"u{k}": ["t1", "z"] for k in range(60)} | {f"v{k}": ["t2", "y"] for k in range(40)}
+    holds = {("y", "m"), ("z", "m")}
+    steps = spark.createDataFrame([(c, p, b) for c, some in ways.items() for p, b in enumerate(some)], "cls string, pos int, base string")
+    walked, old = [], graph._walks
+    monkeypatch.setattr(graph, "_walks", lambda a, *more: walked.extend(a.collect()) or old(a, *more))
+    got = graph.inherited(spark.createDataFrame([(c, "m") for c in ways], "cls string, name string"), steps, spark.createDataFrame([("y", "m"), ("z", "m")], "owner string, name string"))
+    plain = {c: list(enumerate(b)) for c, b in ways.items()}
+    want = {c: first_by_hand(c, "m", plain, holds, set()) for c in ways}
+    assert {r.cls: r.owner for r in got.collect()} == want and want["u0"] == "y" and want["v0"] == "z"
+    assert {r.cls for r in walked} == {"a", "b", "x", "t2"}
