@@ -42,9 +42,18 @@ def blake2b_bucket(token: pd.Series) -> pd.DataFrame:
 
 def hash_embed(docs: DataFrame, id_col: str, text: Column, dim: int = DIM, mode: str = "md5") -> DataFrame:
     """Sparse unit vectors (id, bucket, v). mode blake2b hashes each distinct token once; it needs dim 384."""
-    weights = token_weights(docs, id_col, text)
+    return embed_weights(token_weights(docs, id_col, text), dim, mode)
+
+
+def embed_postings(postings: DataFrame, dim: int = DIM, mode: str = "md5") -> DataFrame:
+    """hash_embed of texts whose tokens are counted already, as (term, id, tf); where these lie by id nothing is shuffled in mode md5."""
+    return embed_weights(postings.select("id", F.col("term").alias("token"), (1 + F.log(F.col("tf").cast("double"))).alias("w")), dim, mode)
+
+
+def embed_weights(weights: DataFrame, dim: int = DIM, mode: str = "md5") -> DataFrame:
+    """Sparse unit vectors (id, bucket, v) of weighted tokens (id, token, w)."""
     if mode == "blake2b":
-        ship(docs.sparkSession)
+        ship(weights.sparkSession)
         hashed = weights.select("token").distinct().select("token", blake2b_bucket("token").alias("h")).select("token", "h.bucket", "h.sign")
         weights = weights.join(hashed, "token")
     else:

@@ -109,7 +109,7 @@ DENSE = f"{embed_sql('dv', 'documents', 'doc_id')}, {embed_sql('qv', 'benchmark'
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return vector.hash_embed(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), vector.hash_embed(_items(spark, sf_dir), "item_id", F.col("text"))
+    return vector.embed_postings(_index(spark, sf_dir).index), vector.hash_embed(_items(spark, sf_dir), "item_id", F.col("text"))
 
 
 @query(f"WITH {embed_sql('dv', 'documents', 'doc_id')} SELECT id, bucket, round(v, 6) AS v FROM dv")

@@ -208,3 +208,12 @@ def test_scores_are_added_where_postings_lie(spark):
     few = {tuple(r) for r in index.search(asked, "q", F.col("text"), 5).collect()}
     spread = lexical.LexicalIndex(index.index.drop("dl").repartition(3), index.stats).search(asked, "q", F.col("text"), 5)
     assert len(few) == 10 and {(q, i, round(s, 9), r) for q, i, s, r in few} == {(q, i, round(s, 9), r) for q, i, s, r in spread.collect()}
+
+
+def test_vectors_of_counted_tokens(spark):
+    """Vectors of an index's postings are those of its texts, and what lies by id is not shuffled for them."""
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 3} Cart.add_item w{k % 7}") for k in range(30)] + [(30, ""), (31, None)], "id int, text string")
+    got = vector.embed_postings(lexical.LexicalIndex.build(docs, "id", F.col("text")).index)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    cells = lambda df: {(r.id, r.bucket): round(r.v, 9) for r in df.collect()}
+    assert cells(got) == cells(vector.hash_embed(docs, "id", F.col("text")))
