@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import extract_queries
 from cairn.operators import graph, ledger
-from cairn.operators.common import top
+from cairn.operators.common import stored, top
 
 
 def navigate(edges: DataFrame, seeds: DataFrame, coverage: DataFrame | None = None, hops: int = 2, share: float = 0.8, by: str = "query_id") -> tuple[DataFrame, DataFrame | None]:
@@ -16,7 +16,7 @@ def navigate(edges: DataFrame, seeds: DataFrame, coverage: DataFrame | None = No
     seeds: (by, symbol, score). The pool holds the seeds at hop 0, and their callers up to `hops` away, each at its fewest hops, with
     `share` of the group's best seed score. The pool is what rerank() takes, once joined to texts.
     """
-    given = seeds.select(by, "symbol", "score")
+    given = stored(seeds.select(by, "symbol", "score"))  # a search, as a rule: not to be run again by each use
     hit = graph.impact(edges, given.select(F.col("symbol").alias("seed")).distinct(), hops).where("hop > 0")
     far = given.select(by, F.col("symbol").alias("seed")).join(hit, "seed").groupBy(by, "symbol").agg(F.min("hop").alias("hop"))
     best = given.groupBy(by).agg((F.lit(share) * F.max("score")).alias("score"))
@@ -34,11 +34,12 @@ def retrieve(search, tasks: DataFrame, edges: DataFrame, held: DataFrame, k: int
     """
     asked = tasks.select("task_id", F.posexplode(extract_queries(F.col("text"))).alias("n", "text"))
     asked = asked.select(F.concat_ws("#", F.col("task_id").cast("string"), F.col("n").cast("string")).alias("query_id"), "task_id", "text")
-    seeds = search(asked, k, ["task_id"]).select("task_id", "id", F.col("method").alias("retrieval"), "score")
+    seeds = stored(search(asked, k, ["task_id"]).select("task_id", "id", F.col("method").alias("retrieval"), "score"))
     found = graph.expand(edges, seeds.select("task_id", F.col("id").alias("seed"), "score"), config, "task_id").withColumnRenamed("node", "id")
     more = top(found, config.max_nodes, ["task_id"], F.round("score", 9).desc(), F.col("id"))
-    every = seeds.unionByName(more.select("task_id", "id", F.lit("graph").alias("retrieval"), "score"))
-    return every.join(held.select("task_id", "id"), ["task_id", "id"], "left_anti").withColumn("score", F.round("score", 6))
+    every = stored(seeds.unionByName(more.select("task_id", "id", F.lit("graph").alias("retrieval"), "score")))
+    held = held.select("task_id", "id").join(every.select("id").distinct(), "id", "left_semi")  # far fewer than tasks may hold
+    return every.join(held, ["task_id", "id"], "left_anti").withColumn("score", F.round("score", 6))
 
 
 def within_budget(rows: DataFrame, spent: DataFrame, budget: ledger.Budget | None, by: list[str]) -> DataFrame:

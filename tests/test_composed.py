@@ -91,3 +91,18 @@ def test_reports_and_vectors_are_written_and_read_again(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).count() == 2
     with pytest.raises(Exception, match="gold is empty"):
         evaluation.assert_gold(records.limit(0)).collect()
+
+
+def test_a_search_is_run_once(spark):
+    """What a search finds is used many times, by retrieve() and navigate(), and computed once."""
+    rows = spark.sparkContext.accumulator(0)
+    noted = F.udf(lambda x: rows.add(1) or x, "double").asNondeterministic()
+    found = spark.createDataFrame([(1, 10, "bm25", 2.0), (1, 11, "bm25", 1.0), (2, 20, "bm25", 1.0)], "task_id int, id int, method string, score double")
+    edges = spark.createDataFrame([(10, 30, "calls", "exact"), (30, 31, "calls", "exact"), (40, 20, "calls", "exact")], "src int, dst int, kind string, conf string")
+    tasks = spark.createDataFrame([(1, "Fix `add_item`"), (2, "Fix `total`")], "task_id int, text string")
+    held = spark.createDataFrame([(1, 11), (1, 99), (2, 30)], "task_id int, id int")
+    got = composed.retrieve(lambda q, k, by: found.withColumn("score", noted("score")), tasks, edges, held)
+    assert {(r.task_id, r.id) for r in got.collect()} == {(1, 10), (1, 30), (1, 31), (2, 20), (2, 40)} and rows.value == 3
+    seeds = found.select("task_id", F.col("id").alias("symbol"), noted("score").alias("score"))
+    pool, _ = composed.navigate(edges, seeds, by="task_id")
+    assert {(r.task_id, r.symbol, r.hop) for r in pool.collect()} == {(1, 10, 0), (1, 11, 0), (2, 20, 0), (2, 40, 1)} and rows.value == 6
