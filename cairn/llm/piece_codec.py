@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import cut, map_arrow, row_of, row_type, with_row, worker_cache
 
 MARK = "▁"
-KEPT_SEGMENTS = 300_000
-KEPT_PAIRS = 800_000
+#: What a worker remembers at most: twice so many segments (about 120 bytes each), and pairs (about 90). Two workers share an executor's memory with its JVM.
+KEPT_SEGMENTS = 150_000
+KEPT_PAIRS = 400_000
 KEPT_CHARS = 64
 
 
@@ -58,9 +59,9 @@ class PieceCodec:
         self.segments = (lambda s: [s] if s else []) if crossing else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         unknown = "".join(sorted(self.chars - {MARK}))
         self.known_run = re.compile(f"[{MARK}{re.escape(unknown)}]+|.", re.DOTALL)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.table: dict[str, tuple[str, str | None]] = {}
-        self.older: dict[str, tuple[str, str | None]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.table: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging itself: the best score first, then the leftmost pair."""
@@ -91,7 +92,7 @@ class PieceCodec:
     def known_ids(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are in the vocabulary, by the prefix table."""
         last = [-1] * (len(text) + 1)  # last[k]: the last token of the encoding of the first k characters
-        pairs, piece = self.pairs, self.piece
+        pairs, piece, size = self.pairs, self.piece, len(self.piece)
         if len(pairs) > KEPT_PAIRS:
             pairs.clear()
         for end, (length, token) in self.automaton.iter(text):
@@ -101,7 +102,7 @@ class PieceCodec:
             previous = last[before]  # -1 before the first character
             if before and previous < 0:
                 continue
-            key = (previous, token)
+            key = previous * size + token  # below 0 where there is none before
             fits = pairs.get(key)
             if fits is None:
                 fits = pairs[key] = self.compatible(previous, token) if before else self.merged(piece[token]) == [piece[token]]
@@ -137,14 +138,16 @@ class PieceCodec:
         out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ").removeprefix(" ")
 
-    def entry(self, segment: str) -> tuple[str, str | None]:
-        """A segment's ids as text; and what they decode to inside a text, None if that is the segment itself."""
+    def entry(self, segment: str) -> str | tuple[str, str]:
+        """A segment's ids as text; with what they decode to inside a text, if that is not the segment itself."""
         found = self.older.get(segment)
         if found is None:
             ids = self.ids(segment)
             # A mark in front keeps decoded() from taking the segment's own space for the dummy one.
             back = self.decoded([self.id[MARK], *ids])
-            found = (",".join(map(str, ids)), None if back == segment.replace(MARK, " ") else back)
+            found = ",".join(map(str, ids))
+            if back != segment.replace(MARK, " "):
+                found = (found, back)
         if len(segment) <= KEPT_CHARS:
             if len(self.table) >= KEPT_SEGMENTS:  # what was not asked for since the last such turn goes
                 self.older, self.table = self.table, {}
@@ -157,9 +160,10 @@ class PieceCodec:
         segments = self.segments(whole)
         get = self.table.get
         found = [get(s) or self.entry(s) for s in segments]
-        ids = ",".join([f[0] for f in found])
-        if any([f[1] is not None for f in found]):
-            whole = "".join([s if f[1] is None else f[1] for s, f in zip(segments, found, strict=True)])
+        if any([type(f) is tuple for f in found]):
+            whole = "".join([f[1] if type(f) is tuple else s for s, f in zip(segments, found, strict=True)])
+            found = [f[0] if type(f) is tuple else f for f in found]
+        ids = ",".join(found)
         return ids, whole.replace(MARK, " ").removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:

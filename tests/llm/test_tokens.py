@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import public_tokenizers as P
 import pytest
@@ -59,3 +60,27 @@ def test_operators(spark, docs, tools):
     back = piece_codec.decode(piece_codec.encode(frame, PIECES), PIECES)
     assert {r.text for r in back.where("doc_id = 7").collect()} == {"漢字 😀 né 1234"}
     assert token_counts.token_counts(docs([]), BPE, 1).count() == piece_codec.digests(docs([]), PIECES).count() == 0
+
+
+def test_what_a_codec_remembers_is_small():
+    """Two workers and a JVM share 3 GB: what each worker keeps, at its bounds, stays under 100 MB."""
+    import tracemalloc
+
+    c = piece_codec.PieceCodec(PIECES)
+    segments = [f"{piece_codec.MARK}w{k}x{k % 7}" for k in range(5000)]
+    for s in segments:
+        c.ids(s)  # the pairs are known before
+    tracemalloc.start()
+    try:
+        for s in segments:
+            c.entry(s)
+        each = tracemalloc.get_traced_memory()[0] / len(c.table) + sys.getsizeof(segments[-1])  # the test holds the names
+        tracemalloc.clear_traces()
+        c.pairs = {}
+        for s in segments:
+            c.ids(s)
+        pair = tracemalloc.get_traced_memory()[0] / len(c.pairs)
+    finally:
+        tracemalloc.stop()
+    assert len(c.table) == len(segments)
+    assert 2 * piece_codec.KEPT_SEGMENTS * each + piece_codec.KEPT_PAIRS * pair < 100e6
