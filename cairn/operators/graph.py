@@ -112,7 +112,7 @@ def expand(edges: DataFrame, seeds: DataFrame, config: ExpandConfig = ExpandConf
     own = given.select(key, F.col("seed").alias("node")).distinct()
     if config.include_overrides and symbols is not None:
         every = best.unionByName(given.groupBy(key, F.col("seed").alias("node")).agg(F.max("score").alias("score")))
-        over = every.join(overrides(every, symbols, descendants(edges)), "node").groupBy(key, F.col("override").alias("node")).agg(F.max("score").alias("score"))
+        over = every.join(overrides(every, symbols, ancestors(classes_of(symbols), edges)), "node").groupBy(key, F.col("override").alias("node")).agg(F.max("score").alias("score"))
         best = best.unionByName(over.join(best.select(key, "node"), [key, "node"], "left_anti"))
     out = best.join(own, [key, "node"], "left_anti")
     return out if by else out.drop("__by")
@@ -161,6 +161,43 @@ def descendants(edges: DataFrame, kind: str = "inherits", most: int | None = Non
     return found.select("ancestor", "node_below")
 
 
+#: Rounds of ancestors() after which its steps become twice as long.
+ROUNDS = 32
+
+
+def ancestors(asked: DataFrame, edges: DataFrame, kind: str = "inherits") -> DataFrame:
+    """(ancestor, node_below): those pairs of descendants() whose node_below is asked (node).
+
+    Each round goes one step on from the pairs that were new in the last, so a pair is met once for each step that leads to it, and only
+    pairs of asked nodes are held. They lie in a table bucketed by both columns, where new pairs meet them without a shuffle. After every
+    ROUNDS rounds steps become twice as long, so the rounds grow as the logarithm of the longest shortest path where that is long.
+    """
+    spark, pair = edges.sparkSession, ["node_below", "ancestor"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def bucketed(df: DataFrame, name: str, *by: str, mode: str = "error", **options) -> DataFrame:
+        df.write.mode(mode).bucketBy(n, *by).options(**options).saveAsTable(name)
+        return spark.table(name)
+
+    def steps(df: DataFrame) -> DataFrame:
+        name = f"steps_{uuid.uuid4().hex}"
+        return bucketed(df.repartition(n, "ancestor"), name, "ancestor", path=f"{checkpoint_dir(spark)}/{name}")
+
+    name = f"pairs_{uuid.uuid4().hex}"
+    step = steps(edges.where(F.col("kind") == kind).select(F.col("src").alias("ancestor"), F.col("dst").alias("next")).distinct())
+    first = step.join(asked.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi").select(F.col("ancestor").alias("node_below"), F.col("next").alias("ancestor"))
+    found = bucketed(first.repartition(n, *pair).withColumn("round", F.lit(0)), name, *pair, path=f"{checkpoint_dir(spark)}/{name}")
+    for k in count(1):
+        last = found.where(F.col("round") == k - 1)
+        if last.isEmpty():
+            return found.select("ancestor", "node_below")
+        if k % ROUNDS == 0:
+            ahead = step.select(F.col("ancestor").alias("next"), F.col("next").alias("then"))
+            step = steps(step.unionByName(step.join(ahead, "next").select("ancestor", F.col("then").alias("next"))).distinct())
+        new = last.select(*pair).join(step, "ancestor").select("node_below", F.col("next").alias("ancestor")).distinct().join(found.select(*pair), pair, "left_anti")
+        found = bucketed(new.withColumn("round", F.lit(k)), name, *pair, mode="append")
+
+
 def inherited(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
     """(cls, name, owner): which class an asked member (cls, name) comes from: the class itself or the first, depth first, of its bases.
 
@@ -265,10 +302,16 @@ def _walks(asked: DataFrame, ways: DataFrame, known: DataFrame) -> DataFrame:
         seen = stored(seen.unionByName(frontier).groupBy(*question, "at").agg(F.min(F.struct("route", "owner", "via")).alias("x")).select(*question, "at", "x.owner", "x.route", "x.via"))
 
 
+def classes_of(symbols: DataFrame) -> DataFrame:
+    """(node): what symbols (qualname) stand in, the only classes where overrides() may find one."""
+    return symbols.where(F.contains("qualname", F.lit("."))).select(F.regexp_replace("qualname", r"\.[^.]*$", "").alias("node")).distinct()
+
+
 def overrides(asked: DataFrame, symbols: DataFrame, below: DataFrame) -> DataFrame:
     """(node, override): asked methods (node) and the methods of the same name on classes below theirs.
 
-    symbols: (qualname, kind, parent); below: (ancestor, node_below), as descendants() gives them.
+    symbols: (qualname, kind, parent); below: (ancestor, node_below), as descendants() gives them, or ancestors() of
+    classes_of(symbols).
     """
     method = symbols.where("kind = 'method'").select(F.col("qualname").alias("node"), F.col("parent").alias("ancestor"), F.element_at(F.split("qualname", r"\."), -1).alias("name"))
     there = symbols.select(F.col("qualname").alias("override")).distinct()

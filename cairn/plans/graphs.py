@@ -302,7 +302,7 @@ def method_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every method and those of its name on the classes below its own."""
     bases, members = _classes(spark, sf_dir)
     methods = members.select(F.concat_ws(".", "owner", "name").alias("qualname"), F.lit("method").alias("kind"), F.col("owner").alias("parent"))
-    below = graph.descendants(bases.select(F.col("cls").alias("src"), F.col("base").alias("dst"), F.lit("inherits").alias("kind")))
+    below = graph.ancestors(graph.classes_of(methods), bases.select(F.col("cls").alias("src"), F.col("base").alias("dst"), F.lit("inherits").alias("kind")))
     return graph.overrides(methods.select(F.col("qualname").alias("node")), methods, below)
 
 

@@ -200,3 +200,20 @@ def test_only_cycles_and_ways_over_steps_taken_are_walked(spark, monkeypatch):
     want = {c: first_by_hand(c, "m", plain, holds, set()) for c in ways}
     assert {r.cls: r.owner for r in got.collect()} == want and want["u0"] == "y" and want["v0"] == "z"
     assert {r.cls for r in walked} == {"a", "b", "x", "t2"}
+
+
+def test_overrides_are_sought_from_the_classes_that_have_methods(spark, monkeypatch):
+    """Pairs of classes that nobody asks for aren't made; those that are agree with the whole closure, over cycles and long chains."""
+    rng = random.Random(5)
+    pairs = {(f"n{a}", f"n{rng.randrange(40)}") for a in range(40) for _ in range(2)} | {(f"m{k + 1}", f"m{k}") for k in range(30)}
+    e = edges(spark, *((a, b, "inherits", "exact") for a, b in sorted(pairs)))
+    symbols = spark.createDataFrame([(f"{c}.run", "method", c) for c in ("n1", "n7", "n30", "m0", "m30")] + [("m29", "class", "")], "qualname string, kind string, parent string")
+    asked = graph.classes_of(symbols)
+    assert {r.node for r in asked.collect()} == {"n1", "n7", "n30", "m0", "m30"}
+    monkeypatch.setattr(graph, "ROUNDS", 2)  # steps double early
+    got = graph.ancestors(asked, e).collect()
+    whole = graph.descendants(e)
+    assert len(got) == len(set(got)) and set(got) == set(whole.join(asked.withColumnRenamed("node", "node_below"), "node_below").select("ancestor", "node_below").collect())
+    methods = symbols.select(F.col("qualname").alias("node"))
+    assert set(graph.overrides(methods, symbols, graph.ancestors(asked, e)).collect()) == set(graph.overrides(methods, symbols, whole).collect()) != set()
+    assert graph.ancestors(asked.limit(0), e).count() == 0
