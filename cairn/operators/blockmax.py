@@ -20,8 +20,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.common import checkpoint_dir, cut_lineage, top
-from cairn.operators.lexical import doc_stats, postings, query_terms
+from cairn.functions.text import tokenize
+from cairn.operators.common import checkpoint_dir, cut_lineage, stored, top
+from cairn.operators.lexical import query_terms
 
 #: Documents of a slot at most, about, if all were of one kind; less where there are many kinds.
 SLOT_DOCS = 32
@@ -38,21 +39,31 @@ class BlockIndex:
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text: Column, path: str | None = None, **options) -> BlockIndex:
         """An index of documents with unique ids below path, or in the checkpoint folder."""
-        rows = cut_lineage(postings(docs, id_col, text))
-        return cls._write(docs.sparkSession, path, rows, doc_stats(docs, id_col, text), **options)
+        return cls._write(docs.sparkSession, path, cls._counted(docs, id_col, text), **options)
+
+    @staticmethod
+    def _counted(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+        """(id, dl, terms): each document's tokens and counted terms (term, tf). Texts are shuffled by id and tokenised once."""
+        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        words = docs.select(F.col(id_col).alias("id"), text.alias("text")).repartition(n, "id").select("id", tokenize(F.col("text")).alias("words"))
+        rows = words.select("id", F.coalesce(F.array_size("words"), F.lit(0)).cast("long").alias("dl"), F.explode_outer("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+        return rows.groupBy("id", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
 
     @classmethod
-    def _write(cls, spark: SparkSession, path: str | None, rows: DataFrame, lengths: DataFrame, k1: float = 1.5, b: float = 0.75, buckets: int = 16) -> BlockIndex:
+    def _write(cls, spark: SparkSession, path: str | None, docs: DataFrame, k1: float = 1.5, b: float = 0.75, buckets: int = 16) -> BlockIndex:
         path = path or f"{checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
-        lengths = cut_lineage(lengths)
-        n, mean = lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
         # Documents whose most frequent terms are the same are of one language or kind, and share slots: so most slots lack most terms.
-        kinds = rows.groupBy("id").agg(F.max_by("term", F.struct("tf", "term")).alias("kind"))
+        kind = F.array_max(F.transform("terms", lambda t: F.struct(t["tf"], t["term"])))["term"]
+        docs = stored(docs.withColumn("kind", kind))
+        lengths = docs.select("id", "dl")
+        n, mean = lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
         slot = F.xxhash64("kind", F.pmod(F.xxhash64("id"), F.lit(max(1, n // SLOT_DOCS)))).alias("slot")
         tf, dl = F.col("tf"), F.col("dl")
         impact = F.lit(k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / mean)) if mean else F.lit(0.0)
-        dealt = rows.join(lengths.join(kinds, "id"), "id").select("term", slot, F.struct("id", "tf", "dl", impact.alias("impact")).alias("p"))
-        blocks = dealt.groupBy("term", "slot").agg(F.collect_list("p").alias("postings"), F.max("p.impact").alias("most"))  # of a slot's documents
+        # Whole documents go to their slots: what one term has in one slot is gathered there without another shuffle.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = docs.select(slot, "id", "dl", "terms").repartition(parts, "slot").select("slot", "id", "dl", F.inline("terms")).select("term", "slot", F.struct("id", "tf", "dl", impact.alias("impact")).alias("p"))
+        blocks = dealt.groupBy("term", "slot").agg(F.collect_list("p").alias("postings"))  # of a slot's documents
         version = uuid.uuid4().hex
         blocks.select("term", "slot", "postings").write.bucketBy(buckets, "term", "slot").sortBy("term", "slot").option("path", f"{path}/{version}/blocks").saveAsTable(f"blocks_{version}")
         counted = spark.table(f"blocks_{version}").select("term", "slot", F.size("postings").cast("long").alias("n"), F.array_max("postings.impact").alias("most"))
@@ -77,10 +88,10 @@ class BlockIndex:
         """The index with documents added, or put in the place of those of their ids; a new version below the same path."""
         m = self.spark.read.parquet(f"{self.path}/manifest").first()
         new = cut_lineage(docs.select(F.col(id_col).alias("id")).distinct())
-        old = self.blocks.select("term", F.inline("postings")).select("term", "id", "tf").join(new, "id", "left_anti")
-        lengths = self.spark.read.parquet(f"{self.path}/{m.version}/lengths").join(new, "id", "left_anti")
-        rows = old.unionByName(postings(docs, id_col, text))
-        return self._write(self.spark, self.path, rows, lengths.unionByName(doc_stats(docs, id_col, text)), self.k1, self.b, m.buckets)
+        held = self.blocks.select("term", F.inline("postings")).groupBy("id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        empty = self.spark.read.parquet(f"{self.path}/{m.version}/lengths").where("dl = 0").select("id", "dl", F.array().cast(held.schema["terms"].dataType).alias("terms"))
+        rows = held.unionByName(empty).join(new, "id", "left_anti").unionByName(self._counted(docs, id_col, text))
+        return self._write(self.spark, self.path, rows, self.k1, self.b, m.buckets)
 
     def weights(self) -> DataFrame:
         """(term, df, idf), the idf being ln(1 + (n - df + .5) / (df + .5)); from the maxima alone, in their own buckets."""

@@ -217,3 +217,19 @@ def test_vectors_of_counted_tokens(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     cells = lambda df: {(r.id, r.bucket): round(r.v, 9) for r in df.collect()}
     assert cells(got) == cells(vector.hash_embed(docs, "id", F.col("text")))
+
+
+def test_blocks_are_made_from_two_shuffles(spark, tmp_path):
+    """Of the texts to their ids and of whole documents to their slots; postings aren't shuffled by term as well."""
+    docs, _ = _shop(spark)
+
+    def shuffled(made):
+        store = spark.sparkContext._jsc.sc().statusStore()
+        total = lambda: sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+        before = total()
+        made()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return total() - before
+
+    texts = shuffled(lambda: docs.repartition(4, "id").write.format("noop").mode("overwrite").save())
+    assert 0 < texts <= shuffled(lambda: blockmax.BlockIndex.build(docs, "id", F.col("text"), str(tmp_path / "index"))) < 10 * texts
