@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as tx
 from cairn.operators import blockmax, cells, chunking, fusion, lexical, rerank, vector
-from cairn.operators.common import top
+from cairn.operators.common import sent, top
 from cairn.plans import adapters as ad
 from cairn.plans.registry import query, table
 
@@ -220,10 +220,10 @@ CANDIDATES = f"""{TOKENS}, {LUCENE}, {SCORED},
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _index(spark, sf_dir).search(_items(spark, sf_dir), "item_id", F.col("text"), 20)
+    hits = sent(_index(spark, sf_dir).search(_items(spark, sf_dir), "item_id", F.col("text"), 20))  # so texts aren't shuffled
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), ad.doc_path().alias("path"), F.col("text").alias("content"), F.split_part("text", F.lit(" "), F.lit(1)).alias("symbol"))
     items = _items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return hits.join(docs, "id").join(items, "query_id").select(
+    return docs.join(hits, "id").join(items, "query_id").select(
         "query_id", "query", "symbol", "path", "content", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), (F.col("score") / 100).alias("base_score"), (F.col("rank") % 3).cast("int").alias("hop"), F.col("id").alias("chunk_id")
     )
 
