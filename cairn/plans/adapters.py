@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import chunking
+from cairn.operators.common import sent
 from cairn.plans.registry import table
 
 BLANK = r"regexp_replace({}, '[\x20\x09-\x0D]+', '', 'g') = ''"
@@ -150,8 +151,8 @@ def gold(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
     keyed = items.select("query_id", F.xxhash64(head(F.split("item", " "), F.lit(2))).alias("key"))
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (words - 3))), lambda i: F.xxhash64(head(w, i)))
     spots = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))  # split once
-    near = spots.join(keyed, "key").select("doc_id", "query_id").distinct()
-    found = near.join(items, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("item")))
+    near = sent(spots.join(keyed, "key").select("doc_id", "query_id").distinct())
+    found = docs.join(near, "doc_id").join(items, "query_id").where(F.contains("text", F.col("item")))
     return found.select("query_id", F.col("source").alias("path")).distinct()
 
 

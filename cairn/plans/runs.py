@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as tx
 from cairn.operators import evaluation as ev
 from cairn.operators import composed, fusion, graph, ledger, orchestrate, rerank, vector
-from cairn.operators.common import checkpoint_dir, top
+from cairn.operators.common import checkpoint_dir, sent, top
 from cairn.plans import adapters as ad
 from cairn.plans import retrieval as rt
 from cairn.plans.registry import query, table
@@ -68,8 +68,8 @@ def recall_rows_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT method, round(avg(recall), 6) AS recall FROM each GROUP BY method
 """)
 def recall_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rt._retriever(spark, sf_dir).hits(rt._queries(spark, sf_dir), 10)
-    rows = hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path")), "id").select("query_id", "method", "path", "score")
+    hits = sent(rt._retriever(spark, sf_dir).hits(rt._queries(spark, sf_dir), 10))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path")).join(hits, "id").select("query_id", "method", "path", "score")
     goal = ad.gold(spark, sf_dir).withColumn("method", F.explode(F.array(F.lit("bm25"), F.lit("vector"))))
     return ev.recall_files(rows, goal, 5, ["query_id", "method"]).groupBy("method").agg(F.round(F.avg("recall"), 6).alias("recall"))
 

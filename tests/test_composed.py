@@ -106,3 +106,16 @@ def test_a_search_is_run_once(spark):
     seeds = found.select("task_id", F.col("id").alias("symbol"), noted("score").alias("score"))
     pool, _ = composed.navigate(edges, seeds, by="task_id")
     assert {(r.task_id, r.symbol, r.hop) for r in pool.collect()} == {(1, 10, 0), (1, 11, 0), (2, 20, 0), (2, 40, 1)} and rows.value == 6
+
+
+def test_found_texts_are_not_shuffled_to_hits(spark):
+    """What is found goes to the documents, however small Spark is told to take a table for being sent."""
+    from cairn.plans import adapters, retrieval
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (retrieval._candidates(spark, "/root/testdata/sf0.001"), adapters.gold(spark, "/root/testdata/sf0.001")):
+            assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
