@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.operators.common import checkpoint_dir, cut_lineage, stored, top
+from cairn.operators.common import checkpoint_dir, cut_lineage, sent, stored, top
 
 # Confidences in order, and the weights of paths whose weakest edge has them.
 CONFIDENCES = ("exact", "heuristic", "ambiguous")
@@ -210,8 +210,8 @@ def inherited(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFra
     question = ["cls", "name"]
     up = lambda df: df.select(F.col("cls").alias("base"), "name", *(c for c in df.columns if c not in question))
     step = stored(bases.select("cls", F.col("pos").cast("int").alias("pos"), "base").distinct())
-    nodes = frontier = stored(asked.select(*question).distinct())
-    holds = stored(members.select(F.col("owner").alias("cls"), "name").join(nodes.select("name").distinct(), "name", "left_semi").select(*question).distinct())
+    nodes = frontier = first_asked = stored(asked.select(*question).distinct())
+    holds = stored(members.select(F.col("owner").alias("cls"), "name").join(sent(nodes.select("name").distinct()), "name", "left_semi").select(*question).distinct())
     edges = step.join(nodes.select("name").limit(0), F.lit(True)).select(*question, "pos", "base")
     for k in count(1):
         ways = stored(frontier.join(holds, question, "left_anti").join(step, "cls").select(*question, "pos", "base"))
@@ -235,7 +235,7 @@ def inherited(asked: DataFrame, bases: DataFrame, members: DataFrame) -> DataFra
     first = stored(ways.groupBy(*question).agg(F.min_by("base", "pos").alias("to")))
     known, left = _followed(first, nodes.join(holds, question, "left_semi").select(*question, F.col("cls").alias("owner")))
     owned = known if left.isEmpty() else known.unionByName(_around(first, left, ways, known))
-    return owned.join(asked.select(*question).distinct(), question, "left_semi").select(*question, "owner")
+    return owned.join(first_asked, question, "left_semi").select(*question, "owner")
 
 
 def _followed(first: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,10 +370,10 @@ def topological_waves(nodes: DataFrame, depends: DataFrame, most: int | None = N
 def suffix_index(modules: DataFrame) -> DataFrame:
     """(suffix, module) of dotted module names: every exact name, and each proper suffix that only one module has; else module is null."""
     parts = F.split("module", r"\.")
-    exact = modules.select(F.col("module").alias("suffix"), "module").distinct()
-    proper = modules.where(F.size(parts) > 1).select("module", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix"))
-    unique = proper.groupBy("suffix").agg(F.min("module").alias("low"), F.max("module").alias("high")).select("suffix", F.when(F.col("low") == F.col("high"), F.col("low")).alias("module"))
-    return exact.unionByName(unique.join(exact, "suffix", "left_anti"))
+    cut = lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("suffix"), F.when(i > 1, F.array_join(F.slice(parts, F.lit(1), i - 1), ".")).alias("ahead"))
+    each = modules.select(F.inline(F.transform(F.sequence(F.lit(1), F.size(parts)), cut)))
+    found = each.groupBy("suffix").agg(F.max(F.col("ahead").isNull()).alias("exact"), F.min("ahead").alias("low"), F.max("ahead").alias("high"))
+    return found.select("suffix", F.when(F.col("exact"), F.col("suffix")).when(F.col("low") == F.col("high"), F.concat("low", F.lit("."), "suffix")).alias("module"))
 
 
 def lookup(names: DataFrame, qualnames: DataFrame) -> DataFrame:

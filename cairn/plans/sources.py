@@ -218,7 +218,7 @@ LINKS = f"""
 """)
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of the ladder: self by way of the bases, the module's own names, imports of each form, and methods that only their name tells."""
-    return code.SymbolGraph(_parsed(spark, sf_dir, "symbols", "imports")).edges
+    return code.SymbolGraph(_parsed(spark, sf_dir, "symbols", "imports")).edge_rows()
 
 
 @query(f"WITH RECURSIVE {SOURCES}, {LINKS} SELECT src, callee FROM called WHERE (src, callee) NOT IN (SELECT (src, callee) FROM targets)")

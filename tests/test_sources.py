@@ -2,6 +2,7 @@ import ast
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.sources import code, files, frameworks, patches, tasks
@@ -180,3 +181,51 @@ def test_files_tables_are_not_sent_whole_to_tasks(spark, tmp_path):
     g = code.SymbolGraph(code.parse(spark.read.parquet(str(tmp_path / "files")), "h"))
     plan = g.symbol_ids().join(g.node_chunks(), "node")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of run() shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        some = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [some.apply(i) for i in range(some.size())]
+
+    last = max((x.stageId() for x in stages()), default=-1)
+    run()
+    return sum(x.shuffleWriteBytes() for x in stages() if x.stageId() > last)
+
+
+@pytest.mark.parametrize("query", ["code_edges"])
+def test_what_a_file_knows_itself_is_not_shuffled(spark, query):
+    """Calls met imports, own definitions and known names by shuffled strings: some 8 KB for each of these files."""
+    from cairn.plans import sources
+
+    of = "/root/testdata/sf0.001"
+    n = sources.files(spark, of).count()
+    assert shuffled(spark, lambda: getattr(sources, query)(spark, of).write.format("noop").mode("overwrite").save()) < 4000 * n
+
+
+def test_definitions_of_a_module_in_other_files(spark, monkeypatch):
+    """What a file says itself holds only where no other file defines names within its module; the same when every module is a hot one."""
+    source = {
+        "p/__init__.py": "class m:\n    class C:\n        def late(self): pass\n        def get(self): return self.late()\n",  # p.m.C lies within the module p.m too
+        "p/m.py": "class D(C):\n    def run(self):\n        C.get()\n        return self.late()\ndef free():\n    self.get()\n",
+        "p/n.py": "def one(): two()\n",
+        "p/n/__init__.py": "def two(): one()\n",  # p.n twice
+        "q.py": "import p.m\nimport p.n as n\nfrom p import m as C\nfrom p.m import D\nclass E(D):\n    def run(self):\n        self.late()\n        p.m.D()\n        n.two()\n        C.C.get()\n        self.own()\n    def own(self):\n        def deep(): self.own(); self.none()\n        E()\n    def __init__(self): pass\n",
+        "__init__.py": "def top(): q()\ndef q(): top()\n",  # the module without a name
+    }
+    calls = {
+        ("p.m.C.get", "p.m.C.late"), ("p.m.D.run", "p.m.C.get"), ("p.m.D.run", "p.m.C.late"), ("p.n.one", "p.n.two"), ("p.n.two", "p.n.one"),
+        ("q.E.run", "p.m.C.late"), ("q.E.run", "p.m.D"), ("q.E.run", "p.n.two"), ("q.E.run", "p.m.C.get"), ("q.E.run", "q.E.own"), ("q.E.own.deep", "q.E.own"), ("q.E.own", "q.E.__init__"), ("top", "q"), ("q", "top"),
+    }
+    for hot in (code.HOT, 0):
+        monkeypatch.setattr(code, "HOT", hot)
+        g = code.SymbolGraph(parsed(spark, source), include_heuristic=False)
+        got = {(r.src, r.dst, r.kind) for r in g.edges.collect()}
+        assert {(s, d) for s, d, k in got if k == "calls"} == calls
+        assert {(s, d) for s, d, k in got if k == "inherits"} == {("p.m.D", "p.m.C"), ("q.E", "p.m.D")}
+        assert g.edges.count() == len(got)
+        assert sorted((r.src, r.callee) for r in g.unresolved.collect()) == [("p.m.free", "self.get"), ("q.E.own.deep", "self.none")]
