@@ -197,7 +197,7 @@ def shuffled(spark, run):
     return sum(x.shuffleWriteBytes() for x in stages() if x.stageId() > last)
 
 
-@pytest.mark.parametrize("query", ["code_edges"])
+@pytest.mark.parametrize("query", ["code_edges", "code_unresolved"])
 def test_what_a_file_knows_itself_is_not_shuffled(spark, query):
     """Calls met imports, own definitions and known names by shuffled strings: some 8 KB for each of these files."""
     from cairn.plans import sources
